@@ -1,0 +1 @@
+"""Captures are complete batches of packets, so there is no streaming operator here."""
