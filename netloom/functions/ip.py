@@ -1,6 +1,6 @@
 """Address classes as range tests on the 32-bit number of a dotted address."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
@@ -60,17 +60,24 @@ def in_any(number: Column, ranges) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def ip_number(ip: Column) -> Column:
-    """The address as a bigint, null when it is not a dotted IPv4 address."""
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + parts[i].cast("bigint")
-    return F.when(ip.rlike(IPV4), value)
+def with_numbers(df: DataFrame, **columns: str) -> DataFrame:
+    """Add the 32-bit number of address columns, null for text that is no dotted IPv4 address.
 
+    `with_numbers(df, src_num="src_ip")`. The parts and the number are columns of their own, so that the
+    many range tests on a number do not split the text again.
+    """
+    parts = {f"{name}_parts": F.split(F.col(ip), r"\.") for name, ip in columns.items()}
 
-def ip_class(ip: Column) -> Column:
-    number = ip_number(ip)
+    def number(name, ip):
+        value = F.lit(0).cast("bigint")
+        for i in range(4):
+            value = value * 256 + F.col(f"{name}_parts")[i].cast("bigint")
+        return F.when(F.col(ip).rlike(IPV4), value)
+
+    return df.withColumns(parts).withColumns({n: number(n, ip) for n, ip in columns.items()}).drop(*parts)
+
+
+def ip_class(number: Column) -> Column:
     chain = F.when(number.isNull(), "error")
     for name, base, bits in SPECIAL_RANGES:
         chain = chain.when(in_range(number, base, bits), name)
@@ -93,31 +100,31 @@ def direction_of(src_class: Column, dst_class: Column) -> Column:
     )
 
 
-def direction(src: Column, dst: Column) -> Column:
-    return direction_of(ip_class(src), ip_class(dst))
+def with_direction(df: DataFrame, src: str, dst: str, name: str = "direction") -> DataFrame:
+    numbered = with_numbers(df, src_num_=src, dst_num_=dst)
+    classed = numbered.withColumns({"src_class_": ip_class(F.col("src_num_")), "dst_class_": ip_class(F.col("dst_num_"))})
+    result = classed.withColumn(name, direction_of(F.col("src_class_"), F.col("dst_class_")))
+    return result.drop("src_num_", "dst_num_", "src_class_", "dst_class_")
 
 
-def is_private(ip: Column) -> Column:
-    return in_any(ip_number(ip), PRIVATE_RANGES) & ~ip.isin(PRIVATE_EXCEPTIONS)
+def is_private(number: Column) -> Column:
+    return in_any(number, PRIVATE_RANGES) & ~F.coalesce(number.isin(*[_number(x) for x in PRIVATE_EXCEPTIONS]), F.lit(False))
 
 
-def is_public(ip: Column) -> Column:
+def is_public(number: Column) -> Column:
     """Valid address outside the private ranges; text that is no address is neither."""
-    return ip.rlike(IPV4) & ~is_private(ip)
+    return number.isNotNull() & ~is_private(number)
 
 
-def common_cloud_ip(ip: Column) -> Column:
-    return in_any(ip_number(ip), CLOUD_RANGES)
+def common_cloud_ip(number: Column) -> Column:
+    return in_any(number, CLOUD_RANGES)
 
 
-def outside_internal(ip: Column) -> Column:
+def outside_internal(number: Column) -> Column:
     """Four dotted numbers outside the three internal ranges."""
-    return ip.rlike(IPV4) & ~in_any(ip_number(ip), INTERNAL_RANGES)
+    return number.isNotNull() & ~in_any(number, INTERNAL_RANGES)
 
 
-def non_investigative_node(ip: Column) -> Column:
-    return ip.rlike(IPV4) & (
-        in_any(ip_number(ip), [("224.0.0.0", 4)])
-        | ip.isin("0.0.0.0", "255.255.255.255")
-        | ip.endswith(".255")
-    )
+def non_investigative_node(number: Column) -> Column:
+    """Multicast, the all-zero and all-one addresses, and addresses that end in .255."""
+    return F.coalesce(in_any(number, [("224.0.0.0", 4)]) | (number == 0) | (number % 256 == 255), F.lit(False))

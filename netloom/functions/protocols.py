@@ -1,6 +1,6 @@
 """Protocol names from decoded layers and ports."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Top layer -> (protocol, confidence), the weaker inference.
@@ -111,84 +111,103 @@ LAYER_TRANSPORT = {"TCP": "tcp", "UDP": "udp", "ICMP": "icmp", "IGMP": "igmp", "
 IP_PROTO_TRANSPORT = {"6": "tcp", "17": "udp", "1": "icmp"}
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    """A literal map of (name, confidence) structs; null for a key that is not in it."""
+MATCH = "struct<weak:string,weak_confidence:double,strong:string,strong_confidence:double>"
+
+
+def _match(weak, strong) -> Column:
+    w, s = weak or (None, None), strong or (None, None)
+    return F.struct(
+        F.lit(w[0]).alias("weak"), F.lit(w[1]).alias("weak_confidence"), F.lit(s[0]).alias("strong"), F.lit(s[1]).alias("strong_confidence")
+    ).cast(MATCH)
+
+
+def _matches(weak: dict, strong: dict) -> Column:
+    """Literal map from a key to what the weaker and the stronger table say about it."""
     entries = []
-    for k, (name, confidence) in table.items():
-        entries += [F.lit(k), F.struct(F.lit(name).alias("name"), F.lit(confidence).alias("confidence"))]
-    return F.try_element_at(F.create_map(*entries), key)
+    for key in dict.fromkeys([*weak, *strong]):
+        entries += [F.lit(key), _match(weak.get(key), strong.get(key))]
+    return F.create_map(*entries)
+
+
+def _by_port(tables: dict) -> dict:
+    return {f"{t}/{port}": found for t, ports in tables.items() for port, found in ports.items()}
 
 
 def _text_map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def _known(name: str, confidence: float) -> Column:
-    return F.struct(F.lit(name).alias("name"), F.lit(confidence).alias("confidence"))
+def with_matches(df: DataFrame, layer: str, transport: str, src_port: str, dst_port: str) -> DataFrame:
+    """Columns layer_match, dst_match, src_match, transport_match: one lookup each, used by both rules."""
+    ports = _matches(_by_port({"tcp": TCP_INFERENCE, "udp": UDP_INFERENCE}), _by_port(PORT_ENRICHMENT))
 
+    def port_match(port):
+        return F.try_element_at(ports, F.concat(F.col(transport), F.lit("/"), F.col(port).cast("string")))
 
-def transport_protocol(ip_proto: Column, layer: Column) -> Column:
-    return F.coalesce(
-        F.try_element_at(_text_map(IP_PROTO_TRANSPORT), ip_proto.cast("string")),
-        F.try_element_at(_text_map(LAYER_TRANSPORT), F.upper(layer)),
-        F.lit("unknown"),
-    )
+    known = _matches({"arp": ("arp", 0.95), "icmp": ("icmp", 0.95)}, {"arp": ("arp", 0.96), "icmp": ("icmp", 0.95)})
+    return df.withColumns({
+        "layer_match": F.try_element_at(_matches(LAYER_INFERENCE, LAYER_ENRICHMENT), F.upper(layer)),
+        "dst_match": port_match(dst_port),
+        "src_match": port_match(src_port),
+        "transport_match": F.try_element_at(known, F.col(transport)),
+    })
 
 
-def infer_application(layer, transport, src_port, dst_port) -> Column:
-    """struct(name, confidence): layer, then destination port, source port, transport."""
+MATCHES = ["layer_match", "dst_match", "src_match", "transport_match"]
 
-    def by_port(port):
-        return F.when(transport == "udp", _lookup(UDP_INFERENCE, port)).otherwise(_lookup(TCP_INFERENCE, port))
 
-    return F.coalesce(
-        _lookup(LAYER_INFERENCE, F.upper(layer)),
-        by_port(dst_port),
-        by_port(src_port),
-        F.when(transport == "arp", _known("arp", 0.95)),
-        F.when(transport == "icmp", _known("icmp", 0.95)),
-        _known("unknown", 0.0),
-    )
+def _first(kind: str, default) -> Column:
+    return F.coalesce(*[F.col(f"{m}.{kind}") for m in MATCHES], F.lit(default))
 
 
-def enrich_application(layer, transport, src_port, dst_port) -> Column:
-    """struct(name, confidence, kind, evidence): the stronger tables, with where the name came from."""
-    text = F.upper(layer)
+def inferred_name() -> Column:
+    """The weaker rule: layer, then destination port, source port, transport."""
+    return _first("weak", "unknown")
 
-    def port_match(port):
-        return F.when(transport == "tcp", _lookup(PORT_ENRICHMENT["tcp"], port)).when(
-            transport == "udp", _lookup(PORT_ENRICHMENT["udp"], port)
-        )
-
-    def found(match, kind, evidence):
-        return F.when(
-            match.isNotNull(),
-            F.struct(
-                match["name"].alias("name"),
-                match["confidence"].alias("confidence"),
-                F.lit(kind).alias("kind"),
-                F.array(evidence).alias("evidence"),
-            ),
-        )
+
+def inferred_confidence() -> Column:
+    return _first("weak_confidence", 0.0)
+
+
+def enriched_name() -> Column:
+    """The stronger rule, in the same order."""
+    return _first("strong", "unknown")
+
+
+def enriched_confidence() -> Column:
+    return _first("strong_confidence", 0.0)
+
+
+def enrichment_kind() -> Column:
+    """Where the stronger name came from."""
+    return (
+        F.when(F.col("layer_match.strong").isNotNull(), "decoded_layer")
+        .when(F.coalesce("dst_match.strong", "src_match.strong").isNotNull(), "port_inference")
+        .when(F.col("transport_match.strong").isNotNull(), "transport_inference")
+        .otherwise("none")
+    )
+
+
+def enrichment_evidence(layer: str, transport: str, src_port: str, dst_port: str) -> Column:
+    """One-element array, or an empty one when nothing matched."""
 
     def port_evidence(port):
-        return F.concat(F.lit("well_known_port:"), transport, F.lit("/"), port.cast("string"))
+        return F.concat(F.lit("well_known_port:"), F.col(transport), F.lit("/"), F.col(port).cast("string"))
+
+    text = (
+        F.when(F.col("layer_match.strong").isNotNull(), F.concat(F.lit("decoded_layer:"), F.lower(layer)))
+        .when(F.col("dst_match.strong").isNotNull(), port_evidence(dst_port))
+        .when(F.col("src_match.strong").isNotNull(), port_evidence(src_port))
+        .when(F.col("transport_match.strong").isNotNull(), F.concat(F.lit("transport:"), F.col(transport)))
+    )
+    return F.array_compact(F.array(text))
+
 
-    by_transport = [
-        found(F.when(transport == name, _known(name, conf)), "transport_inference", F.lit(f"transport:{name}"))
-        for name, conf in (("arp", 0.96), ("icmp", 0.95))
-    ]
+def transport_protocol(ip_proto: Column, layer: Column) -> Column:
     return F.coalesce(
-        found(_lookup(LAYER_ENRICHMENT, text), "decoded_layer", F.concat(F.lit("decoded_layer:"), F.lower(layer))),
-        found(port_match(dst_port), "port_inference", port_evidence(dst_port)),
-        found(port_match(src_port), "port_inference", port_evidence(src_port)),
-        *by_transport,
-        F.struct(
-            F.lit("unknown").alias("name"),
-            F.lit(0.0).alias("confidence"),
-            F.lit("none").alias("kind"),
-            F.array().cast("array<string>").alias("evidence"),
-        ),
+        F.try_element_at(_text_map(IP_PROTO_TRANSPORT), ip_proto.cast("string")),
+        F.try_element_at(_text_map(LAYER_TRANSPORT), F.upper(layer)),
+        F.lit("unknown"),
     )
 
 

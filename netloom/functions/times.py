@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 HOUR_US = 3_600_000_000
 
 
-def ntz_to_us(ts: str) -> Column:
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+def ntz_to_us(ts: str) -> str:
+    """SQL text: microseconds of a timestamp without zone. No step depends on the session zone."""
+    return f"""(unix_date(cast({ts} AS date)) * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L
+        + cast(extract(SECOND FROM {ts}) * 1000000 AS bigint))"""
 
 
 def us_to_ntz(us: str) -> Column:
@@ -16,13 +18,12 @@ def us_to_ntz(us: str) -> Column:
 
 def us_to_iso(us: str) -> Column:
     """ISO-8601 with a `Z`; the fraction is left out when it is zero."""
-    ts = us_to_ntz(us)
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.lpad(F.pmod(F.col(us), F.lit(1_000_000)).cast("string"), 6, "0")
+    whole = F.translate(F.substring(us_to_ntz(us).cast("string"), 1, 19), " ", "T")
+    fraction = F.pmod(F.col(us), F.lit(1_000_000))
     return (
         F.when(F.col(us).isNull(), None)
-        .when(F.pmod(F.col(us), F.lit(1_000_000)) == 0, F.concat(whole, F.lit("Z")))
-        .otherwise(F.concat(whole, F.lit("."), fraction, F.lit("Z")))
+        .when(fraction == 0, F.concat(whole, F.lit("Z")))
+        .otherwise(F.concat(whole, F.lit("."), F.lpad(fraction.cast("string"), 6, "0"), F.lit("Z")))
     )
 
 

@@ -38,14 +38,27 @@ def metadata_evidence(names):
     return F.array_compact(F.array(*[F.when(F.col(n) != "", n) for n in names]))
 
 
-def merge_protocols(inferred, enriched):
-    """The enrichment wins when it knows the protocol, or when nobody does."""
-    use = (enriched["name"] != "unknown") | (inferred["name"] == "unknown")
+def protocol_merge(df: DataFrame) -> DataFrame:
+    """application_protocol and app_confidence: the enrichment wins when it knows, or when nobody does."""
+    use = (F.col("enriched_name") != "unknown") | (F.col("inferred_name") == "unknown")
+    return df.withColumns({
+        "application_protocol": F.when(use, F.col("enriched_name")).otherwise(F.col("inferred_name")),
+        "app_confidence": F.when(use, F.col("enriched_confidence")).otherwise(F.col("inferred_confidence")),
+    })
 
-    def pick(field):
-        return F.when(use, enriched[field]).otherwise(inferred[field])
 
-    return F.struct(pick("name").alias("name"), pick("confidence").alias("confidence"))
+def application_protocols(df: DataFrame, transport: str = "transport_layer") -> DataFrame:
+    """Both rules and their merge, with the evidence for the name."""
+    ends = ("layer", transport, "src_port", "dst_port")
+    named = protocols.with_matches(df, *ends).withColumns({
+        "inferred_name": protocols.inferred_name(),
+        "inferred_confidence": protocols.inferred_confidence(),
+        "enriched_name": protocols.enriched_name(),
+        "enriched_confidence": protocols.enriched_confidence(),
+        "enrichment_kind": protocols.enrichment_kind(),
+        "enrichment_evidence": protocols.enrichment_evidence(*ends),
+    })
+    return protocol_merge(named.drop(*protocols.MATCHES))
 
 
 def packet_validity(raw: DataFrame) -> DataFrame:
@@ -85,26 +98,21 @@ def normalize_packets(raw: DataFrame) -> DataFrame:
         "tcp_flags": F.when(F.col("transport_layer") == "tcp", F.col("tcp_flags")),
         **{n: F.when(~arp & (F.col(n) != ""), F.col(n)) for n in names},
     })
-    t, sp, dp, layer = (F.col(c) for c in ("transport_layer", "src_port", "dst_port", "layer"))
-    p = p.withColumns({
-        "inferred": protocols.infer_application(layer, t, sp, dp),
-        "enriched": protocols.enrich_application(layer, t, sp, dp),
-        "src_class": ip.ip_class(F.col("src_ip")),
-        "dst_class": ip.ip_class(F.col("dst_ip")),
-    }).withColumn("merged", merge_protocols(F.col("inferred"), F.col("enriched")))
+    t, sp, dp = (F.col(c) for c in ("transport_layer", "src_port", "dst_port"))
+    p = application_protocols(ip.with_direction(p, "src_ip", "dst_ip"))
     return p.select(
         "capture_id", "packet_index", F.col("packet_index").alias("replay_sequence_id"), "us", "src_ip", "dst_ip",
         "ttl", "transport_layer", "src_port", "dst_port", "tcp_flags",
         payload_bytes(F.col("total_bytes"), t).alias("payload_bytes"), "total_bytes",
-        F.when(arp, F.lit("arp")).otherwise(F.col("merged.name")).alias("application_protocol"),
-        F.when(arp, F.lit(0.95)).otherwise(F.col("merged.confidence")).alias("app_confidence"),
-        F.when(arp, F.lit("transport_inference")).otherwise(F.col("enriched.kind")).alias("protocol_enrichment"),
+        F.when(arp, F.lit("arp")).otherwise(F.col("application_protocol")).alias("application_protocol"),
+        F.when(arp, F.lit(0.95)).otherwise(F.col("app_confidence")).alias("app_confidence"),
+        F.when(arp, F.lit("transport_inference")).otherwise(F.col("enrichment_kind")).alias("protocol_enrichment"),
         F.when(arp, F.array(F.lit("transport:arp")))
-        .otherwise(F.concat(F.col("enriched.evidence"), metadata_evidence(names)))
+        .otherwise(F.concat("enrichment_evidence", metadata_evidence(names)))
         .alias("protocol_evidence"),
         *names, "src_mac", "dst_mac",
         *[F.when(~arp, first_filled(F.col(c))).alias(c) for c in ("nbns_name", "kerberos_cname")],
-        ip.direction_of(F.col("src_class"), F.col("dst_class")).alias("direction"),
+        "direction",
         flow_id(F.col("src_ip"), F.col("dst_ip"), sp, dp, t).alias("flow_id"),
     )
 

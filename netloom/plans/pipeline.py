@@ -6,7 +6,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from netloom.operators import flows as fl
+from netloom.operators import hosts as hs
 from netloom.operators import packets as pk
+from netloom.operators import relationships as rel
 
 
 class Analysis:
@@ -35,6 +37,35 @@ class Analysis:
     def enriched_flows(self):
         return self.keep("enriched_flows", fl.enriched_flows(self.packets, self.flows, self.policy))
 
+    @cached_property
+    def host_flow_expansion(self):
+        return hs.host_flow_expansion(self.enriched_flows)
+
+    @cached_property
+    def host_peers(self):
+        return self.keep("host_peers", hs.host_peers(self.host_flow_expansion))
+
+    @cached_property
+    def edge_hints(self):
+        return hs.edge_hints(self.host_peers)
+
+    @cached_property
+    def host_metrics(self):
+        rows = self.host_flow_expansion
+        return hs.host_metrics(rows, self.host_peers, hs.host_hours(rows))
+
+    @cached_property
+    def host_profiles(self):
+        return self.keep("host_profiles", hs.host_profiles(self.host_metrics))
+
+    @cached_property
+    def relationships(self):
+        return self.keep("relationships", rel.relationships(self.enriched_flows))
+
+    @cached_property
+    def baseline_snapshot(self):
+        return hs.baseline_snapshot(self.host_profiles)
+
 
 def written(spark, folder: str):
     """A `keep` that cuts lineage with a table in shared storage."""

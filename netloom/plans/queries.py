@@ -1,10 +1,13 @@
 """Registered queries: one per operator, over all packets projected from `events`."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netloom.operators.hosts import BASELINE_FIELDS
 from netloom.plans.pipeline import Analysis
+from netloom.session import tune
 from netloom.sources.packets import packets_from_events
 
 _SESSIONS: dict = {}
@@ -12,10 +15,16 @@ _SESSIONS: dict = {}
 
 def analysis(spark: SparkSession, folder: str) -> Analysis:
     """The analysis of a folder, built once per session so that queries share its kept tables."""
+    tune(spark)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _SESSIONS:
         events = spark.read.parquet(f"{folder}/events.parquet")
-        _SESSIONS[key] = Analysis(packets_from_events(events))
+        cores = spark.sparkContext.defaultParallelism
+        if events.rdd.getNumPartitions() < cores:  # one small file: give every core a part of it
+            events = events.repartition(cores, "event_id")
+        # kept, as stored packets would be: else the filter on valid packets is pushed into the projection
+        raw = packets_from_events(events).persist(StorageLevel.MEMORY_AND_DISK)
+        _SESSIONS[key] = Analysis(raw)
     return _SESSIONS[key]
 
 
@@ -27,15 +36,18 @@ def forget(spark: SparkSession) -> None:
 
 def flat(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Chosen columns with arrays and maps as text, so that any engine can compare them."""
+    kinds = {f.name: f.dataType for f in frame.schema}
     out = []
     for name in columns:
-        kind, col = frame.select(name).schema[0].dataType, F.col(name)
+        kind, col = kinds[name], F.col(name)
         if isinstance(kind, T.ArrayType):
             col = F.array_join(F.transform(col, lambda x: x.cast("string")), ",")
         elif isinstance(kind, T.MapType):
             pairs = F.transform(F.map_entries(col), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1e4 + 0.5).cast("string")))
             col = F.array_join(F.array_sort(pairs), ",")
-        out.append(col.alias(name.split(".")[-1]))
+        elif isinstance(kind, T.IntegerType):
+            col = col.cast("bigint")
+        out.append(col.alias(name))
     return frame.select(*out)
 
 
@@ -57,6 +69,12 @@ ENRICHED_COLUMNS = FLOW_COLUMNS + [
     "suppression_reason", "suppression_category", "beacon_score", "beacon_confidence", "beacon_reason", "behavioral_score", "confidence",
     "severity", "is_suspicious", "@suspicious_indicators", "@indicator_details",
 ]
+HOST_METRIC_COLUMNS = [
+    "ip_address", *BASELINE_FIELDS[:30], "initiated_flow_count", "responded_flow_count", "upload_download_ratio", "average_flow_duration",
+    "inbound_connections", "outbound_connections", "@protocols", "@transports", "transport_diversity", "protocol_confidence_avg",
+    "outbound_ratio", "inbound_ratio", "internal_ratio", "suppressed_flow_count", "periodic_flow_ratio", "persistent_connection_ratio",
+    "first_us", "last_us", "first_seen_sequence", "last_seen_sequence", "graph_weight", "graph_degree", "graph_importance",
+]
 
 # slug -> (table, columns); "@" marks arrays and maps
 TABLES: dict[str, tuple[str, list[str]]] = {
@@ -71,6 +89,31 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "flow_duration_rates": ("flows", ["flow_id", "raw_duration_seconds", "duration_seconds", "raw_pps", "chronology_valid", "@duration_anomalies"]),
     "tcp_state_summary": ("flows", ["flow_id", "transport_layer", "tcp_state_summary"]),
     "enriched_flows": ("enriched_flows", ENRICHED_COLUMNS),
+    "packet_size_stats": ("enriched_flows", ["flow_id", "avg_packet_size", "packet_size_variance", "packet_size_stddev", "packet_size_cv"]),
+    "throughput_stats": ("enriched_flows", ["flow_id", "packets_per_second", "bytes_per_second", "data_ratio"]),
+    "suppression": ("enriched_flows", ["flow_id", "suppressed", "suppression_reason", "suppression_category"]),
+    "beacon_score": ("enriched_flows", ["flow_id", "beacon_score", "beacon_confidence", "beacon_reason"]),
+    "behavioral_risk": ("enriched_flows", ["flow_id", "behavioral_score", "@suspicious_indicators", "@indicator_details"]),
+    "host_flow_expansion": ("host_flow_expansion", [
+        "flow_id", "ip_address", "peer_ip", "role", "host_direction", "host_packets", "upload", "download", "initiated", "responded", "mac",
+    ]),
+    "edge_hints": ("edge_hints", ["ip_address", "target", "flow_count", "@protocols", "total_bytes", "first_us", "last_us"]),
+    "host_metrics": ("host_profiles", HOST_METRIC_COLUMNS),
+    "activity_clusters": ("host_profiles", ["ip_address", "activity_cluster_count", "activity_density", "session_density"]),
+    "host_identity": ("host_profiles", ["ip_address", "mac_address", "hostname", "user_identity"]),
+    "host_role": ("host_profiles", ["ip_address", "role", "role_confidence", "@role_evidence"]),
+    "host_risk": ("host_profiles", ["ip_address", "risk_score", "confidence", "severity", "@behavioral_indicators", "@indicator_details"]),
+    "host_profiles": ("host_profiles", HOST_METRIC_COLUMNS + [
+        "mac_address", "hostname", "user_identity", "role", "role_confidence", "@role_evidence", "risk_score", "confidence", "severity",
+        "@behavioral_indicators", "@indicator_details", "graph_node_size", "graph_risk_color", "graph_cluster_group",
+    ]),
+    "baseline_snapshot": ("baseline_snapshot", ["snapshot_id", "host_count", "ip_address", *BASELINE_FIELDS, "@protocols", "@behavioral_indicators", "role"]),
+    "relationships": ("relationships", [
+        "edge_id", "source", "target", "relationship_risk", "confidence", "severity", "flows", "packet_count", "total_bytes", "@protocols",
+        "@transports", "first_us", "last_us", "first_seen_sequence", "last_seen_sequence", "persistence", "@temporal_buckets",
+        "protocol_diversity", "directionality", "@relationship_indicators", "graph_weight", "graph_edge_color", "graph_edge_width",
+        "suspicious_flows", "suppressed_flows",
+    ]),
 }
 
 SPECIAL: dict = {}

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions.times import ntz_to_us
+
 TCP_FLAGS = "struct<syn:boolean,ack:boolean,rst:boolean,fin:boolean,psh:boolean,urg:boolean,ece:boolean,cwr:boolean>"
 PACKET_SCHEMA = f"""
     capture_id string, packet_index bigint, us bigint, src_ip string, dst_ip string, transport string,
@@ -19,9 +21,7 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "parquet", schema: s
 
 
 # The stream is 30 days long; it is squeezed by 240 into a capture of three hours.
-_TIME = """
-    1704067200000000 + (timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) - 1704067200000000) div 240
-"""
+_TIME = f"1704067200000000 + ({ntz_to_us('ts')} - 1704067200000000) div 240"
 _RULE = """
     CASE WHEN id % 1000 = 999 THEN 'self' WHEN r < 3 THEN 'beacon' WHEN et = 'click' THEN 'click'
          WHEN et = 'view' THEN 'view' WHEN et = 'purchase' THEN 'purchase' WHEN et = 'signup' THEN 'signup'

@@ -28,8 +28,8 @@ SELECT *,
 FROM ev""")
 
 cte("raw_packets", """
-SELECT 'cap0' AS capture_id, id AS packet_index, us, src_ip, dst_ip, transport, cast(src_port AS int) AS src_port,
-  cast(dst_port AS int) AS dst_port, 64 AS ttl, cast(CASE WHEN rr < 3 THEN 120 + k % 5 ELSE 60 + k * 14 END AS bigint) AS total_bytes,
+SELECT 'cap0' AS capture_id, id AS packet_index, us, src_ip, dst_ip, transport, cast(src_port AS bigint) AS src_port,
+  cast(dst_port AS bigint) AS dst_port, 64::bigint AS ttl, cast(CASE WHEN rr < 3 THEN 120 + k % 5 ELSE 60 + k * 14 END AS bigint) AS total_bytes,
   transport = 'tcp' AND id % 8 = 0 AS syn, transport = 'tcp' AND id % 8 <> 0 AS ack, transport = 'tcp' AND dst_port = 4444 AND k % 2 = 0 AS rst,
   transport = 'tcp' AND id % 16 = 15 AS fin, transport = 'tcp' AND k % 3 = 0 AS psh,
   CASE WHEN transport = 'arp' THEN 'ARP' WHEN dst_port = 443 AND k % 2 = 0 THEN 'TLS' END AS layer,
@@ -138,7 +138,7 @@ cte("scored", f"""
 SELECT f.*, s.* EXCLUDE (flow_id), e.payload_entropy, mean_inter_packet_delay_ms, median_inter_packet_delay_ms, max_inter_packet_delay_ms, inter_arrival_jitter,
   coalesce(beacon_intervals, 0) AS beacon_intervals, {r('raw_pps', 4)} AS packets_per_second, {r('least(initiator_bytes / duration_seconds, 1e9)', 4)} AS bytes_per_second,
   {ratio('responder_bytes', 'initiator_bytes')} AS data_ratio,
-  CASE WHEN initiator_port IS NULL OR initiator_port = responder_port THEN 0e0 ELSE 1e0 END AS port_entropy, 1 AS protocol_diversity,
+  CASE WHEN initiator_port IS NULL OR initiator_port = responder_port THEN 0e0 ELSE 1e0 END AS port_entropy, 1::bigint AS protocol_diversity,
   count(*) OVER (PARTITION BY responder_ip) AS destination_flows, count(*) OVER (PARTITION BY application_protocol) AS protocol_flows,
   CASE WHEN application_protocol IN ('arp', 'dhcp', 'llmnr', 'mdns', 'nbns', 'ssdp') THEN 'expected_' || application_protocol || '_infrastructure_traffic'
     WHEN direction IN ('broadcast', 'multicast', 'loopback') THEN 'expected_' || direction || '_traffic' WHEN transport_layer = 'arp' THEN 'expected_arp_resolution'
