@@ -1,11 +1,13 @@
 """The whole analysis as lazily built, named tables."""
 
+import tempfile
+import uuid
 from functools import cached_property
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from netloom.operators import flows as fl
+from netloom.operators import graph as gr
 from netloom.operators import hosts as hs
 from netloom.operators import packets as pk
 from netloom.operators import relationships as rel
@@ -14,17 +16,22 @@ from netloom.operators import relationships as rel
 class Analysis:
     """All tables of the captures in a table of raw packets.
 
-    Tables with several consumers are kept: `keep(name, frame)` is called for them. The default persists
-    them with the executors (memory, then disk; lost blocks are recomputed). For large inputs pass
-    `written(spark, folder)`, which writes them as Parquet to shared storage and reads them back.
+    Tables with several consumers are kept: `keep(name, frame)` is called for them. The default writes them
+    as Parquet to the shared folder of the session and reads them back. That cuts the lineage, so lost
+    executors cost no recomputation from the packets, later plans stay small, and consumers read only the
+    columns they need.
     """
 
     def __init__(self, raw_packets: DataFrame, previous: "Analysis | None" = None, keep=None, policy=None):
-        self.raw_packets = raw_packets
+        self.source = raw_packets
         self.previous = previous
-        self.keep = keep or (lambda name, frame: frame.persist(StorageLevel.MEMORY_AND_DISK))
+        self.keep = keep or written(raw_packets.sparkSession)
         self.policy = policy or fl.SuppressionPolicy()
 
+    @cached_property
+    def raw_packets(self):
+        return self.source
+
     @cached_property
     def packets(self):
         return self.keep("packets", pk.normalize_packets(self.raw_packets))
@@ -52,7 +59,7 @@ class Analysis:
     @cached_property
     def host_metrics(self):
         rows = self.host_flow_expansion
-        return hs.host_metrics(rows, self.host_peers, hs.host_hours(rows))
+        return self.keep("host_metrics", hs.host_metrics(rows, self.host_peers, hs.host_hours(rows)))
 
     @cached_property
     def host_profiles(self):
@@ -66,13 +73,64 @@ class Analysis:
     def baseline_snapshot(self):
         return hs.baseline_snapshot(self.host_profiles)
 
+    # graph
+
+    @cached_property
+    def graph_edges(self):
+        return self.keep("graph_edges", gr.graph_edges(self.relationships))
+
+    @cached_property
+    def linked_nodes(self):
+        nodes = gr.graph_nodes(self.host_profiles)
+        return self.keep("linked_nodes", gr.node_degree(nodes, gr.node_links(self.graph_edges)))
+
+    @cached_property
+    def scored_nodes(self):
+        return self.keep("scored_nodes", gr.scored_nodes(self.linked_nodes))
+
+    @cached_property
+    def communities(self):
+        return gr.communities(self.scored_nodes)
+
+    @cached_property
+    def graph_metrics(self):
+        return gr.graph_metrics(self.scored_nodes, self.graph_edges)
+
+    @cached_property
+    def graph_risk(self):
+        return gr.graph_risk_decomposition(self.scored_nodes, self.graph_edges)
+
+    @cached_property
+    def graph_health(self):
+        return gr.graph_health(self.scored_nodes, self.graph_edges)
+
+    @cached_property
+    def hashes(self):
+        return gr.node_hashes(self.scored_nodes).unionByName(gr.edge_hashes(self.graph_edges))
+
+    @cached_property
+    def graph_state(self):
+        return self.keep("graph_state", gr.graph_state(self.scored_nodes, self.graph_edges))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`; a session on one machine without it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        folder = tempfile.mkdtemp(prefix="netloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
-def written(spark, folder: str):
-    """A `keep` that cuts lineage with a table in shared storage."""
+def written(spark: SparkSession, folder: str | None = None):
+    """A `keep` that writes a table to shared storage, below a name of its own, and reads it back."""
+    base = f"{folder or shared_folder(spark)}/netloom-{uuid.uuid4().hex}"
 
     def keep(name: str, frame: DataFrame) -> DataFrame:
-        path = f"{folder}/{name}"
-        frame.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        path = f"{base}/{name}"
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
 
     return keep

@@ -1,12 +1,11 @@
 """Registered queries: one per operator, over all packets projected from `events`."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.operators.hosts import BASELINE_FIELDS
-from netloom.plans.pipeline import Analysis
+from netloom.plans.pipeline import Analysis, written
 from netloom.session import tune
 from netloom.sources.packets import packets_from_events
 
@@ -22,16 +21,15 @@ def analysis(spark: SparkSession, folder: str) -> Analysis:
         cores = spark.sparkContext.defaultParallelism
         if events.rdd.getNumPartitions() < cores:  # one small file: give every core a part of it
             events = events.repartition(cores, "event_id")
-        # kept, as stored packets would be: else the filter on valid packets is pushed into the projection
-        raw = packets_from_events(events).persist(StorageLevel.MEMORY_AND_DISK)
-        _SESSIONS[key] = Analysis(raw)
+        keep = written(spark)
+        raw = keep("raw_packets", packets_from_events(events))
+        _SESSIONS[key] = Analysis(raw, keep=keep)
     return _SESSIONS[key]
 
 
 def forget(spark: SparkSession) -> None:
-    """Drop all kept tables."""
+    """Let the next query build its tables anew."""
     _SESSIONS.clear()
-    spark.catalog.clearCache()
 
 
 def flat(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,6 +73,11 @@ HOST_METRIC_COLUMNS = [
     "outbound_ratio", "inbound_ratio", "internal_ratio", "suppressed_flow_count", "periodic_flow_ratio", "persistent_connection_ratio",
     "first_us", "last_us", "first_seen_sequence", "last_seen_sequence", "graph_weight", "graph_degree", "graph_importance",
 ]
+GRAPH_HEALTH = [
+    "capture_id", "avg_node_risk", "avg_edge_persistence", "externality_ratio", "infrastructure_ratio", "suspicious_edge_ratio",
+    "avg_protocol_diversity", "isolated_node_ratio", "community_balance_score", "relationship_diversity_score", "external_dependency_score",
+    "risk_concentration_score",
+]
 
 # slug -> (table, columns); "@" marks arrays and maps
 TABLES: dict[str, tuple[str, list[str]]] = {
@@ -114,6 +117,41 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "protocol_diversity", "directionality", "@relationship_indicators", "graph_weight", "graph_edge_color", "graph_edge_width",
         "suspicious_flows", "suppressed_flows",
     ]),
+    "graph_nodes": ("scored_nodes", [
+        "node_id", "ip_address", "hostname", "inferred_role", "role", "risk_score", "confidence", "@behavioral_indicators", "protocol_diversity",
+        "first_us", "last_us", "replay_sequence_start", "replay_sequence_end", "role_confidence", "@role_evidence", "external_connections",
+        "internal_connections", "@protocols", "telemetry_completeness", "communication_density", "node_degree", "weighted_degree",
+        "centrality_hint", "node_priority",
+    ]),
+    "graph_edges": ("graph_edges", [
+        "edge_id", "source_node", "target_node", "relationship_type", "communication_pattern", "directionality", "relationship_risk",
+        "persistence_score", "communication_density", "protocol_diversity", "first_us", "last_us", "replay_sequence_start",
+        "replay_sequence_end", "severity", "flows", "packet_count", "total_bytes", "@protocols", "@relationship_indicators", "graph_weight",
+    ]),
+    "relationship_type": ("graph_edges", ["edge_id", "@protocols", "@relationship_indicators", "relationship_type"]),
+    "communication_pattern": ("graph_edges", ["edge_id", "persistence", "flows", "communication_pattern"]),
+    "edge_metric_clamp": ("graph_edges", ["edge_id", "persistence_score", "communication_density"]),
+    "node_degree": ("scored_nodes", ["node_id", "node_degree", "weighted_degree", "communication_density", "inbound_edges", "outbound_edges"]),
+    "behavioral_centrality": ("scored_nodes", ["node_id", "centrality_hint", "node_priority"]),
+    "infrastructure_noise": ("scored_nodes", ["node_id", "infrastructure_noise"]),
+    "investigative_entity": ("scored_nodes", ["node_id", "is_investigative"]),
+    "graph_metrics": ("graph_metrics", [
+        "capture_id", "node_count", "edge_count", "graph_density", "graph_risk_score", "isolated_node_count", "@high_centrality_nodes",
+        "@relationship_types", "avg_node_degree", "suspicious_edges",
+    ]),
+    "communities": ("scored_nodes", ["ip_address", "community_type", "community_confidence"]),
+    "communities_heuristic": ("scored_nodes", ["ip_address", "community_heuristic"]),
+    "external_service": ("scored_nodes", ["ip_address", "is_external_service", "service_confidence", "service_reason"]),
+    "behavioral_importance": ("scored_nodes", ["ip_address", "behavioral_importance"]),
+    "graph_risk_decomposition": ("graph_risk", ["capture_id", "host_risk", "relationship_risk", "community_risk", "topology_risk"]),
+    "graph_health": ("graph_health", GRAPH_HEALTH),
+    "graph_fingerprint": ("hashes", ["entity", "hash"]),
+    "graph_state": ("graph_state", [
+        *GRAPH_HEALTH, "node_count", "edge_count", "graph_density", "graph_risk_score", "isolated_node_count", "@high_centrality_nodes",
+        "@relationship_types", "avg_node_degree", "suspicious_edges", "snapshot_id", "graph_fingerprint", "timestamp_us",
+        "replay_sequence_start", "replay_sequence_end", "community_count", "classified_nodes", "unclassified_nodes", "@community_summary",
+        "host_risk", "relationship_risk_part", "community_risk", "topology_risk",
+    ]),
 }
 
 SPECIAL: dict = {}

@@ -1,6 +1,7 @@
 """SQL text per registered query."""
 
 import oracle.flows  # noqa: F401
+import oracle.graph  # noqa: F401
 import oracle.hosts  # noqa: F401
 from netloom.plans.queries import TABLES
 from oracle.base import closure
