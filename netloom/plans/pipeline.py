@@ -5,7 +5,10 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netloom.operators import deltas as dl
+from netloom.operators import findings as fi
 from netloom.operators import flows as fl
 from netloom.operators import graph as gr
 from netloom.operators import hosts as hs
@@ -22,10 +25,11 @@ class Analysis:
     columns they need.
     """
 
-    def __init__(self, raw_packets: DataFrame, previous: "Analysis | None" = None, keep=None, policy=None):
+    def __init__(self, raw_packets: DataFrame, previous: "Analysis | None" = None, keep=None, policy=None, definitions=None):
         self.source = raw_packets
         self.previous = previous
         self.keep = keep or written(raw_packets.sparkSession)
+        self.definitions = definitions or fi.DEFINITIONS
         self.policy = policy or fl.SuppressionPolicy()
 
     @cached_property
@@ -112,6 +116,66 @@ class Analysis:
     def graph_state(self):
         return self.keep("graph_state", gr.graph_state(self.scored_nodes, self.graph_edges))
 
+    # deltas and findings
+
+    @cached_property
+    def capture_end(self):
+        return self.packets.groupBy("capture_id").agg(F.max("us").alias("created_us"))
+
+    @cached_property
+    def host_deltas(self):
+        if self.previous is None:
+            hosts = self.host_profiles
+            return dl.host_deltas(hosts, hosts.where("false"))
+        return self.keep("host_deltas", dl.host_deltas(self.host_profiles, self.previous.host_profiles, self.host_history))
+
+    @cached_property
+    def relationship_deltas(self):
+        before = None if self.previous is None else self.previous.relationships
+        history = None if self.previous is None else self.edge_history
+        return self.keep("relationship_deltas", dl.relationship_deltas(self.relationships, before, history))
+
+    @cached_property
+    def host_history(self):
+        return dl.historical_host_baseline(self.host_profiles.unionByName(self.previous.host_profiles))
+
+    @cached_property
+    def edge_history(self):
+        return dl.historical_relationship_baseline(self.relationships.unionByName(self.previous.relationships))
+
+    @cached_property
+    def found(self):
+        return self.keep("found", fi.all_hypotheses(self.host_deltas, self.relationship_deltas, self.host_profiles, self.definitions))
+
+    def _of_type(self, kind: str):
+        return self.found.where(F.col("hypothesis_type") == kind)
+
+    port_scan = property(lambda self: self._of_type("port_scan"))
+    host_sweep = property(lambda self: self._of_type("host_sweep"))
+    beaconing = property(lambda self: self._of_type("beaconing"))
+    persistent_tls = property(lambda self: self._of_type("persistent_tls"))
+    confident = property(lambda self: fi.confidence_filter(self.found))
+
+    @cached_property
+    def deduped(self):
+        return fi.dedup_reverse_pairs(fi.confidence_filter(self.found))
+
+    @cached_property
+    def limited(self):
+        return fi.top_n_limits(self.deduped)
+
+    @cached_property
+    def hypotheses(self):
+        return self.keep("hypotheses", fi.hypotheses(self.found, self.host_profiles, self.capture_end))
+
+    @cached_property
+    def host_summaries(self):
+        return fi.host_summaries(self.hypotheses)
+
+    @cached_property
+    def candidates(self):
+        return self.keep("candidates", fi.investigation_candidates(self.host_summaries))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; a session on one machine without it gets a temporary one."""

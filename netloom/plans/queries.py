@@ -1,5 +1,7 @@
 """Registered queries: one per operator, over all packets projected from `events`."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from netloom.session import tune
 from netloom.sources.packets import packets_from_events
 
 _SESSIONS: dict = {}
+WINDOW_CUT = 1704072600000000
 
 
 def analysis(spark: SparkSession, folder: str) -> Analysis:
@@ -23,7 +26,10 @@ def analysis(spark: SparkSession, folder: str) -> Analysis:
             events = events.repartition(cores, "event_id")
         keep = written(spark)
         raw = keep("raw_packets", packets_from_events(events))
-        _SESSIONS[key] = Analysis(raw, keep=keep)
+        a = _SESSIONS[key] = Analysis(raw, keep=keep)
+        # two windows of the same capture, for the operators that compare
+        before = Analysis(raw.where(F.col("us") < WINDOW_CUT), keep=written(spark))
+        a.w = Analysis(raw.where(F.col("us") >= WINDOW_CUT), previous=before, keep=written(spark))
     return _SESSIONS[key]
 
 
@@ -39,7 +45,7 @@ def flat(frame: DataFrame, columns: list[str]) -> DataFrame:
     for name in columns:
         kind, col = kinds[name], F.col(name)
         if isinstance(kind, T.ArrayType):
-            col = F.array_join(F.transform(col, lambda x: x.cast("string")), ",")
+            col = F.coalesce(F.array_join(F.transform(col, lambda x: x.cast("string")), ","), F.lit(""))
         elif isinstance(kind, T.MapType):
             pairs = F.transform(F.map_entries(col), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1e4 + 0.5).cast("string")))
             col = F.array_join(F.array_sort(pairs), ",")
@@ -78,6 +84,16 @@ GRAPH_HEALTH = [
     "avg_protocol_diversity", "isolated_node_ratio", "community_balance_score", "relationship_diversity_score", "external_dependency_score",
     "risk_concentration_score",
 ]
+FINDING_COLUMNS = [
+    "hypothesis_id", "hypothesis_type", "title", "summary", "@impacted_entities", "@supporting_evidence", "@contradictory_evidence",
+    "confidence_explanation", "confidence", "severity", "finding_tier", "consumer", "destination", "consumer_count", "rarity_score", "exclusivity_score",
+]
+RANKED_COLUMNS = FINDING_COLUMNS + ["place", "host", "host_risk", "host_role", "asset_criticality_score", "priority_score", "priority_level", "created_us"]
+CANDIDATE_COLUMNS = [
+    "place", "host", "host_role", "host_role_display", "priority", "priority_score", "risk_contribution", "confidence_contribution",
+    "criticality_contribution", "confidence", "risk", "asset_criticality_score", "candidate_rationale", "role_confidence",
+    "external_relationships", "internal_relationships", "@top_protocols", "@rationale", "@recommended_actions", "hypothesis_count",
+]
 
 # slug -> (table, columns); "@" marks arrays and maps
 TABLES: dict[str, tuple[str, list[str]]] = {
@@ -152,6 +168,34 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "replay_sequence_start", "replay_sequence_end", "community_count", "classified_nodes", "unclassified_nodes", "@community_summary",
         "host_risk", "relationship_risk_part", "community_risk", "topology_risk",
     ]),
+    "host_deltas": ("w.host_deltas", [
+        "delta_id", "entity_type", "entity_id", "delta_type", "confidence", "severity", "summary", "risk_score_delta", "new_relationship_count",
+        "new_peer_count", "external_host_delta", "unique_ports_delta", "same_port_peer_count", "low_persistence_ratio", "persistence_delta",
+        "@new_protocols", "@removed_protocols",
+    ]),
+    "relationship_deltas": ("w.relationship_deltas", [
+        "delta_id", "entity_type", "entity_id", "delta_type", "confidence", "severity", "summary", "source", "target", "@protocols", "persistence",
+        "persistence_delta", "flows", "@new_protocols", "@removed_protocols",
+    ]),
+    "historical_host_baseline": ("w.host_history", [
+        "ip_address", "risk_score_mean", "risk_score_std", "average_persistence", "unique_port_mean", "sample_count",
+    ]),
+    "historical_relationship_baseline": ("w.edge_history", ["edge_id", "persistence_mean", "persistence_std", "average_flow_count", "sample_count"]),
+    "historical_comparison": ("w.host_deltas", ["delta_id", "entity_id", "delta_type", "risk_score_mean"]),
+    "hyp_port_scan": ("w.port_scan", FINDING_COLUMNS),
+    "hyp_host_sweep": ("w.host_sweep", FINDING_COLUMNS),
+    "hyp_beaconing": ("beaconing", FINDING_COLUMNS),
+    "hyp_persistent_tls": ("w.persistent_tls", FINDING_COLUMNS),
+    "confidence_filter": ("w.confident", FINDING_COLUMNS),
+    "dedup_reverse_pairs": ("deduped", FINDING_COLUMNS),
+    "top_n_limits": ("w.limited", FINDING_COLUMNS),
+    "hypothesis_priority": ("hypotheses", RANKED_COLUMNS),
+    "hypotheses_windows": ("w.hypotheses", RANKED_COLUMNS),
+    "investigation_host": ("w.hypotheses", ["hypothesis_id", "host", "host_risk", "host_role", "asset_criticality_score"]),
+    "host_summaries": ("w.host_summaries", [
+        "host", "host_risk", "host_role", "asset_criticality_score", "hypothesis_count", "highest_confidence", "priority_score", "@top_protocols",
+    ]),
+    "investigation_candidates": ("candidates", CANDIDATE_COLUMNS),
 }
 
 SPECIAL: dict = {}
@@ -169,6 +213,6 @@ def run(name: str):
         if name in SPECIAL:
             return SPECIAL[name](a)
         table, columns = TABLES[name]
-        return flat(getattr(a, table), [c.lstrip("@") for c in columns])
+        return flat(reduce(getattr, table.split("."), a), [c.lstrip("@") for c in columns])
 
     return query

@@ -1,15 +1,16 @@
 """SQL text per registered query."""
 
 import oracle.flows  # noqa: F401
+import oracle.hosts  # noqa: F401,I001
+import oracle.findings  # noqa: F401,I001
 import oracle.graph  # noqa: F401
-import oracle.hosts  # noqa: F401
 from netloom.plans.queries import TABLES
 from oracle.base import closure
 
 
 def _select(table: str, columns: list[str]) -> str:
     items = [f"coalesce(array_to_string({c[1:]}, ','), '') AS {c[1:]}" if c.startswith("@") else c for c in columns]
-    return closure(f"SELECT {', '.join(items)} FROM {table}")
+    return closure(f"SELECT {', '.join(items)} FROM {table.replace('.', '_')}")
 
 
 SPECIAL: dict[str, str] = {}
