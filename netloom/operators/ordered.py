@@ -92,3 +92,29 @@ def runs(df: DataFrame, part, levels, order, label: str, name: str, hot: int = H
         .withColumn(name, (F.col("offset_") + F.sum("changed_").over(so_far)).cast("bigint"))
         .drop(*CHUNK, "offset_", "changed_")
     )
+
+
+def running(df: DataFrame, part, levels, order, folds: dict, hot: int = HOT_ROWS) -> DataFrame:
+    """Inclusive running folds. `folds` maps a column to (aggregate, combine); the result is `<column>_upto`.
+
+    `aggregate` is an aggregate function that also runs over windows, `combine` joins two partial results.
+    """
+    cut = with_chunks(df, part, levels, hot)
+    totals = cut.groupBy(*part, *CHUNK).agg(*[agg(c).alias(c) for c, (agg, _) in folds.items()])
+    inside = Window.partitionBy(*part, "chunk0").orderBy("chunk1", "chunk2").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*part).orderBy("chunk0").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = totals.groupBy(*part, "chunk0").agg(*[agg(c).alias(c) for c, (agg, _) in folds.items()])
+    coarse = coarse.select(*part, "chunk0", *[F.coalesce(agg(c).over(across), F.lit(0)).alias(f"{c}_outer") for c, (agg, _) in folds.items()])
+    fine = totals.select(*part, *CHUNK, *[F.coalesce(agg(c).over(inside), F.lit(0)).alias(f"{c}_inner") for c, (agg, _) in folds.items()])
+    before = fine.join(coarse, [*part, "chunk0"]).select(
+        *part, *CHUNK, *[both(F.col(f"{c}_outer"), F.col(f"{c}_inner")).alias(f"{c}_before") for c, (_, both) in folds.items()]
+    )
+    local = Window.partitionBy(*part, *CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = _attach(cut, before, part, [f"{c}_before" for c in folds])
+    return joined.withColumns({
+        f"{c}_upto": both(F.col(f"{c}_before"), F.coalesce(agg(c).over(local), F.lit(0))) for c, (agg, both) in folds.items()
+    }).drop(*CHUNK, *[f"{c}_before" for c in folds])
+
+
+ADD = (F.sum, lambda a, b: a + b)
+XOR = (F.bit_xor, lambda a, b: a.bitwiseXOR(b))

@@ -2,18 +2,24 @@
 
 import tempfile
 import uuid
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.operators import audit as au
+from netloom.operators import catalog as ca
 from netloom.operators import deltas as dl
 from netloom.operators import findings as fi
 from netloom.operators import flows as fl
 from netloom.operators import graph as gr
 from netloom.operators import hosts as hs
+from netloom.operators import narratives as na
 from netloom.operators import packets as pk
 from netloom.operators import relationships as rel
+from netloom.operators import replay as rp
+from netloom.operators import snapshots as sn
+from netloom.operators import timeline as ti
 
 
 class Analysis:
@@ -176,6 +182,122 @@ class Analysis:
     def candidates(self):
         return self.keep("candidates", fi.investigation_candidates(self.host_summaries))
 
+    # narratives, timeline, replay
+
+    @cached_property
+    def narratives(self):
+        return self.keep("narratives", na.narratives(self.candidates, self.scored_nodes))
+
+    @cached_property
+    def timed_hypotheses(self):
+        return ti.timed_hypotheses(self.hypotheses, self.relationships)
+
+    network_events = property(lambda self: ti.network_events(self.enriched_flows))
+    host_events = property(lambda self: ti.host_events(self.scored_nodes))
+    relationship_events = property(lambda self: ti.relationship_events(self.relationships))
+    hypothesis_events = property(lambda self: ti.hypothesis_events(self.timed_hypotheses))
+    candidate_events = property(lambda self: ti.candidate_events(self.candidates, self.timed_hypotheses))
+    narrative_events = property(lambda self: ti.narrative_events(self.narratives, self.timed_hypotheses))
+
+    @cached_property
+    def timeline_events(self):
+        parts = [self.network_events, self.host_events, self.relationship_events, self.hypothesis_events, self.candidate_events, self.narrative_events]
+        return self.keep("timeline_events", reduce(DataFrame.unionByName, parts))
+
+    @cached_property
+    def correlated(self):
+        return self.keep("correlated", ti.event_correlation(self.timeline_events))
+
+    @cached_property
+    def indexed_events(self):
+        return self.keep("indexed_events", ti.indexed_events(self.correlated))
+
+    @cached_property
+    def activity_phases(self):
+        return self.keep("activity_phases", ti.activity_phases(self.indexed_events))
+
+    chapter_phase_overlap = property(lambda self: ti.chapter_phase_overlap(ti.chapter_bounds(self.indexed_events), self.activity_phases))
+    chapter_hosts = property(lambda self: ti.chapter_hosts(self.indexed_events))
+
+    @cached_property
+    def chapters(self):
+        return self.keep("chapters", ti.chapters(self.indexed_events, self.activity_phases))
+
+    chapter_merge = property(lambda self: ti.chapter_merge(self.chapters))
+    host_timelines = property(lambda self: ti.host_timelines(self.indexed_events, self.chapters))
+
+    @cached_property
+    def frame_selection(self):
+        return self.keep("frame_selection", rp.frame_selection(self.indexed_events))
+
+    @cached_property
+    def frames(self):
+        return self.keep("frames", rp.frame_state(self.frame_selection, self.scored_nodes, self.graph_edges, self.indexed_events, self.candidates, self.graph_state))
+
+    frame_recent = property(lambda self: rp.frame_recent_events(self.frames, self.indexed_events))
+    frame_deltas = property(lambda self: rp.frame_delta(self.frames))
+    replay_coverage = property(lambda self: rp.replay_coverage(self.frames, self.indexed_events, self.packets, self.graph_state))
+
+    @property
+    def seek(self):
+        targets = self.scored_nodes.select("capture_id", "ip_address", F.col("first_us").alias("target_us"))
+        return rp.seek_nearest(targets, self.frames)
+
+    @property
+    def chapter_jump(self):
+        targets = self.chapters.select("capture_id", "chapter_id", F.col("start_us").alias("target_us"))
+        return rp.seek_nearest(targets, self.frames)
+
+    # snapshots
+
+    lifecycle_events = property(lambda self: sn.lifecycle_events(self.scored_nodes, self.graph_edges))
+
+    @cached_property
+    def snapshot_windows(self):
+        return self.keep("snapshot_windows", sn.snapshot_windows(self.scored_nodes, self.graph_edges))
+
+    @cached_property
+    def snapshot_states(self):
+        return self.keep("snapshot_states", sn.snapshot_state(self.snapshot_windows, self.scored_nodes))
+
+    @cached_property
+    def snapshots(self):
+        return self.keep("snapshots", sn.temporal_snapshots(self.snapshot_states))
+
+    # catalogue
+
+    replay_duration = property(lambda self: ca.replay_duration(self.frames))
+    host_detail = property(lambda self: ca.host_detail(self.host_profiles, self.host_timelines))
+    ranked_hosts = property(lambda self: ca.ranked_hosts(self.host_profiles, self.candidates, self.hypotheses))
+    relationship_context = property(lambda self: ca.relationship_context(self.relationships, self.hypotheses))
+    destination_intel = property(lambda self: ca.destination_intel(self.relationships, self.hypotheses))
+    context_fallback = property(lambda self: ca.context_fallback(self.enriched_flows, self.host_profiles))
+    community_context = property(lambda self: ca.community_context(self.scored_nodes))
+    event_search = property(lambda self: ca.event_search(self.indexed_events, "LOW", "TLS"))
+    capture_totals = property(lambda self: ca.capture_totals(self.enriched_flows, self.host_profiles))
+    suspicious_top = property(lambda self: fl.suspicious_flows(self.enriched_flows))
+    elevated_top = property(lambda self: hs.elevated_hosts(self.host_profiles))
+    direction_summary = property(lambda self: fl.traffic_direction_summary(self.flows))
+    protocol_top = property(lambda self: fl.protocol_summary(self.flows))
+
+    @property
+    def capture_summary(self):
+        return ca.capture_summary(self.frames, self.indexed_events, self.chapters, self.scored_nodes, self.hypotheses, self.candidates, self.readiness)
+
+    # audits
+
+    community_audit = property(lambda self: au.community_audit(self.scored_nodes))
+    graph_consistency = property(lambda self: au.graph_consistency(self.scored_nodes))
+    role_consistency = property(lambda self: au.role_consistency(self.host_profiles, self.scored_nodes, self.candidates))
+    hypothesis_validation = property(lambda self: au.validation(au.hypothesis_errors(self.hypotheses), self.graph_state))
+    candidate_validation = property(lambda self: au.validation(au.candidate_errors(self.candidates), self.graph_state))
+    snapshot_report = property(lambda self: au.snapshot_quality_report(self.snapshots))
+    readiness = property(lambda self: au.readiness(self.host_profiles, self.scored_nodes, self.hypotheses, self.candidates, self.graph_state))
+
+    @property
+    def stable(self):
+        return au.stable(self.graph_consistency, self.role_consistency, self.hypothesis_validation, self.candidate_validation, self.snapshot_report, self.readiness)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; a session on one machine without it gets a temporary one."""

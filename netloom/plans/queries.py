@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.operators.hosts import BASELINE_FIELDS
+from netloom.operators.snapshots import COMMUNITIES
 from netloom.plans.pipeline import Analysis, written
 from netloom.session import tune
 from netloom.sources.packets import packets_from_events
@@ -94,6 +95,10 @@ CANDIDATE_COLUMNS = [
     "criticality_contribution", "confidence", "risk", "asset_criticality_score", "candidate_rationale", "role_confidence",
     "external_relationships", "internal_relationships", "@top_protocols", "@rationale", "@recommended_actions", "hypothesis_count",
 ]
+EVENT_COLUMNS = ["us", "event_id", "event_type", "severity", "host", "@related_hosts", "description", "flow_id", "edge_id", "hypothesis_id", "hypothesis_type"]
+CHAPTER_COLUMNS = [
+    "chapter_id", "chapter_type", "title", "description", "start_us", "end_us", "event_count", "phase_count", "@key_events", "severity", "importance",
+]
 
 # slug -> (table, columns); "@" marks arrays and maps
 TABLES: dict[str, tuple[str, list[str]]] = {
@@ -196,6 +201,92 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "host", "host_risk", "host_role", "asset_criticality_score", "hypothesis_count", "highest_confidence", "priority_score", "@top_protocols",
     ]),
     "investigation_candidates": ("candidates", CANDIDATE_COLUMNS),
+    "primary_hypothesis": ("narratives", ["host", "primary_id", "primary_type", "@supporting", "@contradictory"]),
+    "environment_rank": ("narratives", ["host", "environment_rank", "environment_size"]),
+    "evidence_phrases": ("narratives", ["host", "behavioral_summary", "evidence_summary"]),
+    "confidence_drivers": ("narratives", ["host", "@drivers_high", "@drivers_medium", "@drivers_low", "confidence_explanation"]),
+    "reasoning_text": ("narratives", ["host", "investigation_reasoning"]),
+    "assessment_text": ("narratives", ["host", "assessment", "@negative_findings"]),
+    "recommended_actions": ("narratives", ["host", "@recommended_actions", "@investigation_plan"]),
+    "narratives": ("narratives", [
+        "host", "priority", "confidence", "risk", "environment_rank", "environment_size", "selection_reason", "executive_summary", "behavioral_summary",
+        "evidence_summary", "investigation_reasoning", "@drivers_high", "@drivers_medium", "@drivers_low", "@negative_findings", "assessment",
+        "confidence_explanation", "@recommended_actions", "@investigation_plan", "narrative_quality_score", "@supporting_hypotheses",
+    ]),
+    "network_events": ("network_events", EVENT_COLUMNS),
+    "host_events": ("host_events", EVENT_COLUMNS),
+    "relationship_events": ("relationship_events", EVENT_COLUMNS),
+    "hypothesis_events": ("hypothesis_events", EVENT_COLUMNS),
+    "candidate_events": ("candidate_events", EVENT_COLUMNS),
+    "narrative_events": ("narrative_events", EVENT_COLUMNS),
+    "timeline_events": ("timeline_events", EVENT_COLUMNS),
+    "event_correlation": ("correlated", EVENT_COLUMNS),
+    "activity_phases": ("activity_phases", ["run", "phase_id", "phase_name", "start_us", "end_us", "event_count", "description"]),
+    "chapter_phase_overlap": ("chapter_phase_overlap", ["chapter_type", "phase_id"]),
+    "chapters": ("chapters", CHAPTER_COLUMNS + ["host_count", "duration_seconds", "chapter_number"]),
+    "chapter_merge": ("chapter_merge", CHAPTER_COLUMNS),
+    "chapter_index": ("chapters", ["chapter_number", "chapter_id", "title", "start_us", "end_us"]),
+    "frame_selection": ("frame_selection", ["frame_number", "event_id", "event_index", "us"]),
+    "frame_state": ("frames", [
+        "frame_number", "frame_id", "us", "trigger_event_id", "trigger_event_type", "node_count", "edge_count", "events_upto", "candidate_count",
+        "graph_density", "graph_risk_score", "isolated_node_count", "final",
+    ]),
+    "frame_recent_events": ("frame_recent", ["frame_number", "event_index", "event_id"]),
+    "frame_delta": ("frame_deltas", ["frame_number", "frame_id", "us", "added_nodes", "added_edges", "removed_nodes", "removed_edges", "frame_duration"]),
+    "replay_index": ("indexed_events", ["event_id", "event_index", "host"]),
+    "host_timelines": ("host_timelines", ["host", "event_count", "@events", "@chapters"]),
+    "replay_coverage": ("replay_coverage", ["capture_id", "replay_coverage", "event_compression_ratio"]),
+    "frame_seek_nearest": ("seek", ["ip_address", "target_us", "frame_number"]),
+    "chapter_jump": ("chapter_jump", ["chapter_id", "target_us", "frame_number"]),
+    "lifecycle_events": ("lifecycle_events", ["us", "type", "entity"]),
+    "snapshot_windows": ("snapshot_windows", ["us", "node_count", "edge_count", "node_set"]),
+    "snapshot_state": ("snapshot_states", ["us", "node_count", "edge_count", "graph_density", "graph_risk_score", *COMMUNITIES.values()]),
+    "snapshot_quality": ("snapshots", ["us", "quality_score", "quality_reason", "snapshot_lineage_id"]),
+    "temporal_snapshots": ("snapshots", [
+        "snapshot_number", "snapshot_id", "window_start_us", "window_end_us", "node_count", "edge_count", "graph_density", "graph_risk_score",
+        "quality_score", "quality_reason", "snapshot_lineage_id",
+    ]),
+    "capture_summary": ("capture_summary", [
+        "capture_id", "duration_seconds", "frame_count", "event_count", "chapter_count", "node_count", "hypothesis_count", "candidate_count",
+        "community_count", "primary_destination", "top_host", "ready",
+    ]),
+    "frame_lookup": ("frames", ["frame_number", "frame_id", "us", "node_count", "edge_count"]),
+    "replay_duration": ("replay_duration", ["capture_id", "duration_seconds"]),
+    "host_detail": ("host_detail", ["host", "risk", "role", "mac_address", "hostname", "user_identity", "event_count", "@events", "@chapters"]),
+    "ranked_hosts": ("ranked_hosts", [
+        "ip_address", "role", "role_confidence", "community", "mac_address", "hostname", "user_identity", "risk", "candidate_status", "finding_count",
+        "confidence", "priority", "external_relationships", "internal_relationships", "@top_protocols",
+    ]),
+    "relationship_context": ("relationship_context", [
+        "edge_id", "source", "target", "risk", "confidence", "severity", "@protocols", "first_us", "last_us", "destination_rarity_score",
+        "destination_exclusivity_score", "destination_consumer_count", "@supporting_evidence", "@contradictory_evidence", "confidence_explanation",
+    ]),
+    "destination_intel": ("destination_intel", [
+        "destination", "related_host", "risk", "consumer_count", "rarity_score", "exclusivity_score", "@supporting_evidence",
+        "@contradictory_evidence", "hypothesis_count",
+    ]),
+    "context_fallback": ("context_fallback", [
+        "hypothesis_id", "hypothesis_type", "title", "summary", "@impacted_entities", "@supporting_evidence", "confidence_explanation", "confidence",
+        "severity", "priority_score", "priority_level", "host", "host_role", "risk", "candidate_rationale",
+    ]),
+    "community_context": ("community_context", ["community_type", "role", "node_count"]),
+    "event_search": ("event_search", ["event_id", "us", "event_type", "severity", "host", "recent"]),
+    "capture_totals": ("capture_totals", [
+        "capture_id", "flows", "total_bytes", "suppressed_flows", "beacon_eligible_flows", "suspicious_flows", "hosts", "elevated_hosts",
+    ]),
+    "suspicious_flows": ("suspicious_top", ["place", "flow_id", "behavioral_score", "confidence", "severity", "@suspicious_indicators"]),
+    "elevated_hosts": ("elevated_top", ["place", "ip_address", "role", "risk_score", "confidence", "@behavioral_indicators"]),
+    "traffic_direction_summary": ("direction_summary", ["capture_id", "direction", "flows"]),
+    "protocol_summary": ("protocol_top", ["place", "application_protocol", "flows"]),
+    "community_audit": ("community_audit", ["ip_address", "role", "role_confidence", "community", "is_internal", "is_external", "risk_score"]),
+    "graph_consistency": ("graph_consistency", [
+        "capture_id", "graph_nodes", "classified_nodes", "community_count", "suppressed_nodes", "unclassified_nodes", "investigative_nodes", "valid",
+    ]),
+    "role_consistency": ("role_consistency", ["capture_id", "checked_hosts", "candidate_hosts", "mismatch_count", "valid"]),
+    "hypothesis_validation": ("hypothesis_validation", ["capture_id", "checked", "error_count", "valid"]),
+    "candidate_validation": ("candidate_validation", ["capture_id", "checked", "error_count", "valid"]),
+    "snapshot_quality_report": ("snapshot_report", ["capture_id", "total_snapshots", "meaningful_snapshots", "redundant_snapshots", "quality_score", "valid"]),
+    "readiness": ("stable", ["capture_id", "ready", "@missing_components", "snapshots_valid", "stable"]),
 }
 
 SPECIAL: dict = {}

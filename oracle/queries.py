@@ -4,6 +4,8 @@ import oracle.flows  # noqa: F401
 import oracle.hosts  # noqa: F401,I001
 import oracle.findings  # noqa: F401,I001
 import oracle.graph  # noqa: F401
+import oracle.timeline  # noqa: F401,I001
+import oracle.catalog  # noqa: F401,I001
 from netloom.plans.queries import TABLES
 from oracle.base import closure
 
