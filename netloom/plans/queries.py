@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from netloom.operators.hosts import BASELINE_FIELDS
 from netloom.operators.snapshots import COMMUNITIES
 from netloom.plans.pipeline import Analysis, written
+from netloom.plans.special import SPECIAL
 from netloom.session import tune
 from netloom.sources.packets import packets_from_events
 
@@ -289,8 +290,6 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "readiness": ("stable", ["capture_id", "ready", "@missing_components", "snapshots_valid", "stable"]),
 }
 
-SPECIAL: dict = {}
-
 
 def names() -> list[str]:
     return list(TABLES) + list(SPECIAL)
@@ -302,7 +301,8 @@ def run(name: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         a = analysis(spark, folder)
         if name in SPECIAL:
-            return SPECIAL[name](a)
+            frame = SPECIAL[name](a)
+            return flat(frame, frame.columns)
         table, columns = TABLES[name]
         return flat(reduce(getattr, table.split("."), a), [c.lstrip("@") for c in columns])
 

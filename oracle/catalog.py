@@ -20,8 +20,8 @@ FROM (SELECT *, CASE WHEN node_count = 0 OR edge_count = 0 THEN 'empty_snapshot'
  FROM (SELECT *, lag(node_count) OVER (ORDER BY us) AS pn, lag(edge_count) OVER (ORDER BY us) AS pe, lag(node_set) OVER (ORDER BY us) AS ps FROM snapshot_states) WHERE pn IS NULL OR pn <> node_count OR pe <> edge_count OR ps <> node_set)""")
 
 cte("replay_duration", f"SELECT capture_id, {r('(max(us) - min(us)) / 1e6', 4)} AS duration_seconds FROM frames GROUP BY 1")
-cte("readiness", """SELECT 'cap0' AS capture_id, list_filter([CASE WHEN (SELECT count(*) FROM host_profiles) = 0 THEN 'HostProfile' END, CASE WHEN (SELECT count(*) FROM hypotheses) = 0 THEN 'AttackHypothesis' END,
- CASE WHEN (SELECT count(*) FROM candidates) = 0 THEN 'InvestigationCandidate' END, CASE WHEN (SELECT count(*) FROM scored_nodes) = 0 THEN 'GraphContext' END], lambda x: x IS NOT NULL) AS missing_components, len(missing_components) = 0 AS ready""")
+cte("readiness", """SELECT *, len(missing_components) = 0 AS ready FROM (SELECT 'cap0' AS capture_id, list_filter([CASE WHEN (SELECT count(*) FROM host_profiles) = 0 THEN 'HostProfile' END, CASE WHEN (SELECT count(*) FROM hypotheses) = 0 THEN 'AttackHypothesis' END,
+ CASE WHEN (SELECT count(*) FROM candidates) = 0 THEN 'InvestigationCandidate' END, CASE WHEN (SELECT count(*) FROM scored_nodes) = 0 THEN 'GraphContext' END], lambda x: x IS NOT NULL) AS missing_components)""")
 cte("capture_summary", """SELECT d.capture_id, d.duration_seconds, (SELECT count(*) FROM frames) AS frame_count, (SELECT count(*) FROM indexed_events) AS event_count, (SELECT count(*) FROM chapters) AS chapter_count, (SELECT count(*) FROM scored_nodes) AS node_count,
  (SELECT count(*) FROM hypotheses) AS hypothesis_count, (SELECT count(*) FROM candidates) AS candidate_count, (SELECT count(DISTINCT community_type) FROM scored_nodes) AS community_count, (SELECT destination FROM hypotheses WHERE place = 1) AS primary_destination,
  (SELECT host FROM candidates WHERE place = 1) AS top_host, rd.ready FROM replay_duration d, readiness rd""")
@@ -53,7 +53,7 @@ cte("protocol_top", "SELECT * FROM (SELECT application_protocol, count(*) AS flo
 
 cte("community_audit", f"SELECT ip_address, role, {r('role_confidence * 100', 1)} AS role_confidence, community_type AS community, {private('ip_address')} AS is_internal, NOT {private('ip_address')} AS is_external, risk_score FROM scored_nodes")
 cte("graph_consistency", "SELECT capture_id, count(*) AS graph_nodes, count(*) AS classified_nodes, count(DISTINCT community_type) AS community_count, count(*) FILTER (non_investigative) AS suppressed_nodes, 0::bigint AS unclassified_nodes, count(*) FILTER (NOT non_investigative) AS investigative_nodes, true AS valid FROM scored_nodes GROUP BY 1")
-cte("role_consistency", "SELECT 'cap0' AS capture_id, (SELECT count(*) FROM host_profiles) AS checked_hosts, (SELECT count(*) FROM candidates) AS candidate_hosts, (SELECT count(*) FROM host_profiles h LEFT JOIN scored_nodes n ON n.ip_address = h.ip_address LEFT JOIN candidates c ON c.host = h.ip_address WHERE n.role IS DISTINCT FROM h.role OR coalesce(c.host_role, h.role) <> h.role) AS mismatch_count, mismatch_count = 0 AS valid")
+cte("role_consistency", "SELECT *, mismatch_count = 0 AS valid FROM (SELECT 'cap0' AS capture_id, (SELECT count(*) FROM host_profiles) AS checked_hosts, (SELECT count(*) FROM candidates) AS candidate_hosts, (SELECT count(*) FROM host_profiles h LEFT JOIN scored_nodes n ON n.ip_address = h.ip_address LEFT JOIN candidates c ON c.host = h.ip_address WHERE n.role IS DISTINCT FROM h.role OR coalesce(c.host_role, h.role) <> h.role) AS mismatch_count)")
 cte("hypothesis_validation", "SELECT 'cap0' AS capture_id, count(*) AS checked, count(*) FILTER (len(supporting_evidence) = 0 OR contradictory_evidence IS NULL OR confidence IS NULL OR confidence_explanation = '') AS error_count, error_count = 0 AS valid FROM hypotheses")
 cte("candidate_validation", "SELECT 'cap0' AS capture_id, count(*) AS checked, count(*) FILTER (host = '' OR priority_score IS NULL OR risk IS NULL OR len(finding_ids) = 0) AS error_count, error_count = 0 AS valid FROM candidates")
 cte("snapshot_report", f"SELECT 'cap0' AS capture_id, count(*) AS total_snapshots, count(*) FILTER (quality_reason = 'useful_snapshot') AS meaningful_snapshots, 0::bigint AS redundant_snapshots, {r('sum(' + sc('quality_score', 2) + ') / count(*) / 1e2', 4)} AS quality_score, {r('sum(' + sc('quality_score', 2) + ') / count(*) / 1e2', 4)} >= 0.9e0 AS valid FROM snapshots")

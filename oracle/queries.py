@@ -7,6 +7,7 @@ import oracle.graph  # noqa: F401
 import oracle.timeline  # noqa: F401,I001
 import oracle.catalog  # noqa: F401,I001
 from netloom.plans.queries import TABLES
+from oracle import special
 from oracle.base import closure
 
 
@@ -15,5 +16,4 @@ def _select(table: str, columns: list[str]) -> str:
     return closure(f"SELECT {', '.join(items)} FROM {table.replace('.', '_')}")
 
 
-SPECIAL: dict[str, str] = {}
-SQL = {name: _select(*spec) for name, spec in TABLES.items()} | {name: closure(sql) for name, sql in SPECIAL.items()}
+SQL = {name: _select(*spec) for name, spec in TABLES.items()} | {name: closure(sql) for name, sql in special.SQL.items()}
