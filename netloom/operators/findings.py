@@ -68,7 +68,8 @@ def destination_consumers(pairs: DataFrame) -> DataFrame:
 
     Pairs are made distinct first, so a destination that every host uses is counted in parallel.
     """
-    seen = pairs.where((F.col("consumer") != F.col("destination")) & F.col("consumer").isNotNull())
+    # source and target are the same two addresses; a filter on them is pushed to the scan
+    seen = pairs.where((F.col("source") != F.col("target")) & F.col("source").isNotNull())
     distinct = seen.select("capture_id", "destination", "consumer").distinct()
     return distinct.groupBy("capture_id", "destination").agg(F.count(F.lit(1)).alias("consumer_count"))
 
@@ -165,7 +166,9 @@ def hyp_beaconing(deltas: DataFrame, hosts: DataFrame, d: Definition = DEFINITIO
     j = j.withColumns({
         "raw": F.least(score + (c("rarity_score") * 0.14 + c("exclusivity_score") * 0.16), F.lit(0.92)) - penalty,
         "found": labels(*signals), "contra": labels(*[(n, t) for n, t, _ in against]),
-    }).where(c("raw") >= 0.60).withColumn("conf", rnd(c("raw") * 100, 1))
+    })
+    # a generator in place of a filter: a filter would be pushed below and repeat the whole score there
+    j = j.withColumn("conf", F.explode(F.when(c("raw") >= 0.60, F.array(rnd(c("raw") * 100, 1)))))
     listed = F.array_join(F.transform(F.array_sort("found"), lambda x: F.concat(F.lit("+ "), x)), ", ")
     negative = F.when(F.size("contra") == 0, F.lit("- none observed")).otherwise(F.array_join(F.transform("contra", lambda x: F.concat(F.lit("- "), x)), ", "))
     severity = F.when(c("raw") >= 0.95, "critical").when(c("raw") >= 0.85, "high").when(c("raw") >= 0.75, "medium").otherwise("low")
