@@ -182,11 +182,13 @@ def _hot_gap_summary(ticks: DataFrame) -> DataFrame:
     ticks = ticks.groupBy(*KEY, "us").agg(F.count(F.lit(1)).alias("same")).withColumn("second", F.expr("us div 1000000L"))
     inside = Window.partitionBy(*KEY, "second").orderBy("us")
     across = Window.partitionBy(*KEY).orderBy("second")
-    within = ticks.select(*KEY, (F.col("us") - F.lag("us").over(inside)).alias("gap"), F.lit(1).cast("bigint").alias("n"))
-    zero = ticks.where("same > 1").select(*KEY, F.lit(0).cast("bigint").alias("gap"), (F.col("same") - 1).alias("n"))
-    seconds = ticks.groupBy(*KEY, "second").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    between = seconds.select(*KEY, (F.col("lo") - F.lag("hi").over(across)).alias("gap"), F.lit(1).cast("bigint").alias("n"))
-    counts = within.unionByName(zero).unionByName(between).where("gap IS NOT NULL").groupBy(*KEY, "gap").agg(F.sum("n").alias("n"))
+    seconds = ticks.groupBy(*KEY, "second").agg(F.max("us").alias("hi")).withColumn("before", F.lag("hi").over(across)).drop("hi")
+    stepped = ticks.join(seconds, [*KEY, "second"]).withColumn("gap", F.col("us") - F.coalesce(F.lag("us").over(inside), "before"))
+    # n packets at one microsecond: one gap to the packet before them, and n - 1 of nothing
+    one, rest = F.lit(1).cast("bigint"), F.col("same") - 1
+    both = F.array(F.struct(F.col("gap"), one.alias("n")), F.struct(F.lit(0).cast("bigint").alias("gap"), rest.alias("n")))
+    gaps = stepped.select(*KEY, F.explode(both).alias("g")).select(*KEY, "g.gap", "g.n").where("gap IS NOT NULL AND n > 0")
+    counts = gaps.groupBy(*KEY, "gap").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*KEY).orderBy("gap")
     whole = Window.partitionBy(*KEY)
     placed = counts.withColumns({"last_": F.sum("n").over(upto), "all_": F.sum("n").over(whole)})

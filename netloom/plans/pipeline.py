@@ -20,6 +20,7 @@ from netloom.operators import relationships as rel
 from netloom.operators import replay as rp
 from netloom.operators import snapshots as sn
 from netloom.operators import timeline as ti
+from netloom.session import tune
 
 
 class Analysis:
@@ -32,6 +33,7 @@ class Analysis:
     """
 
     def __init__(self, raw_packets: DataFrame, previous: "Analysis | None" = None, keep=None, policy=None, definitions=None):
+        tune(raw_packets.sparkSession)
         self.source = raw_packets
         self.previous = previous
         self.keep = keep or written(raw_packets.sparkSession)
