@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import ip, ladders
 from netloom.functions.numeric import flag, ratio, rnd, scaled, tally, unit
-from netloom.functions.text import clean_hostname, labels, words
+from netloom.functions.text import clean_hostname, words
 from netloom.functions.times import HOUR_US, hour_bucket
 
 HOST = ["capture_id", "ip_address"]

@@ -63,7 +63,6 @@ def primary_hypothesis(candidates: DataFrame) -> DataFrame:
     """The most confident finding of tier PRIMARY, else the most confident; `findings` has ten elements at most."""
     best = F.filter("findings", lambda f: f["finding_tier"] == "PRIMARY")
     pool = F.when(F.size(best) > 0, best).otherwise(F.col("findings"))
-    top = F.array_max(F.transform(pool, lambda f: f["confidence"]))
     return candidates.withColumn("pool_", pool).withColumn("top_", F.array_max(F.transform("pool_", lambda f: f["confidence"]))).withColumn(
         "primary", F.filter("pool_", lambda f: f["confidence"] == F.col("top_"))[0]
     ).drop("pool_", "top_")
