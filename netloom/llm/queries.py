@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import exact, mixing
+from netloom.llm import exact, mixing, near
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -64,5 +69,21 @@ FROM queue q LEFT JOIN taken t ON q.source IS NOT DISTINCT FROM t.source AND q.e
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        coalesce(doc_id = max(doc_id) OVER w, max(doc_id) OVER w IS NULL) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op8_near_dedup": r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sizes AS MATERIALIZED (SELECT w.doc_id, coalesce(n, 0) AS n FROM words w LEFT JOIN (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id) USING (doc_id)),
+pairs AS MATERIALIZED (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+edges AS MATERIALIZED (
+    SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both_have >= 85 * (p.n + q.n - both_have)),
+ways AS MATERIALIZED (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach AS (SELECT DISTINCT a AS doc_id, a AS seen FROM ways UNION SELECT r.doc_id, e.b FROM reach r JOIN ways e ON r.seen = e.a)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(least(m.low, s.doc_id), s.doc_id) AS component_id, coalesce(least(m.low, s.doc_id), s.doc_id) = s.doc_id AS kept
+FROM sizes s LEFT JOIN (SELECT doc_id, min(seen) AS low FROM reach GROUP BY doc_id) m USING (doc_id)
 """,
 }
