@@ -101,7 +101,7 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def fit(features: DataFrame, labels: DataFrame, pooled: float = 0.1, shrink: float = 0.05) -> Discriminant:
+def fit(features: DataFrame, labels: DataFrame, pooled: float = 0.5, shrink: float = 0.05) -> Discriminant:
     """From (doc_id, x) and (doc_id, quality): means and covariances by class in one aggregate over all labelled rows.
 
     The covariance of a class is drawn by `pooled` to that of both and by `shrink` to a multiple of the identity.
