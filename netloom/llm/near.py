@@ -2,9 +2,9 @@
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,19 +91,37 @@ def _set_batch(ids: pa.Array, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in rows])), pa.ListArray.from_arrays(offsets, values)], ["id", "shingles"])
 
 
-def _block_pairs(rows: pd.DataFrame, limit: int, share: float) -> pd.DataFrame:
-    """Pairs of one block within the distance, of different components and like sizes; only these leave the task."""
-    rows = rows.sort_values("rep", ignore_index=True)
-    marks = np.frombuffer(b"".join(rows["mark"]), np.uint16).reshape(len(rows), PLACES)
-    rep, component, size = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
-    left, right = [], []
-    for i in range(len(rows) - 1):
-        other = i + 1 + np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(size[i + 1 :], size[i]) >= share * np.maximum(size[i + 1 :], size[i]) - 1e-9))
-        other = other[(marks[other] != marks[i]).sum(axis=1) <= limit]
-        left.append(np.full(len(other), rep[i]))
-        right.append(rep[other])
-    pick = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-    return pd.DataFrame({"a": pick(left), "b": pick(right)})
+def _block_pairs(batches: Iterator[pa.RecordBatch], limit: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block (key, i, j) within the distance, of different components and like sizes; only these leave the task.
+
+    Rows come ordered by block. The rows of many blocks are compared at once, each with the one d places further on, for
+    rising d while any block is that long; what a block has of rows in the next batch waits for it.
+    """
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            block = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)])
+            numbers = np.stack([batch.column(c).to_numpy() for c in (3, 4, 5)])
+            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(len(batch), PLACES)
+            if held is not None:
+                block, numbers, marks = (np.concatenate([x, y], axis=axis) for x, y, axis in zip(held, (block, numbers, marks), (1, 1, 0), strict=True))
+        elif held is not None:
+            block, numbers, marks = held
+        else:
+            return
+        new = np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)])[: block.shape[1]]
+        whole = len(new) if batch is None else (int(np.flatnonzero(new)[-1]) if len(new) else 0)
+        held = block[:, whole:], numbers[:, whole:], marks[whole:]
+        group, (rep, component, size) = np.cumsum(new[:whole]), numbers[:, :whole]
+        at, d = np.arange(whole), 1
+        while len(at):
+            at = at[at + d < whole]
+            at = at[group[at] == group[at + d]]
+            near = at[(component[at] != component[at + d]) & (np.minimum(size[at], size[at + d]) >= share * np.maximum(size[at], size[at + d]) - 1e-9)]
+            near = near[(marks[near] != marks[near + d]).sum(axis=1) <= limit]
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[near], rep[near + d])), pa.array(np.maximum(rep[near], rep[near + d]))], ["a", "b"])
+            d += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -154,7 +172,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
     spread = spread.join(labelled.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
-    rest = spread.groupBy("key", "i", "j").applyInPandas(lambda rows: _block_pairs(rows, limit, share), "a bigint, b bigint").distinct()
+    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "component", "n_shingles", "mark")
+    rest = spread.mapInArrow(lambda b: _block_pairs(b, limit, share), "a bigint, b bigint").distinct()
     more = confirmed(texts, rest, width, percent)
     groups = components(links.unionByName(more))
 
