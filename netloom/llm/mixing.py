@@ -11,6 +11,8 @@ from netloom.llm.common import WORD, written
 CELL_ROWS = 20_000
 EDGE_ROWS = 200_000
 SLOTS = 65_536
+# Sources whose cuts are sent to all tasks; more are joined by source.
+BROADCAST_SOURCES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -50,6 +52,11 @@ def targets(sizes: DataFrame, weights: DataFrame, repeats: int, budget: int | No
     return live.unionByName(known.where("weight <= 0").select("source", "source_size", F.lit(0.0).alias("target")))
 
 
+def mark_of(seed: str) -> Column:
+    """The place of a document in the shuffled order of its source: 16 hexadecimal digits."""
+    return F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 16)
+
+
 def mix(docs: DataFrame, weights: DataFrame, repeats: int = 3, budget: int | None = None, seed: str = "mix", size: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, first_finish: one row for each row of `docs`.
 
@@ -66,8 +73,7 @@ def mix(docs: DataFrame, weights: DataFrame, repeats: int = 3, budget: int | Non
     Rows with the same id are taken in the order of size; null ids come first. Empty table: no rows.
     """
     size = words_of(F.col("text")) if size is None else size.cast("bigint")
-    mark = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = written(docs.select("doc_id", "source", F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("size"), F.substring(mark, 1, 16).alias("mark")), "mix-sizes")
+    sized = written(docs.select("doc_id", "source", F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("size"), mark_of(seed).alias("mark")), "mix-sizes")
     digits = 0
     count = sized.count()
     while digits < 6 and CELL_ROWS * 16**digits < count:
@@ -124,3 +130,28 @@ def _edge(copies: DataFrame, total: int) -> tuple[float, float, int]:
         low, high = found["first"], math.nextafter(found["last"], math.inf)
         if found["rows"] <= EDGE_ROWS or found["first"] == found["last"]:
             return low, high, used
+
+
+def mixed_documents(docs: DataFrame, weights: DataFrame, repeats: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of `docs`, all columns, each as often as `mix` takes it, spread over the output as the queues are served.
+
+    A budget cuts each queue at one place, so what a source takes is a number of whole rounds and one more up to a document.
+    These places, one row for each source, go to the documents; texts move once, to the range of their finish time. That
+    time takes the share of marks for the share of words before a document, which agree in the mean.
+    """
+    taken = mix(docs, weights, repeats=repeats, seed=seed).where("size > 0").withColumn("mark", mark_of(seed))
+    order = F.struct("mark", "doc_id", "size")
+    cuts = taken.groupBy("source").agg(
+        F.min("copies").alias("__rounds"), F.max("copies").alias("__most"), F.max(F.struct(F.col("copies"), order.alias("last"))).alias("__cut"),
+        (F.first("source_size") / F.greatest(F.first("target"), F.lit(1e-9))).alias("__pace"),
+    )
+    cuts = written(cuts.select(F.col("source").alias("__source"), "__rounds", "__most", F.col("__cut.last").alias("__last"), "__pace"), "mix-cuts")
+    small = cuts.count() <= BROADCAST_SOURCES
+    rows = docs.withColumn("__size", words_of(F.col("text"))).where("__size > 0")
+    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("__source")))
+    place = F.struct(mark_of(seed).alias("mark"), F.col("doc_id"), F.col("__size").alias("size"))
+    copies = F.when(place <= F.col("__last"), F.col("__most")).otherwise(F.col("__rounds"))
+    rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    share = F.conv(F.substring(mark_of(seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = rows.withColumn("__finish", (F.col("__turn") - 1 + share) * F.col("__pace"))
+    return rows.repartitionByRange("__finish").sortWithinPartitions("__finish").select(*docs.columns)

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,9 +145,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     equal scores. No labels, or a class with fewer than two rows: every score is the share of label 1, or 0.5. Other
     columns are not read.
     """
-    small_batches(docs.sparkSession)
-    features = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
-    features = written(features, "quality-statistics")
+    features = _written_features(docs)
     model = fit(features.where(~held_out(F.col("doc_id"))), labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,3 +155,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
     out = features.mapInArrow(scored, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _written_features(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    features = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return written(features, "quality-statistics")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns, whose score reaches the threshold.
+
+    The model is that of `quality_scores`. Rows are scored where they are read, so texts are read twice and never shuffled.
+    """
+    model = fit(_written_features(docs).where(~held_out(F.col("doc_id"))), labels)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(statistics(pa.array(text, pa.string()))))
+
+    return docs.where(score(F.col("text").cast("string")) >= threshold)

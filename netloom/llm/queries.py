@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import exact, mixing, near, packing, quality
+from netloom.llm import exact, forest, mixing, near, packing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_nearest": op5_nearest,
     "op6_packing": op6_packing,
     "op8_near_dedup": op8_near_dedup,
 }
