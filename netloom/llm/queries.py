@@ -2,10 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import exact, forest, mixing, near, packing, quality
+from netloom.llm import chat, exact, forest, mixing, near, packing, pii, quality, secrets, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
@@ -41,17 +45,46 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat.read_back(chat.formatted(given.unionByName(probe)))
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
 
 
+def spans_text(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end, comma-joined."""
+    names = F.array(*[F.lit(k) for k in kinds])
+    one = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, folder, "documents"))
+    counts = [count_of(F.col("spans"), i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, "base_sha256", spans_text(F.col("spans"), secrets.KINDS).alias("spans"))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, folder, "documents"))
+    counts = [count_of(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    digest = F.sha2(spans_text(F.col("base"), pii.KINDS), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), spans_text(F.array_sort(F.concat("base", "added")), pii.KINDS).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing,
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_quality": op4_quality,
-    "op5_nearest": op5_nearest,
-    "op6_packing": op6_packing,
-    "op8_near_dedup": op8_near_dedup,
+    f.__name__: f
+    for f in (op1_mixing, op2_url_filter, op3_exact_dedup, op4_quality, op5_nearest, op6_packing, op7_chat, op8_near_dedup, op9_secrets, op10_pii)
 }
 
 SQL: dict[str, str] = {
@@ -108,5 +141,23 @@ ways AS MATERIALIZED (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
 reach AS (SELECT DISTINCT a AS doc_id, a AS seen FROM ways UNION SELECT r.doc_id, e.b FROM reach r JOIN ways e ON r.seen = e.a)
 SELECT s.doc_id, s.n AS n_shingles, coalesce(least(m.low, s.doc_id), s.doc_id) AS component_id, coalesce(least(m.low, s.doc_id), s.doc_id) = s.doc_id AS kept
 FROM sizes s LEFT JOIN (SELECT doc_id, min(seen) AS low FROM reach GROUP BY doc_id) m USING (doc_id)
+""",
+    "op7_chat": r"""
+WITH given AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM given),
+sized AS (
+    SELECT *, length(text) + length(text) - length(translate(text, '\#:<', '')) AS written,
+           CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 1 + 2 * length(role) - length(translate(role, '\#:<', '')) END AS name_chars,
+           lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY n) AS before
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + name_chars + 2 + written + 8)::BIGINT AS formatted_chars,
+       count(*) FILTER (NOT ((before = '' AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user')))::BIGINT AS n_errors
+FROM sized GROUP BY conv_id
 """,
 }
