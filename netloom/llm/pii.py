@@ -4,12 +4,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import written
 from netloom.llm.words import small_batches, text_slices, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
@@ -24,7 +26,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # The labelled table: lines of a sample of documents, labelled by the base patterns.
 SAMPLE_DOCS = 5_000
-LINES = 400  # with personal data, and as many without
+LINES = 400  # of each sort: without matches, with personal data, with matches that do not hold only
 LINE_WORDS = 64
 SHAPES = 1 << 11
 EDGE = SHAPES  # what stands before and after a line
@@ -53,19 +55,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, taken))
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end), by kind as listed and start."""
-    spans = [(0, a, b) for a, b in _emails(text)]
+def matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """(kind, start, end, whether it holds) for every match of a base pattern, by kind as listed and start."""
+    for a, b in _emails(text):
+        yield 0, a, b, True
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            spans.append((1, *m.span()))
+        yield 1, *m.span(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))
     for m in CARD.finditer(text):
-        if 13 <= m.end() - m.start() and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
-            spans.append((2, *m.span()))
+        if m.end() - m.start() >= 13:
+            digits = _digits(m.group())
+            yield 2, *m.span(), 13 <= len(digits) <= 19 and luhn(digits)
     for m in PHONE.finditer(text):
-        if 9 <= len(_digits(m.group())) <= 15:
-            spans.append((3, *m.span()))
-    return spans
+        yield 3, *m.span(), 9 <= len(_digits(m.group())) <= 15
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the matches that hold."""
+    return [(kind, a, b) for kind, a, b, holds in matches(text) if holds]
 
 
 _DIGIT, _ALPHA = np.zeros(256, np.int32), np.zeros(256, np.int32)
@@ -197,37 +203,40 @@ def _characters(data: np.ndarray) -> np.ndarray:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with tags by the base patterns; of each sort the LINES with the least digests that this task has."""
-    kept: dict[bool, dict] = {True: {}, False: {}}
+    kept: dict[int, dict] = {0: {}, 1: {}, 2: {}}
     for batch in batches:
         texts = batch.column(0).fill_null("")
         for first, data, offsets in text_slices(texts):
             starts, ends, place = word_bounds(data, offsets)
             codes, points = shapes(data, starts, ends), _characters(data)
-            tags = np.zeros(len(starts), np.int64)
+            tags, failed = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
             for row in range(len(offsets) - 1):
                 a, b = place[row], place[row + 1]
                 origin = points[offsets[row]]
-                for kind, begin, stop in base_spans(texts[first + row].as_py()):
+                for kind, begin, stop, holds in matches(texts[first + row].as_py()):
                     low = a + np.searchsorted(points[ends[a:b]] - origin, begin, "right")
                     high = a + np.searchsorted(points[starts[a:b]] - origin, stop, "left")
-                    tags[low:high] = kind + 1
+                    if holds:
+                        tags[low:high] = kind + 1
+                    else:
+                        failed[low:high] = True
             lines = lines_of(data, offsets, starts)
             for low, high in zip(lines[:-1], lines[1:], strict=True):
                 high = min(high, low + LINE_WORDS)
-                some = bool(tags[low:high].any())
+                sort = 1 if tags[low:high].any() else 2 if failed[low:high].any() else 0
                 row = codes[low:high].tolist(), tags[low:high].tolist()
-                kept[some][hashlib.blake2b(repr(row).encode() + data[starts[low] : ends[high - 1]].tobytes(), digest_size=8).hexdigest()] = row
-            for some, held in kept.items():
+                kept[sort][hashlib.blake2b(repr(row).encode() + data[starts[low] : ends[high - 1]].tobytes(), digest_size=8).hexdigest()] = row
+            for sort, held in kept.items():
                 if len(held) > 4 * LINES:
-                    kept[some] = {k: held[k] for k in sorted(held)[:LINES]}
-    rows = [(some, k, *held[k]) for some, held in kept.items() for k in sorted(held)[:LINES]]
+                    kept[sort] = {k: held[k] for k in sorted(held)[:LINES]}
+    rows = [(sort, k, *held[k]) for sort, held in kept.items() for k in sorted(held)[:LINES]]
     if rows:
-        kinds = [pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["some", "digest", "shapes", "tags"])
+        kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["sort", "digest", "shapes", "tags"])
 
 
 def labelled_lines(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """some, digest, shapes, tags: the small labelled table, LINES lines with personal data and LINES without.
+    """sort, digest, shapes, tags: the small labelled table, LINES lines of each sort.
 
     About sample_docs documents are chosen by a digest of their text; of their lines, those with the least digests.
     """
@@ -236,8 +245,8 @@ def labelled_lines(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame
     share = min(1.0, sample_docs / max(count, 1))
     text = F.col("text").cast("string")
     picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit("lines")), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    rows = picked.mapInArrow(_labelled, "some boolean, digest string, shapes array<bigint>, tags array<bigint>")
-    return rows.where("some").orderBy("digest").limit(LINES).unionByName(rows.where("NOT some").orderBy("digest").limit(LINES))
+    rows = written(picked.mapInArrow(_labelled, "sort int, digest string, shapes array<bigint>, tags array<bigint>"), "pii-lines")
+    return reduce(DataFrame.unionByName, (rows.where(F.col("sort") == k).orderBy("digest").limit(LINES) for k in range(3)))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
@@ -263,14 +272,14 @@ def _scan(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Record
                 found.setdefault(row, []).append((int(tags[low]) - 1, int(points[starts[low]] - points[offsets[row]]), int(points[ends[high]] - points[offsets[row]])))
             for row in range(len(offsets) - 1):
                 text = texts[first + row].as_py()
-                known = base_spans(text)
-                base.append([{"kind": k, "start": a, "stop": b} for k, a, b in known])
+                known = list(matches(text))
+                base.append([{"kind": k, "start": a, "stop": b} for k, a, b, holds in known if holds])
                 extra = []
                 for kind, a, b in found.get(row, ()):
                     inner = text[a:b].strip(" \t,;:!?.*#%&$|\"'")
                     a = text.index(inner, a)
                     b = a + len(inner)
-                    if inner and not any(x < b and a < y for _, x, y in known):
+                    if inner and not any(x < b and a < y for _, x, y, _ in known):
                         extra.append((kind, a, b))
                 added.append([{"kind": k, "start": a, "stop": b} for k, a, b in sorted(extra)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans_type), pa.array(added, spans_type)], ["doc_id", "base", "added"])
@@ -280,14 +289,15 @@ def personal_spans(docs: DataFrame, labelled: DataFrame | None = None) -> DataFr
     """doc_id, base, added: arrays of (kind, start, stop), in code points, end exclusive; one row for each row of `docs`.
 
     base: the matches of the base patterns, by kind (numbers of KINDS) and start. added: runs of words of one tag in the
-    Viterbi path of the random field, cut free of punctuation, where no base span overlaps. The field is trained on the
+    Viterbi path of the random field, cut free of punctuation, where no match of a base pattern overlaps, be it one that
+    holds or one that its check has refused (such as a number that fails Luhn). The field is trained on the
     driver from a labelled table of bounded size (rows of shapes and tags), `labelled_lines` of the documents unless given; it
     decodes every line of every text in numpy batches. Without labelled personal data nothing is added.
 
     Null text counts as empty. Null and repeated doc_ids are scanned row by row. Empty table: no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    table = (labelled_lines(docs) if labelled is None else labelled.limit(2 * LINES)).select("shapes", "tags").collect()
+    table = (labelled_lines(docs) if labelled is None else labelled.limit(3 * LINES)).select("shapes", "tags").collect()
     field = train([(list(r["shapes"]), list(r["tags"])) for r in table])
     span = "array<struct<kind:int,start:int,stop:int>>"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
