@@ -14,20 +14,24 @@ from netloom.llm.links import components
 from netloom.llm.words import mixed, shingle_sets, small_batches
 
 PLACES = 64
+# Rounds of comparing each class with one hub.
+ROUNDS = 3
 # Rows of one key that are compared in one task at a time.
 BLOCK_ROWS = 1024
 # Ids sent to all tasks up to this number, else joined.
 BROADCAST_IDS = 500_000
 
+# The sieve: more places of 8 bits, for classes that blocks compare.
+SIEVE = 512
 _RNG = np.random.default_rng(64)
-_XOR = _RNG.integers(0, 1 << 63, PLACES, dtype=np.uint64)
-_MUL = _RNG.integers(0, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, SIEVE, dtype=np.uint64)
+_MUL = _RNG.integers(0, 1 << 62, SIEVE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def distance_limit(similarity: float) -> int:
+def distance_limit(similarity: float, places: int = PLACES) -> int:
     """Places at which signatures may differ: the mean for pairs just at the similarity, and 4.2 deviations."""
     miss = 1 - similarity
-    return math.ceil(PLACES * miss + 4.2 * math.sqrt(PLACES * miss * similarity))
+    return math.ceil(places * miss + 4.2 * math.sqrt(places * miss * similarity))
 
 
 def chunk_bounds(limit: int) -> list[tuple[int, int]]:
@@ -37,12 +41,22 @@ def chunk_bounds(limit: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def least_hashes(found: np.ndarray, places: int) -> np.ndarray:
+    """For each place the least hash of the set under the place's function."""
+    least = np.full(places, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 2048):
+        least = np.minimum(least, ((found[None, i : i + 2048] ^ _XOR[:places, None]) * _MUL[:places, None]).min(axis=1))
+    return mixed(least)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
-    """16 bits for each place: of the least hash of the set under the place's function."""
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 4096):
-        least = np.minimum(least, ((found[None, i : i + 4096] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1))
-    return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
+    return (least_hashes(found, PLACES) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _sieves(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [(least_hashes(found, SIEVE) & np.uint64(0xFF)).astype(np.uint8).tobytes() for _, found in shingle_sets(batch.column(1), width)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["id", "sieve"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -62,8 +76,7 @@ def _keys(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]]) -> I
     for batch in batches:
         if not len(batch):
             continue
-        marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(batch), PLACES).astype(np.uint64)
-        marks = mixed(marks + np.arange(PLACES, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(1))
+        marks = _spread(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(batch), PLACES))
         for low, high in bounds:
             chunk = marks[:, low:high].sum(axis=1, dtype=np.uint64)
             for place in range(low, high):
@@ -91,8 +104,41 @@ def _set_batch(ids: pa.Array, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in rows])), pa.ListArray.from_arrays(offsets, values)], ["id", "shingles"])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], limit: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block (key, i, j) within the distance, of different components and like sizes; only these leave the task.
+def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b) from (key, rep, component): each class and the hub that most of its keys name, if of another component.
+
+    The hub of a key is its least class, in later rounds its first in an order drawn anew. Counts are by key before class.
+    """
+    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    hubs = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("rep"), F.col("component"))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hubs = hubs.where("low <> high").select(F.col("key").alias("k"), F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component"))
+    named = members.join(hubs, F.col("key") == F.col("k")).where("component <> hub_component").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    best = named.groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("hub")).alias("minus"))).alias("best"))
+    other = -F.col("best.minus")
+    return best.select(F.least(other, F.col("rep")).alias("a"), F.greatest(other, F.col("rep")).alias("b")).distinct()
+
+
+def _first_key(left: np.ndarray, right: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """The first key that each pair of signatures shares."""
+    out, open_ = np.zeros(len(left), np.int64), np.ones(len(left), bool)
+    for low, high in bounds:
+        differ = left[:, low:high] != right[:, low:high]
+        hit = np.flatnonzero(open_ & (differ.sum(axis=1) <= 1))
+        place = low + differ[hit].argmax(axis=1)  # of equal chunks the first place
+        marks = _spread(left[hit])
+        out[hit] = mixed(marks[:, low:high].sum(axis=1, dtype=np.uint64) - marks[np.arange(len(hit)), place] + place.astype(np.uint64)).astype(np.int64)
+        open_[hit] = False
+    return out
+
+
+def _spread(marks: np.ndarray) -> np.ndarray:
+    """64-bit numbers for the values of a signature, apart for each place."""
+    return mixed(marks.astype(np.uint64) + np.arange(PLACES, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(1))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], limit: int, sieve: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block (key, i, j) within the distance, of different components and like sizes, at the first key that they
+    share; only these leave the task.
 
     Rows come ordered by block. The rows of many blocks are compared at once, each with the one d places further on, for
     rising d while any block is that long; what a block has of rows in the next batch waits for it.
@@ -103,15 +149,16 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], limit: int, share: float) ->
             block = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)])
             numbers = np.stack([batch.column(c).to_numpy() for c in (3, 4, 5)])
             marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(len(batch), PLACES)
+            sieves = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(batch), SIEVE)
             if held is not None:
-                block, numbers, marks = (np.concatenate([x, y], axis=axis) for x, y, axis in zip(held, (block, numbers, marks), (1, 1, 0), strict=True))
+                block, numbers, marks, sieves = (np.concatenate([x, y], axis=axis) for x, y, axis in zip(held, (block, numbers, marks, sieves), (1, 1, 0, 0), strict=True))
         elif held is not None:
-            block, numbers, marks = held
+            block, numbers, marks, sieves = held
         else:
             return
         new = np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)])[: block.shape[1]]
         whole = len(new) if batch is None else (int(np.flatnonzero(new)[-1]) if len(new) else 0)
-        held = block[:, whole:], numbers[:, whole:], marks[whole:]
+        held = block[:, whole:], numbers[:, whole:], marks[whole:], sieves[whole:]
         group, (rep, component, size) = np.cumsum(new[:whole]), numbers[:, :whole]
         at, d = np.arange(whole), 1
         while len(at):
@@ -119,6 +166,8 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], limit: int, share: float) ->
             at = at[group[at] == group[at + d]]
             near = at[(component[at] != component[at + d]) & (np.minimum(size[at], size[at + d]) >= share * np.maximum(size[at], size[at + d]) - 1e-9)]
             near = near[(marks[near] != marks[near + d]).sum(axis=1) <= limit]
+            near = near[(sieves[near] != sieves[near + d]).sum(axis=1) <= sieve]
+            near = near[_first_key(marks[near], marks[near + d], bounds) == block[0, near]]
             if len(near):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[near], rep[near + d])), pa.array(np.maximum(rep[near], rep[near + d]))], ["a", "b"])
             d += 1
@@ -134,10 +183,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     2. Multi-index Hamming join: signatures are split into chunks so that, by pigeonhole, two within the distance limit
        differ at no more than one place of some chunk. For each chunk a key is written for each place left out, so these
        pairs share a key. The limit lies 4.2 deviations above the mean distance of pairs just at the similarity.
-    3. Classes of a key are first compared with the least class of the key (rows grow with classes, not with pairs). Links
-       are confirmed on whole sets and merged into components. Keys that still hold several components are then
-       compared in blocks of bounded size, where only pairs of different components within the distance leave a block.
-       So every pair that shares a key is in one component or has been compared.
+    3. In a few rounds each class is compared with one other, the hub of a key that most of its keys name and that is not yet
+       in its component; so rows grow with classes, not with pairs. Links are confirmed on whole sets and merged into
+       components. Keys that still hold several components are then compared in blocks of bounded size, where only pairs
+       of different components within the distance leave a block, each pair once, after a sieve by longer signatures (made
+       for these classes only, with a limit set alike). So every pair that shares a key is in one
+       component or has been compared.
     4. Components are the smallest doc_id reachable.
 
     Lower case A-Z; words are runs without ASCII white space. Fewer words than width: the whole sequence is the one shingle.
@@ -156,14 +207,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = classes.where("rep IS NOT NULL").select("rep", "mark", "n_shingles")
 
     keys = reps.select("rep", "mark").mapInArrow(lambda b: _keys(b, bounds), "key bigint, rep bigint")
-    met = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub <> far").select(F.col("key").alias("k"), "hub")
-    shared = written(keys.join(met, F.col("key") == F.col("k")).select("key", "rep", "hub"), "near-keys")
-    pairs = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(texts, _near(pairs, reps, limit, share), width, percent)
-    groups = components(links)
-
-    labelled = reps.join(groups, F.col("rep") == F.col("id"), "left").select("rep", "mark", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    members = shared.select("key", "rep").join(labelled.select(F.col("rep").alias("r"), "component"), F.col("rep") == F.col("r")).drop("r")
+    met = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+    shared = written(keys.join(met, F.col("key") == F.col("k")).select("key", "rep"), "near-keys")
+    labelled, links = reps.withColumn("component", F.col("rep")), None
+    for turn in range(ROUNDS):
+        members = shared.join(labelled.select(F.col("rep").alias("r"), "component"), F.col("rep") == F.col("r")).drop("r")
+        pairs = written(_near(_hub_pairs(members, turn), reps, limit, share), "near-pairs")
+        found = confirmed(texts, pairs, width, percent)
+        links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            break
+        groups = components(links)
+        labelled = reps.join(groups, F.col("rep") == F.col("id"), "left").select("rep", "mark", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    members = shared.join(labelled.select(F.col("rep").alias("r"), "component"), F.col("rep") == F.col("r")).drop("r")
     mixed_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
     blocks = mixed_keys.select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     open_rows = written(members.join(blocks, F.col("key") == F.col("k")).select("key", "rep", "blocks"), "near-open")
@@ -171,9 +227,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a row goes to the groups (i, own) and (own, j) of its key: as many as the key has blocks
     spread = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
-    spread = spread.join(labelled.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
-    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "component", "n_shingles", "mark")
-    rest = spread.mapInArrow(lambda b: _block_pairs(b, limit, share), "a bigint, b bigint").distinct()
+    wanted = open_rows.select(F.col("rep").alias("wanted")).distinct()
+    sieves = written(_texts_of(texts, wanted).mapInArrow(lambda b: _sieves(b, width), "id bigint, sieve binary").dropDuplicates(["id"]), "near-sieves")
+    full = labelled.join(sieves, F.col("rep") == F.col("id")).drop("id")
+    spread = spread.join(full.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
+    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "component", "n_shingles", "mark", "sieve")
+    rest = spread.mapInArrow(lambda b: _block_pairs(b, bounds, limit, distance_limit(share, SIEVE), share), "a bigint, b bigint").distinct()
     more = confirmed(texts, rest, width, percent)
     groups = components(links.unionByName(more))
 
@@ -196,13 +255,17 @@ def _near(pairs: DataFrame, reps: DataFrame, limit: int, share: float) -> DataFr
     return both.select("a", "b", "mark_a", "mark_b").mapInArrow(within, "a bigint, b bigint")
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted ids; texts move only if the ids are too many to send."""
+    small = wanted.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough; texts are read again for these documents only."""
     pairs = written(pairs, "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    small = wanted.count() <= BROADCAST_IDS
-    found = texts.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    sets = written(found.mapInArrow(lambda b: _sets(b, width), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "near-sets")
+    sets = written(_texts_of(texts, wanted).mapInArrow(lambda b: _sets(b, width), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "near-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("set_a", "set_b"))
