@@ -16,7 +16,8 @@ from netloom.llm.words import small_batches
 class Template:
     """How turns are marked, whose texts count for the loss, and which role may follow which.
 
-    Inside texts and role names, characters that could begin a mark get a backslash, as does the backslash itself.
+    Inside texts and role names, a character that could begin a mark becomes a backslash and a letter, and a backslash becomes
+    two; so no mark stands inside a text, and the text can be read back.
     """
 
     head: str = "### "
@@ -27,17 +28,20 @@ class Template:
     follows: dict = field(default_factory=lambda: {"": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}})
 
     @property
-    def guarded(self) -> str:
-        return "\\" + self.head[0] + self.after_role[0] + self.end[0]
+    def codes(self) -> dict[str, str]:
+        """Guarded characters and their letters, the backslash first."""
+        return {"\\": "\\"} | {mark[0]: letter for letter, mark in (("r", self.after_role), ("e", self.end), ("h", self.head))}
 
     def escape(self, text: str) -> str:
-        for c in self.guarded:  # the backslash comes first
-            text = text.replace(c, "\\" + c)
+        for c, letter in self.codes.items():
+            text = text.replace(c, "\\" + letter)
         return text
 
-    @staticmethod
-    def unescape(text: str) -> str:
-        return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
+    def unescape(self, text: str) -> str:
+        if "\\" not in text:
+            return text
+        plain = {letter: c for c, letter in self.codes.items()}
+        return re.sub(r"\\(.)", lambda m: plain[m[1]], text)
 
     def role_name(self, role: str) -> str:
         """Known roles have names; any other stands after an equals sign."""
