@@ -96,8 +96,14 @@ def destination_intel(relationships: DataFrame, hypotheses: DataFrame) -> DataFr
     }).drop("known_consumers", "consumers")
 
 
-def context_fallback(flows: DataFrame, hosts: DataFrame) -> DataFrame:
-    """For a capture without findings: the outbound web flow to the most suspicious domain."""
+def context_fallback(flows: DataFrame, hosts: DataFrame, hypotheses: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The most suspicious web flow, for captures that have neither hypotheses nor candidates."""
+    found = hypotheses.select(CAP).unionByName(candidates.select(CAP)).distinct()
+    return web_finding(flows.join(found, CAP, "left_anti"), hosts)
+
+
+def web_finding(flows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The outbound web flow of each capture to its most suspicious domain, as a finding. Its texts are fixed values."""
     c = F.col
     domains = F.filter("observed_domains", investigative_domain)
     web = flows.where((c("direction") == "outbound") & c("application_protocol").isin("http", "https")).withColumn("domain", F.try_element_at(domains, F.lit(1))).where("domain IS NOT NULL")

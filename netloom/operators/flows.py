@@ -197,7 +197,7 @@ def _hot_gap_summary(ticks: DataFrame) -> DataFrame:
         return F.max(F.when((F.col("last_") - F.col("n") < position) & (F.col("last_") >= position), F.col("gap")))
 
     lower, upper = F.expr("(all_ + 1) div 2"), F.expr("all_ div 2 + 1")
-    gap, n = F.col("gap").cast("decimal(19,0)"), F.col("n").cast("decimal(10,0)")
+    gap, n = F.col("gap").cast("decimal(19,0)"), F.col("n").cast("decimal(19,0)")
     return placed.groupBy(*KEY).agg(
         F.sum("n").alias("n"),
         F.sum(F.col("gap") * F.col("n")).alias("s1"),
@@ -215,11 +215,12 @@ def inter_packet_delay(packets: DataFrame, flows: DataFrame, hot: int = HOT_FLOW
     gaps = narrow.join(large, KEY, "left_anti").select(*KEY, (F.col("us") - F.lag("us").over(w)).alias("gap")).where("gap IS NOT NULL")
     stats = _gap_summary(gaps).unionByName(_hot_gap_summary(narrow.join(large, KEY, "left_semi")))
     n = F.col("n")
-    count = n.cast("decimal(12,0)")
-    moment = (F.col("s2").cast("decimal(26,0)") * count).cast("decimal(38,0)") - (
-        F.col("s1").cast("decimal(19,0)") * F.col("s1").cast("decimal(19,0)")
-    ).cast("decimal(38,0)")
-    deviation = F.when(n > 1, F.sqrt(F.greatest(moment.cast("double"), F.lit(0.0)) / n / (n - 1))).otherwise(F.lit(0.0))
+    # s2 - s1 * s1 / n with s1 = q * n + r, so that no product exceeds s1 * s1 and only r * r / n is not an integer
+    wide = "decimal(38,0)"
+    count, q, r = (F.expr(x).cast("decimal(19,0)") for x in ("n", "s1 div n", "s1 % n"))
+    whole = F.col("s2").cast(wide) - ((q * q).cast(wide) * count).cast(wide) - ((q * r).cast(wide) * F.lit(2)).cast(wide)
+    rest = r.cast("double") * r.cast("double") / n
+    deviation = F.when(n > 1, F.sqrt(F.greatest(whole.cast("double") - rest, F.lit(0.0)) / (n - 1))).otherwise(F.lit(0.0))
     return stats.select(
         *KEY,
         rnd(F.col("s1") / n / F.lit(1000.0), 4).alias("mean_inter_packet_delay_ms"),

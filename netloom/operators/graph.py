@@ -20,8 +20,6 @@ COMMUNITY_OF_ROLE = {
     "WORKSTATION": "Workstations",
     "EXTERNAL_SERVICE": "External Services",
 }
-# Graphs of more nodes and edges than this get a digest of digests; see `sorted_digest`.
-WHOLE_DIGEST_ENTRIES = 1_000_000
 
 
 def node_id(address):
@@ -351,27 +349,24 @@ def edge_hashes(edges: DataFrame) -> DataFrame:
     return edges.select(CAP, F.concat(F.lit("edge_"), F.col("edge_id")).alias("entity"), F.substring(F.sha2(text, 256), 1, 16).alias("hash"))
 
 
-def sorted_join(frame: DataFrame, value: str, name: str, limit: int = WHOLE_DIGEST_ENTRIES) -> DataFrame:
-    """All hex values of a capture in order, joined by `|`.
+def sorted_digest(frame: DataFrame, value: str, name: str) -> DataFrame:
+    """A digest of all hex values of a capture in order, the same definition at every size.
 
-    The values are joined per leading three digits, in parallel. A capture with more values than `limit`
-    joins the digests of those parts, so no task ever holds the whole text.
+    The values are joined by `|` and digested for each leading three digits, in parallel; the digest of a capture is that of
+    its at most 4,096 part digests in order. So no task ever holds the whole text.
     """
     bucket = F.substring(value, 1, 3)
-    parts = frame.groupBy(CAP, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(value)), "|").alias("text"))
-    sizes = frame.groupBy(CAP).agg(F.count(F.lit(1)).alias("total"))
-    short = parts.join(sizes, CAP).withColumn("part", F.when(F.col("total") <= limit, F.col("text")).otherwise(F.sha2("text", 256)))
+    parts = frame.groupBy(CAP, bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "|"), 256).alias("part"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
-    return short.groupBy(CAP).agg(F.array_join(ordered, "|").alias(name))
+    return parts.groupBy(CAP).agg(F.sha2(F.array_join(ordered, "|"), 256).alias(name))
 
 
-def graph_fingerprint(nodes: DataFrame, edges: DataFrame, limit: int = WHOLE_DIGEST_ENTRIES) -> DataFrame:
-    hashes = node_hashes(nodes).unionByName(edge_hashes(edges))
-    return sorted_join(hashes, "hash", "t", limit).select(CAP, F.sha2("t", 256).alias("graph_fingerprint"))
+def graph_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return sorted_digest(node_hashes(nodes).unionByName(edge_hashes(edges)), "hash", "graph_fingerprint")
 
 
-def snapshot_id(nodes: DataFrame, edges: DataFrame, limit: int = WHOLE_DIGEST_ENTRIES) -> DataFrame:
-    a, b = sorted_join(nodes, "node_id", "a", limit), sorted_join(edges, "edge_id", "b", limit)
+def snapshot_id(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    a, b = sorted_digest(nodes, "node_id", "a"), sorted_digest(edges, "edge_id", "b")
     text = F.concat("a", F.lit(":"), F.coalesce("b", F.lit("")))
     return a.join(b, CAP, "left").select(CAP, F.substring(F.sha2(text, 256), 1, 16).alias("snapshot_id"))
 

@@ -116,7 +116,8 @@ def activity_clusters(hours: DataFrame) -> DataFrame:
     return ordered.withColumn("active_time_buckets", buckets).select(
         *HOST, "active_time_buckets", F.size("h").alias("active_bucket_count"),
         F.map_from_entries("h").alias("hourly_activity_distribution"),
-        F.size(F.filter("active_time_buckets", lambda x, i: (i == 0) | ~F.array_contains(F.col("active_time_buckets"), x - 1))).alias("activity_cluster_count"),
+        # a run begins where the hour before is not the element before
+        F.size(F.filter("active_time_buckets", lambda x, i: (i == 0) | (F.get(F.col("active_time_buckets"), i - 1) != x - 1))).alias("activity_cluster_count"),
     )
 
 
@@ -387,14 +388,14 @@ def baseline_snapshot(hosts: DataFrame) -> DataFrame:
 
 def baseline_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     """One row per host and field that differs."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("value")) for f in BASELINE_FIELDS])
-
-    def long(frame, name):
-        return frame.select(*HOST, F.explode(fields).alias("x")).select(*HOST, "x.field", F.col("x.value").alias(name))
-
-    joined = long(current, "current").join(long(previous, "previous"), [*HOST, "field"], "full_outer")
-    filled = joined.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in ("current", "previous")})
-    return filled.where("current <> previous").withColumn("delta", rnd(F.col("current") - F.col("previous"), 4))
+    def side(frame, prefix):
+        return frame.select(*HOST, *[F.col(f).cast("double").alias(f"{prefix}_{f}") for f in BASELINE_FIELDS])
+
+    both = side(current, "c").join(side(previous, "p"), HOST, "full_outer")
+    values = [(f, *(F.coalesce(f"{p}_{f}", F.lit(0.0)) for p in "cp")) for f in BASELINE_FIELDS]
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), now.alias("current"), then.alias("previous")) for f, now, then in values])
+    changed = both.select(*HOST, F.explode(F.filter(fields, lambda x: x["current"] != x["previous"])).alias("x")).select(*HOST, "x.*")
+    return changed.withColumn("delta", rnd(F.col("current") - F.col("previous"), 4))
 
 
 def indicator_diff(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from netloom.functions import ip, protocols
 from netloom.functions.numeric import rnd
 from netloom.operators.ordered import global_rank
 
-PAYLOAD_HEADERS = {"tcp": 40, "udp": 28}
-
 
 def payload_bytes(total, transport):
     header = F.when(transport == "tcp", 40).when(transport == "udp", 28).otherwise(20)
@@ -62,7 +60,10 @@ def application_protocols(df: DataFrame, transport: str = "transport_layer") ->
 
 
 def packet_validity(raw: DataFrame) -> DataFrame:
-    """Typed columns and `valid`: a field that does not parse, or no IPv4/ARP layer, drops the packet."""
+    """Typed columns and `valid`: a field that does not parse, or no IPv4/ARP layer, drops the packet.
+
+    Fragments have no ports; they stay, with null ports.
+    """
     transport = F.coalesce(F.col("transport"), protocols.transport_protocol(F.lit(None), F.col("layer")))
     with_ports = transport.isin("tcp", "udp")
 
@@ -77,10 +78,10 @@ def packet_validity(raw: DataFrame) -> DataFrame:
         "dport_": number("dst_port", "int"),
         "ttl_": number("ttl", "int"),
     })
-    ports_ok = ~with_ports | (F.col("sport_").isNotNull() & F.col("dport_").isNotNull())
-    ttl_ok = F.col("ttl").isNull() | F.col("ttl_").isNotNull()
+    parses = {name: F.col(name).isNull() | F.col(typed_).isNotNull() for name, typed_ in (("src_port", "sport_"), ("dst_port", "dport_"), ("ttl", "ttl_"))}
+    ports_ok = ~with_ports | (parses["src_port"] & parses["dst_port"])
     return typed.withColumn(
-        "valid", F.col("network_ok") & F.col("us").isNotNull() & F.col("bytes_").isNotNull() & ports_ok & ttl_ok
+        "valid", F.col("network_ok") & F.col("us").isNotNull() & F.col("bytes_").isNotNull() & ports_ok & parses["ttl"]
     )
 
 

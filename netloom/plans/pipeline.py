@@ -273,7 +273,8 @@ class Analysis:
     ranked_hosts = property(lambda self: ca.ranked_hosts(self.host_profiles, self.candidates, self.hypotheses))
     relationship_context = property(lambda self: ca.relationship_context(self.relationships, self.hypotheses))
     destination_intel = property(lambda self: ca.destination_intel(self.relationships, self.hypotheses))
-    context_fallback = property(lambda self: ca.context_fallback(self.enriched_flows, self.host_profiles))
+    web_finding = property(lambda self: ca.web_finding(self.enriched_flows, self.host_profiles))
+    context_fallback = property(lambda self: ca.context_fallback(self.enriched_flows, self.host_profiles, self.hypotheses, self.candidates))
     community_context = property(lambda self: ca.community_context(self.scored_nodes))
     event_search = property(lambda self: ca.event_search(self.indexed_events, "LOW", "TLS"))
     capture_totals = property(lambda self: ca.capture_totals(self.enriched_flows, self.host_profiles))

@@ -57,6 +57,10 @@ def flat(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.select(*out)
 
 
+_FINDING = [
+    "hypothesis_id", "hypothesis_type", "title", "summary", "@impacted_entities", "@supporting_evidence", "confidence_explanation", "confidence",
+    "severity", "priority_score", "priority_level", "host", "host_role", "risk", "candidate_rationale",
+]
 PACKET_COLUMNS = [
     "capture_id", "packet_index", "replay_sequence_id", "us", "src_ip", "dst_ip", "ttl", "transport_layer", "src_port", "dst_port",
     "payload_bytes", "total_bytes", "application_protocol", "app_confidence", "protocol_enrichment", "@protocol_evidence",
@@ -266,10 +270,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "destination", "related_host", "risk", "consumer_count", "rarity_score", "exclusivity_score", "@supporting_evidence",
         "@contradictory_evidence", "hypothesis_count",
     ]),
-    "context_fallback": ("context_fallback", [
-        "hypothesis_id", "hypothesis_type", "title", "summary", "@impacted_entities", "@supporting_evidence", "confidence_explanation", "confidence",
-        "severity", "priority_score", "priority_level", "host", "host_role", "risk", "candidate_rationale",
-    ]),
+    "web_finding": ("web_finding", _FINDING),
+    "context_fallback": ("context_fallback", _FINDING),
     "community_context": ("community_context", ["community_type", "role", "node_count"]),
     "event_search": ("event_search", ["event_id", "us", "event_type", "severity", "host", "recent"]),
     "capture_totals": ("capture_totals", [

@@ -132,7 +132,16 @@ def q_read_artifacts(a):
     return tables["host_profiles"].unionByName(tables["absent"]).select("ip_address", "risk_score")
 
 
+def q_normalize_fragments(a):
+    """Packets of which a fifth are fragments without ports, a fifth have a malformed port, and a fifth a malformed ttl."""
+    kind = c("packet_index") % 5
+    port = lambda name: F.when(kind == 0, F.lit(None)).when((kind == 1) & (F.lit(name) == "src_port"), F.lit("x1")).otherwise(c(name).cast("string"))
+    raw = a.raw_packets.withColumns({"src_port": port("src_port"), "dst_port": port("dst_port"), "ttl": F.when(kind == 2, F.lit("many")).otherwise(c("ttl").cast("string"))})
+    return pk.normalize_packets(raw).select("packet_index", "src_port", "dst_port", "ttl", "payload_bytes", "flow_id")
+
+
 SPECIAL = {
+    "normalize_fragments": q_normalize_fragments,
     "normalize_timestamp": q_normalize_timestamp,
     "normalization_counts": lambda a: pk.normalization_counts(a.raw_packets),
     "packet_sequence": lambda a: a.packets.select("packet_index", "replay_sequence_id"),

@@ -100,6 +100,11 @@ def direction(s: str, d: str) -> str:
       ELSE 'unknown' END)"""
 
 
+def digest(value: str, table: str) -> str:
+    """Values of equal leading three digits are digested together, then the digests."""
+    return f"""(SELECT sha256(string_agg(part, '|' ORDER BY head)) FROM (SELECT substr({value}, 1, 3) AS head, sha256(string_agg({value}, '|' ORDER BY {value})) AS part FROM {table} GROUP BY 1))"""
+
+
 def iso(us: str) -> str:
     ts = f"make_timestamp({us})"
     return f"""(CASE WHEN {us} % 1000000 = 0 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%fZ') END)"""

@@ -1,6 +1,6 @@
 """Graph tables."""
 
-from oracle.base import cte, ipnum, noninv, private, r, sc, within
+from oracle.base import cte, digest, ipnum, noninv, private, r, sc, within
 
 _OUT = f"(NOT {within(ipnum('ip_address'), '10.0.0.0/8', '172.16.0.0/12', '192.168.0.0/16')})"
 cte("graph_nodes", f"""
@@ -93,10 +93,10 @@ FROM tops, (SELECT count(*) AS n, sum({sc('risk_score', 2)}) AS risk_e2, sum(ext
 cte("hashes", """
 SELECT 'node_' || ip_address AS entity, substr(sha256(node_id || ':' || risk_score || ':' || array_to_string(list_sort(behavioral_indicators), ',') || ':' || array_to_string(protocols, ',')), 1, 16) AS hash FROM scored_nodes
 UNION ALL SELECT 'edge_' || edge_id, substr(sha256(source_node || ':' || target_node || ':' || relationship_type || ':' || relationship_risk), 1, 16) FROM graph_edges""")
-cte("graph_state", """
+cte("graph_state", f"""
 SELECT m.*, x.*, risk.* EXCLUDE (capture_id, relationship_risk), risk.relationship_risk AS relationship_risk_part, h.* EXCLUDE (capture_id), g.*, m.node_count - classified_nodes AS unclassified_nodes,
-  (SELECT sha256(string_agg(hash, '|' ORDER BY hash)) FROM hashes) AS graph_fingerprint,
-  substr(sha256((SELECT string_agg(node_id, '|' ORDER BY node_id) FROM scored_nodes) || ':' || (SELECT string_agg(edge_id, '|' ORDER BY edge_id) FROM graph_edges)), 1, 16) AS snapshot_id
+  {digest('hash', 'hashes')} AS graph_fingerprint,
+  substr(sha256({digest('node_id', 'scored_nodes')} || ':' || coalesce({digest('edge_id', 'graph_edges')}, '')), 1, 16) AS snapshot_id
 FROM graph_metrics m, graph_risk risk, graph_health h,
  (SELECT max(last_us) AS timestamp_us, min(replay_sequence_start) FILTER (replay_sequence_start > 0) AS replay_sequence_start, max(replay_sequence_end) AS replay_sequence_end FROM scored_nodes) x,
  (SELECT count(*) AS community_count, cast(sum(node_count) AS bigint) AS classified_nodes, list(community_type || '=' || node_count ORDER BY community_type) AS community_summary FROM communities) g""")

@@ -1,5 +1,7 @@
 """Scalar functions and score formulas against hand-made values."""
 
+import hashlib
+
 import ipaddress
 
 import pytest
@@ -101,11 +103,15 @@ def test_bad_packets_are_counted_and_dropped(spark):
     raw = rows(spark, schema, [
         ("c", 0, 1, "10.0.0.1", "8.8.8.8", "tcp", "1000", "443", "64", "100", None, "TLS", *rest), ("c", 1, 2, "10.0.0.1", "8.8.8.8", "tcp", "x", "443", "64", "100", None, None, *rest),
         ("c", 2, None, "10.0.0.1", "8.8.8.8", "udp", "1", "2", "64", "100", None, None, *rest), ("c", 3, 4, None, None, "udp", "1", "2", "64", "100", None, None, *rest),
-        ("c", 4, 5, "10.0.0.1", "10.0.0.2", "arp", None, None, None, "42", None, "ARP", *rest),
+        ("c", 4, 5, "10.0.0.1", "10.0.0.2", "arp", None, None, None, "42", None, "ARP", *rest), ("c", 5, 6, "10.0.0.1", "8.8.8.8", "udp", None, None, "64", "1500", None, None, *rest),
+        ("c", 6, 7, "10.0.0.1", "8.8.8.8", "udp", None, "y", "64", "1500", None, None, *rest),
     ])
     counts = pk.normalization_counts(raw).first()
-    assert (counts.packets, counts.normalized, counts.failed) == (5, 2, 3)
-    assert [(r.packet_index, r.application_protocol, r.payload_bytes) for r in pk.normalize_packets(raw).orderBy("packet_index").collect()] == [(0, "https", 60), (4, "arp", 0)]
+    assert (counts.packets, counts.normalized, counts.failed) == (7, 3, 4)
+    fragment = pk.normalize_packets(raw).where("packet_index = 5").first()
+    assert (fragment.src_port, fragment.dst_port) == (None, None)
+    assert fragment.flow_id == hashlib.md5(b"10.0.0.1:0->8.8.8.8:0(udp)").hexdigest()[:16]
+    assert [(r.packet_index, r.application_protocol, r.payload_bytes) for r in pk.normalize_packets(raw).orderBy("packet_index").collect()] == [(0, "https", 60), (4, "arp", 0), (5, fragment.application_protocol, 1472)]
 
 
 def test_texts_without_evidence(spark):
