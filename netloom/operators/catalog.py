@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from netloom.functions import ladders
 from netloom.functions.numeric import rnd
 from netloom.functions.text import investigative_domain
+from netloom.limits import within
 
 CAP = "capture_id"
 
@@ -133,7 +134,7 @@ def community_context(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(CAP, "community_type", "role").agg(F.count(F.lit(1)).alias("node_count"))
 
 
-def event_search(events: DataFrame, severity: str | None = None, text: str = "", latest: int = 120) -> DataFrame:
+def event_search(events: DataFrame, severity: str | None = None, text: str = "", latest: int | None = 120) -> DataFrame:
     """The latest events of a severity that contain a text anywhere, per capture."""
     c = F.col
     hit = events if severity is None else events.where(c("severity") == severity)
@@ -141,7 +142,7 @@ def event_search(events: DataFrame, severity: str | None = None, text: str = "",
         shown = F.to_json(F.struct("event_id", "us", "event_type", "severity", "host", "related_hosts", "description"))
         hit = hit.where(F.lower(shown).contains(text.lower()))
     w = Window.partitionBy(CAP).orderBy(F.desc("event_index"))
-    return hit.withColumn("recent", F.row_number().over(w)).where(c("recent") <= latest)
+    return hit.withColumn("recent", F.row_number().over(w)).where(within("recent", latest))
 
 
 def capture_totals(flows: DataFrame, hosts: DataFrame) -> DataFrame:

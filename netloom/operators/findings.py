@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import ip, ladders
 from netloom.functions.numeric import flag, rnd, unit
 from netloom.functions.text import dedup_evidence, labels, role_display, words
+from netloom.limits import best, within
 
 
 @dataclass(frozen=True)
@@ -220,7 +221,7 @@ def dedup_reverse_pairs(hypotheses: DataFrame) -> DataFrame:
     return keyed.withColumn("i", F.row_number().over(w)).where("i = 1").drop("i", "pair")
 
 
-def top_n_limits(hypotheses: DataFrame, per_host: int = 3) -> DataFrame:
+def top_n_limits(hypotheses: DataFrame, per_host: int | None = 3) -> DataFrame:
     """One finding per beaconing pair; of the others the best three per impacted host, each once."""
     c = F.col
     order = [F.desc("confidence"), F.expr("severity <> 'critical'"), F.expr(_FIRST), F.expr(_SECOND), "hypothesis_id"]
@@ -228,7 +229,8 @@ def top_n_limits(hypotheses: DataFrame, per_host: int = 3) -> DataFrame:
     by_pair = Window.partitionBy("capture_id", F.array_sort("impacted_entities")).orderBy(*order)
     pairs = hypotheses.where(beacon).withColumn("i", F.row_number().over(by_pair)).where("i = 1").drop("i")
     by_host = Window.partitionBy("capture_id", "entity").orderBy(*order)
-    rest = hypotheses.where(~beacon).withColumn("entity", F.explode("impacted_entities")).withColumn("i", F.row_number().over(by_host)).where(c("i") <= per_host)
+    rest = hypotheses.where(~beacon).withColumn("entity", F.explode("impacted_entities"))
+    rest = best(rest, by_host, per_host)
     return pairs.unionByName(rest.drop("i", "entity").dropDuplicates(["capture_id", "hypothesis_id"]))
 
 
@@ -257,16 +259,16 @@ def criticality(frame: DataFrame) -> DataFrame:
     return ip.with_numbers(frame, host_num="host").withColumn("asset_criticality_score", chain.otherwise(F.lit(40.0))).drop("host_num")
 
 
-def hypotheses(found: DataFrame, hosts: DataFrame, capture_end: DataFrame, top: int = 10) -> DataFrame:
+def hypotheses(found: DataFrame, hosts: DataFrame, capture_end: DataFrame, top: int | None = 10, per_host: int | None = 3) -> DataFrame:
     """Filtered, made distinct, limited and ranked: the ten best of a capture, with `place` from 1."""
     c = F.col
-    kept = top_n_limits(dedup_reverse_pairs(confidence_filter(found)))
+    kept = top_n_limits(dedup_reverse_pairs(confidence_filter(found)), per_host)
     scored = criticality(investigation_host(kept, hosts)).withColumn("priority_score", priority_score(c("host_risk"), c("confidence"), c("asset_criticality_score")))
     scored = scored.withColumn("priority_level", ladders.priority_level(c("priority_score")))
     order = [F.desc("priority_score"), F.desc("confidence"), F.expr("hypothesis_type <> 'beaconing'"), F.expr(_FIRST), F.expr(_SECOND), "hypothesis_id"]
     w = Window.partitionBy("capture_id").orderBy(*order)
-    best = scored.withColumn("place", F.row_number().over(w)).where(c("place") <= top)
-    return best.join(capture_end, "capture_id", "left")
+    ranked = scored.withColumn("place", F.row_number().over(w)).where(within("place", top))
+    return ranked.join(capture_end, "capture_id", "left")
 
 
 FINDING = ["place", "hypothesis_id", "hypothesis_type", "finding_tier", "confidence", "supporting_evidence", "contradictory_evidence", "destination", "created_us"]
@@ -282,10 +284,10 @@ def host_summaries(ranked: DataFrame) -> DataFrame:
     )
 
 
-def investigation_candidates(summaries: DataFrame, top: int = 3) -> DataFrame:
+def investigation_candidates(summaries: DataFrame, top: int | None = 3) -> DataFrame:
     c = F.col
     w = Window.partitionBy("capture_id").orderBy(F.desc("priority_score"), F.desc("highest_confidence"), "first_place")
-    best = summaries.withColumn("place", F.row_number().over(w)).where(c("place") <= top)
+    chosen = summaries.withColumn("place", F.row_number().over(w)).where(within("place", top))
     evidence = dedup_evidence(c("findings")[0]["supporting_evidence"])
 
     def has(name):
@@ -297,7 +299,7 @@ def investigation_candidates(summaries: DataFrame, top: int = 3) -> DataFrame:
         .when(has("persistence") & has("periodicity"), "Host exhibits persistent communication with periodic timing behavior.")
         .otherwise("Host has prioritized findings based on risk, confidence, and asset criticality.")
     )
-    return best.withColumn("rationale", evidence).select(
+    return chosen.withColumn("rationale", evidence).select(
         "capture_id", "place", "host", "host_role", role_display(c("host_role")).alias("host_role_display"), ladders.priority_level(c("priority_score")).alias("priority"), "priority_score",
         rnd(c("host_risk") * 0.35, 2).alias("risk_contribution"), rnd(c("highest_confidence") * 0.35, 2).alias("confidence_contribution"),
         rnd(c("asset_criticality_score") * 0.30, 2).alias("criticality_contribution"), c("highest_confidence").alias("confidence"), c("host_risk").alias("risk"),

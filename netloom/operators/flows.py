@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import ladders
 from netloom.functions.numeric import flag, ratio, rnd, unit
 from netloom.functions.text import clean_nbns_name, labels, normalize_domain
+from netloom.limits import within
 
 KEY = ["capture_id", "flow_id"]
 MIN_BEACON_PACKETS = 20
@@ -437,12 +438,12 @@ def traffic_direction_summary(flows: DataFrame) -> DataFrame:
     return flows.groupBy("capture_id", "direction").agg(F.count(F.lit(1)).alias("flows"))
 
 
-def protocol_summary(flows: DataFrame, top: int = 10) -> DataFrame:
+def protocol_summary(flows: DataFrame, top: int | None = 10) -> DataFrame:
     w = Window.partitionBy("capture_id").orderBy(F.desc("flows"), "application_protocol")
     counted = flows.groupBy("capture_id", "application_protocol").agg(F.count(F.lit(1)).alias("flows"))
-    return counted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return counted.withColumn("place", F.row_number().over(w)).where(within("place", top))
 
 
-def suspicious_flows(enriched: DataFrame, top: int = 5) -> DataFrame:
+def suspicious_flows(enriched: DataFrame, top: int | None = 5) -> DataFrame:
     w = Window.partitionBy("capture_id").orderBy(F.desc("behavioral_score"), "first_us", "first_seen_sequence")
-    return enriched.where("is_suspicious").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return enriched.where("is_suspicious").withColumn("place", F.row_number().over(w)).where(within("place", top))

@@ -7,6 +7,7 @@ from netloom.functions import ip, ladders
 from netloom.functions.numeric import flag, ratio, rnd, scaled, tally, unit
 from netloom.functions.text import clean_hostname, words
 from netloom.functions.times import HOUR_US, hour_bucket
+from netloom.limits import within
 
 HOST = ["capture_id", "ip_address"]
 LONG_LIVED_US = 300_000_000
@@ -409,8 +410,8 @@ def indicator_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
-def elevated_hosts(hosts: DataFrame, top: int = 5) -> DataFrame:
+def elevated_hosts(hosts: DataFrame, top: int | None = 5) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("capture_id").orderBy(F.desc("risk_score"), "ip_address")
-    return hosts.where(F.col("risk_score") >= 35).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return hosts.where(F.col("risk_score") >= 35).withColumn("place", F.row_number().over(w)).where(within("place", top))

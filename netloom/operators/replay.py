@@ -8,16 +8,16 @@ from netloom.operators.ordered import ADD, global_rank, running
 from netloom.operators.timeline import EVENT_LEVELS, EVENT_ORDER
 
 CAP = "capture_id"
-MAX_FRAMES = 500
-RECENT = 25
 # Event types that always get a frame.
 IMPORTANT = [
     "beaconing_started", "hypothesis_created", "hypothesis_promoted", "candidate_created", "candidate_priority_changed", "narrative_generated", "host_risk_increased",
 ]
 
 
-def frame_selection(events: DataFrame, limit: int = MAX_FRAMES) -> DataFrame:
-    """Events that trigger a frame: all, or the important ones and an even sample of the rest."""
+def frame_selection(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events that trigger a frame: all, or beyond the limit the important ones and an even sample of the rest."""
+    if limit is None:
+        return global_rank(events, [CAP], EVENT_LEVELS, EVENT_ORDER, "frame_number", start=1)
     c = F.col
     important = c("event_type").isin(IMPORTANT) | c("severity").isin("HIGH", "CRITICAL")
     sizes = events.groupBy(CAP).agg(F.count(F.lit(1)).alias("n"), F.count_if(important).alias("m")).withColumn("room", F.greatest(F.lit(limit) - c("m"), F.lit(0)))
@@ -64,10 +64,10 @@ def frame_state(frames: DataFrame, nodes: DataFrame, edges: DataFrame, events: D
     )
 
 
-def frame_recent_events(frames: DataFrame, events: DataFrame, recent: int = RECENT) -> DataFrame:
-    """The latest events at each frame, as rows (frame, event)."""
+def frame_recent_events(frames: DataFrame, events: DataFrame, recent: int | None = 25) -> DataFrame:
+    """The latest events at each frame, as rows (frame, event). Without a limit each frame repeats all events before it."""
     c = F.col
-    spots = F.sequence(F.greatest(c("events_upto") - recent, F.lit(0)), c("events_upto") - 1)
+    spots = F.sequence(F.lit(0).cast("bigint") if recent is None else F.greatest(c("events_upto") - recent, F.lit(0)), c("events_upto") - 1)
     asked = frames.where("events_upto > 0").select(CAP, "frame_number", F.explode(spots).alias("event_index"))
     return asked.join(events.select(CAP, "event_index", "event_id"), [CAP, "event_index"])
 

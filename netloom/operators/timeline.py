@@ -7,10 +7,10 @@ from netloom.functions import ladders
 from netloom.functions.numeric import rnd
 from netloom.functions.text import words
 from netloom.functions.times import us_to_iso
+from netloom.limits import best
 from netloom.operators.ordered import global_rank, runs
 
 CAP = "capture_id"
-TOP_EVENTS = 300
 METADATA = {
     "flow_id": "string", "edge_id": "string", "hypothesis_id": "string", "hypothesis_type": "string", "protocol": "string", "packet_count": "bigint",
     "bytes": "bigint", "score": "double", "role": "string", "community": "string", "persistence": "double", "confidence": "double", "priority": "string",
@@ -71,14 +71,14 @@ def _event(us, kind, severity, host, description, related=None, **metadata):
     return fields + [metadata.get(n, F.lit(None)).cast(t).alias(n) for n, t in METADATA.items()]
 
 
-def network_events(flows: DataFrame, top: int = TOP_EVENTS) -> DataFrame:
+def network_events(flows: DataFrame, top: int | None = None) -> DataFrame:
     c = F.col
     w = Window.partitionBy(CAP).orderBy(F.desc("behavioral_score"), F.desc("packet_count"), "first_us", "first_seen_sequence")
-    best = flows.withColumn("i", F.row_number().over(w)).where(c("i") <= top)
+    chosen = best(flows, w, top)
     p = c("application_protocol")
     kind = F.when(p == "dns", "dns_query").when(p == "http", "http_session").when((p == "https") | (c("responder_port") == 443), "tls_established").otherwise("connection_created")
     text = F.concat(F.upper(p), F.lit(" relationship observed between "), c("initiator_ip"), F.lit(" and "), c("responder_ip"))
-    return best.select(CAP, *_event(
+    return chosen.select(CAP, *_event(
         c("first_us"), kind, ladders.event_severity(c("behavioral_score")), c("initiator_ip"), text, F.array("responder_ip"), flow_id=c("flow_id"), protocol=p,
         packet_count=c("packet_count"), bytes=c("initiator_bytes") + c("responder_bytes"), score=c("behavioral_score")))
 
@@ -92,13 +92,13 @@ def host_events(nodes: DataFrame) -> DataFrame:
     return nodes.select(CAP, F.explode(F.array(F.struct(*role), F.struct(*community))).alias("e")).select(CAP, "e.*")
 
 
-def relationship_events(relationships: DataFrame, top: int = TOP_EVENTS) -> DataFrame:
+def relationship_events(relationships: DataFrame, top: int | None = None) -> DataFrame:
     c = F.col
     w = Window.partitionBy(CAP).orderBy(F.desc("relationship_risk"), F.desc("packet_count"), F.desc("total_bytes"), "source", "target")
-    best = relationships.withColumn("i", F.row_number().over(w)).where(c("i") <= top)
+    chosen = best(relationships, w, top)
     kind = F.when(c("persistence") >= 0.5, "relationship_persistent").otherwise("relationship_created")
     text = F.concat(F.lit("Relationship observed between "), c("source"), F.lit(" and "), c("target"))
-    return best.select(CAP, *_event(
+    return chosen.select(CAP, *_event(
         c("first_us"), kind, ladders.event_severity(c("relationship_risk")), c("source"), text, F.array("target"), edge_id=c("edge_id"),
         score=c("relationship_risk"), persistence=c("persistence")))
 

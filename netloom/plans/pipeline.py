@@ -2,11 +2,13 @@
 
 import tempfile
 import uuid
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.limits import Limits
 from netloom.operators import audit as au
 from netloom.operators import catalog as ca
 from netloom.operators import deltas as dl
@@ -32,13 +34,28 @@ class Analysis:
     columns they need.
     """
 
-    def __init__(self, raw_packets: DataFrame, previous: "Analysis | None" = None, keep=None, policy=None, definitions=None):
+    def __init__(self, raw_packets: DataFrame, previous: "Analysis | None" = None, keep=None, policy=None, definitions=None, limits=None):
         tune(raw_packets.sparkSession)
         self.source = raw_packets
         self.previous = previous
         self.keep = keep or written(raw_packets.sparkSession)
         self.definitions = definitions or fi.DEFINITIONS
         self.policy = policy or fl.SuppressionPolicy()
+        self.limits = limits or Limits()
+
+    @cached_property
+    def uncut(self) -> "Analysis":
+        """The same analysis with a whole timeline; it shares all tables that the cuts of events and frames do not touch."""
+        limits = replace(self.limits, network_events=None, relationship_events=None, frames=None, search_hits=None)
+        other = Analysis(self.source, self.previous, written(self.source.sparkSession), self.policy, self.definitions, limits)
+        for name in ("packets", "flows", "enriched_flows", "host_metrics", "host_profiles", "relationships", "graph_edges", "linked_nodes", "scored_nodes", "graph_state", "found", "hypotheses", "candidates", "narratives"):
+            other.__dict__[name] = getattr(self, name)
+        return other
+
+    @cached_property
+    def ranked_whole(self) -> DataFrame:
+        """All hypotheses, ranked, without a cut per capture or host."""
+        return fi.hypotheses(self.found, self.host_profiles, self.capture_end, None, None)
 
     @cached_property
     def raw_packets(self):
@@ -170,11 +187,11 @@ class Analysis:
 
     @cached_property
     def limited(self):
-        return fi.top_n_limits(self.deduped)
+        return fi.top_n_limits(self.deduped, self.limits.findings_per_host)
 
     @cached_property
     def hypotheses(self):
-        return self.keep("hypotheses", fi.hypotheses(self.found, self.host_profiles, self.capture_end))
+        return self.keep("hypotheses", fi.hypotheses(self.found, self.host_profiles, self.capture_end, self.limits.hypotheses, self.limits.findings_per_host))
 
     @cached_property
     def host_summaries(self):
@@ -182,7 +199,7 @@ class Analysis:
 
     @cached_property
     def candidates(self):
-        return self.keep("candidates", fi.investigation_candidates(self.host_summaries))
+        return self.keep("candidates", fi.investigation_candidates(self.host_summaries, self.limits.candidates))
 
     # narratives, timeline, replay
 
@@ -194,9 +211,9 @@ class Analysis:
     def timed_hypotheses(self):
         return ti.timed_hypotheses(self.hypotheses, self.relationships)
 
-    network_events = property(lambda self: ti.network_events(self.enriched_flows))
+    network_events = property(lambda self: ti.network_events(self.enriched_flows, self.limits.network_events))
     host_events = property(lambda self: ti.host_events(self.scored_nodes))
-    relationship_events = property(lambda self: ti.relationship_events(self.relationships))
+    relationship_events = property(lambda self: ti.relationship_events(self.relationships, self.limits.relationship_events))
     hypothesis_events = property(lambda self: ti.hypothesis_events(self.timed_hypotheses))
     candidate_events = property(lambda self: ti.candidate_events(self.candidates, self.timed_hypotheses))
     narrative_events = property(lambda self: ti.narrative_events(self.narratives, self.timed_hypotheses))
@@ -230,13 +247,13 @@ class Analysis:
 
     @cached_property
     def frame_selection(self):
-        return self.keep("frame_selection", rp.frame_selection(self.indexed_events))
+        return self.keep("frame_selection", rp.frame_selection(self.indexed_events, self.limits.frames))
 
     @cached_property
     def frames(self):
         return self.keep("frames", rp.frame_state(self.frame_selection, self.scored_nodes, self.graph_edges, self.indexed_events, self.candidates, self.graph_state))
 
-    frame_recent = property(lambda self: rp.frame_recent_events(self.frames, self.indexed_events))
+    frame_recent = property(lambda self: rp.frame_recent_events(self.frames, self.indexed_events, self.limits.recent_events))
     frame_deltas = property(lambda self: rp.frame_delta(self.frames))
     replay_coverage = property(lambda self: rp.replay_coverage(self.frames, self.indexed_events, self.packets, self.graph_state))
 
@@ -276,12 +293,12 @@ class Analysis:
     web_finding = property(lambda self: ca.web_finding(self.enriched_flows, self.host_profiles))
     context_fallback = property(lambda self: ca.context_fallback(self.enriched_flows, self.host_profiles, self.hypotheses, self.candidates))
     community_context = property(lambda self: ca.community_context(self.scored_nodes))
-    event_search = property(lambda self: ca.event_search(self.indexed_events, "LOW", "TLS"))
+    event_search = property(lambda self: ca.event_search(self.indexed_events, "LOW", "TLS", self.limits.search_hits))
     capture_totals = property(lambda self: ca.capture_totals(self.enriched_flows, self.host_profiles))
-    suspicious_top = property(lambda self: fl.suspicious_flows(self.enriched_flows))
-    elevated_top = property(lambda self: hs.elevated_hosts(self.host_profiles))
+    suspicious_top = property(lambda self: fl.suspicious_flows(self.enriched_flows, self.limits.suspicious_flows))
+    elevated_top = property(lambda self: hs.elevated_hosts(self.host_profiles, self.limits.elevated_hosts))
     direction_summary = property(lambda self: fl.traffic_direction_summary(self.flows))
-    protocol_top = property(lambda self: fl.protocol_summary(self.flows))
+    protocol_top = property(lambda self: fl.protocol_summary(self.flows, self.limits.protocols))
 
     @property
     def capture_summary(self):

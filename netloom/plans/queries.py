@@ -281,6 +281,13 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "elevated_hosts": ("elevated_top", ["place", "ip_address", "role", "risk_score", "confidence", "@behavioral_indicators"]),
     "traffic_direction_summary": ("direction_summary", ["capture_id", "direction", "flows"]),
     "protocol_summary": ("protocol_top", ["place", "application_protocol", "flows"]),
+    "timeline_events_uncut": ("uncut.timeline_events", EVENT_COLUMNS),
+    "event_correlation_uncut": ("uncut.correlated", EVENT_COLUMNS),
+    "activity_phases_uncut": ("uncut.activity_phases", ["run", "phase_id", "phase_name", "start_us", "end_us", "event_count", "description"]),
+    "chapters_uncut": ("uncut.chapters", CHAPTER_COLUMNS + ["host_count", "duration_seconds", "chapter_number"]),
+    "frame_selection_uncut": ("uncut.frame_selection", ["frame_number", "event_id", "event_index", "us"]),
+    "event_search_uncut": ("uncut.event_search", ["event_id", "us", "event_type", "severity", "host", "recent"]),
+    "hypothesis_priority_uncut": ("ranked_whole", ["place", "hypothesis_id", "hypothesis_type", "host", "confidence", "priority_score", "priority_level"]),
     "community_audit": ("community_audit", ["ip_address", "role", "role_confidence", "community", "is_internal", "is_external", "risk_score"]),
     "graph_consistency": ("graph_consistency", [
         "capture_id", "graph_nodes", "classified_nodes", "community_count", "suppressed_nodes", "unclassified_nodes", "investigative_nodes", "valid",

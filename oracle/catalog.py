@@ -1,7 +1,9 @@
 """Snapshots, catalogue, audits."""
 
+import re
+
 from netloom.operators.snapshots import COMMUNITIES
-from oracle.base import cte, iso, private, r, sc
+from oracle.base import CTES, cte, iso, private, r, sc
 
 M = 5000000
 cte("lifecycle_events", """SELECT capture_id, first_us AS us, 'node_appears' AS type, ip_address AS entity FROM scored_nodes UNION ALL SELECT capture_id, last_us, 'node_disappears', ip_address FROM scored_nodes
@@ -59,3 +61,13 @@ cte("hypothesis_validation", "SELECT 'cap0' AS capture_id, count(*) AS checked,
 cte("candidate_validation", "SELECT 'cap0' AS capture_id, count(*) AS checked, count(*) FILTER (host = '' OR priority_score IS NULL OR risk IS NULL OR len(finding_ids) = 0) AS error_count, error_count = 0 AS valid FROM candidates")
 cte("snapshot_report", f"SELECT 'cap0' AS capture_id, count(*) AS total_snapshots, count(*) FILTER (quality_reason = 'useful_snapshot') AS meaningful_snapshots, 0::bigint AS redundant_snapshots, {r('sum(' + sc('quality_score', 2) + ') / count(*) / 1e2', 4)} AS quality_score, {r('sum(' + sc('quality_score', 2) + ') / count(*) / 1e2', 4)} >= 0.9e0 AS valid FROM snapshots")
 cte("stable", "SELECT 'cap0' AS capture_id, rd.ready, rd.missing_components, g.valid AND ro.valid AND hv.valid AND cv.valid AND sr.valid AND rd.ready AS stable, sr.valid AS snapshots_valid FROM readiness rd, graph_consistency g, role_consistency ro, hypothesis_validation hv, candidate_validation cv, snapshot_report sr")
+
+# The timeline without cuts: the same tables under another prefix.
+_LONG = ("network_events", "relationship_events", "timeline_events", "correlated", "indexed_events", "activity_phases", "chapter_bounds", "chapter_phase_overlap", "chapter_hosts", "chapters", "frames0", "frame_selection", "event_search")
+for _n in _LONG:
+    _sql = CTES[_n].replace(" LIMIT 300", "").replace(" WHERE recent <= 120", "")
+    if _n == "frames0":
+        _sql = "SELECT *, row_number() OVER (ORDER BY us, event_id) AS frame_number FROM indexed_events"
+    cte(f"uncut_{_n}", re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(_LONG) + r")\b", r"\1 uncut_\2", _sql))
+cte("whole_hosted", re.sub(r"\blimited\b", "deduped", CTES["hosted"]))
+cte("ranked_whole", re.sub(r"\bhosted\b", "whole_hosted", CTES["hypotheses"]).replace(" WHERE place <= 10", ""))
