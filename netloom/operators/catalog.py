@@ -20,7 +20,7 @@ def replay_duration(frames: DataFrame) -> DataFrame:
     return frames.groupBy(CAP).agg(rnd((F.max("us") - F.min("us")) / F.lit(1e6), 4).alias("duration_seconds"))
 
 
-def capture_summary(frames, events, chapters, nodes, hypotheses, candidates, readiness: DataFrame) -> DataFrame:
+def capture_summary(frames, events, chapters, nodes, hypotheses, candidates, stable, snapshots: DataFrame) -> DataFrame:
     """One row per capture: sizes, the leading host and destination, and the validation results."""
     c = F.col
 
@@ -31,7 +31,7 @@ def capture_summary(frames, events, chapters, nodes, hypotheses, candidates, rea
     top = candidates.where("place = 1").select(CAP, c("host").alias("top_host"))
     row = replay_duration(frames)
     for part in (count(frames, "frame_count"), count(events, "event_count"), count(chapters, "chapter_count"), count(nodes, "node_count"), count(hypotheses, "hypothesis_count"),
-                 count(candidates, "candidate_count"), nodes.groupBy(CAP).agg(F.count_distinct("community_type").alias("community_count")), lead, top, readiness):
+                 count(candidates, "candidate_count"), nodes.groupBy(CAP).agg(F.count_distinct("community_type").alias("community_count")), lead, top, stable, snapshots.select(CAP, c("quality_score").alias("snapshot_quality"))):
         row = row.join(part, CAP, "left")
     return row
 

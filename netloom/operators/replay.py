@@ -112,3 +112,26 @@ def seek_nearest(targets: DataFrame, frames: DataFrame) -> DataFrame:
     early = c("after").isNull() | (c("target_us") - c("before.us") <= c("after.us") - c("target_us"))
     nearest = F.when(c("before").isNull(), c("after")).when(early, c("before")).otherwise(c("after"))
     return j.withColumn("nearest", nearest).select(*targets.columns, c("nearest.frame_number").alias("frame_number"), c("nearest.us").alias("frame_us"))
+
+
+def first_frames(frames: DataFrame, shown: DataFrame, key: str) -> DataFrame:
+    """(capture, key, frame_number): the first frame that shows each row of `shown` (key, first_us).
+
+    That is the first frame at or after first_us, and the last frame for what comes later, as it shows all. One row for each
+    node or edge; the rows of a frame are what it adds to the frame before, and those up to it are its members.
+    """
+    c = F.col
+    asked = shown.select(CAP, key, (c("first_us") - 1).alias("us"))
+    before = upto({"before": frames.select(CAP, "us")}, asked)
+    total = frames.groupBy(CAP).agg(F.max("frame_number").alias("last_frame"))
+    return asked.join(before, [CAP, "us"]).join(total, CAP).select(CAP, key, F.least(c("before") + 1, c("last_frame")).cast("bigint").alias("frame_number"))
+
+
+def frame_offsets(frames: DataFrame) -> DataFrame:
+    """Place of each frame from 0."""
+    return frames.select(CAP, "frame_id", (F.col("frame_number") - 1).cast("bigint").alias("frame_offset"))
+
+
+def host_event_offsets(events: DataFrame) -> DataFrame:
+    """Places of the events of each host, as rows (host, place)."""
+    return events.select(CAP, "host", "event_index")

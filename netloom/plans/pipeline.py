@@ -253,6 +253,11 @@ class Analysis:
     def frames(self):
         return self.keep("frames", rp.frame_state(self.frame_selection, self.scored_nodes, self.graph_edges, self.indexed_events, self.candidates, self.graph_state))
 
+    frame_nodes = property(lambda self: rp.first_frames(self.frames, self.scored_nodes, "ip_address"))
+    frame_edges = property(lambda self: rp.first_frames(self.frames, self.graph_edges, "edge_id"))
+    frame_offsets = property(lambda self: rp.frame_offsets(self.frames))
+    host_event_offsets = property(lambda self: rp.host_event_offsets(self.indexed_events))
+    chapter_index = property(lambda self: ti.chapter_index(self.chapters))
     frame_recent = property(lambda self: rp.frame_recent_events(self.frames, self.indexed_events, self.limits.recent_events))
     frame_deltas = property(lambda self: rp.frame_delta(self.frames))
     replay_coverage = property(lambda self: rp.replay_coverage(self.frames, self.indexed_events, self.packets, self.graph_state))
@@ -302,7 +307,7 @@ class Analysis:
 
     @property
     def capture_summary(self):
-        return ca.capture_summary(self.frames, self.indexed_events, self.chapters, self.scored_nodes, self.hypotheses, self.candidates, self.readiness)
+        return ca.capture_summary(self.frames, self.indexed_events, self.chapters, self.scored_nodes, self.hypotheses, self.candidates, self.stable, self.snapshot_report)
 
     # audits
 

@@ -107,10 +107,6 @@ CHAPTER_COLUMNS = [
 
 # slug -> (table, columns); "@" marks arrays and maps
 TABLES: dict[str, tuple[str, list[str]]] = {
-    "packet_source": ("raw_packets", [
-        "capture_id", "packet_index", "us", "src_ip", "dst_ip", "transport", "src_port", "dst_port", "ttl", "total_bytes", "layer",
-        "tls_sni", "http_host", "dns_query", "tls_alpn", "src_mac", "dst_mac", "nbns_name", "kerberos_cname",
-    ]),
     "normalize_packets": ("packets", PACKET_COLUMNS),
     "build_flows": ("flows", FLOW_COLUMNS),
     "flow_tcp_flag_counts": ("flows", ["flow_id", "syn_count", "ack_count", "rst_count", "fin_count", "psh_count", "urg_count"]),
@@ -230,12 +226,15 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "chapter_phase_overlap": ("chapter_phase_overlap", ["chapter_type", "phase_id"]),
     "chapters": ("chapters", CHAPTER_COLUMNS + ["host_count", "duration_seconds", "chapter_number"]),
     "chapter_merge": ("chapter_merge", CHAPTER_COLUMNS),
-    "chapter_index": ("chapters", ["chapter_number", "chapter_id", "title", "start_us", "end_us"]),
     "frame_selection": ("frame_selection", ["frame_number", "event_id", "event_index", "us"]),
     "frame_state": ("frames", [
         "frame_number", "frame_id", "us", "trigger_event_id", "trigger_event_type", "node_count", "edge_count", "events_upto", "candidate_count",
         "graph_density", "graph_risk_score", "isolated_node_count", "final",
     ]),
+    "frame_nodes": ("frame_nodes", ["ip_address", "frame_number"]),
+    "frame_edges": ("frame_edges", ["edge_id", "frame_number"]),
+    "frame_offsets": ("frame_offsets", ["frame_id", "frame_offset"]),
+    "host_event_offsets": ("host_event_offsets", ["host", "event_index"]),
     "frame_recent_events": ("frame_recent", ["frame_number", "event_index", "event_id"]),
     "frame_delta": ("frame_deltas", ["frame_number", "frame_id", "us", "added_nodes", "added_edges", "removed_nodes", "removed_edges", "frame_duration"]),
     "replay_index": ("indexed_events", ["event_id", "event_index", "host"]),
@@ -253,9 +252,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     ]),
     "capture_summary": ("capture_summary", [
         "capture_id", "duration_seconds", "frame_count", "event_count", "chapter_count", "node_count", "hypothesis_count", "candidate_count",
-        "community_count", "primary_destination", "top_host", "ready",
+        "community_count", "primary_destination", "top_host", "ready", "snapshot_quality", "graph_valid", "hypotheses_valid", "candidates_valid", "snapshots_valid",
     ]),
-    "frame_lookup": ("frames", ["frame_number", "frame_id", "us", "node_count", "edge_count"]),
     "replay_duration": ("replay_duration", ["capture_id", "duration_seconds"]),
     "host_detail": ("host_detail", ["host", "risk", "role", "mac_address", "hostname", "user_identity", "event_count", "@events", "@chapters"]),
     "ranked_hosts": ("ranked_hosts", [

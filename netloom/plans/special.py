@@ -1,20 +1,31 @@
 """Registered queries that are more than columns of a table: scalar functions, baselines, comparisons, sinks."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import ip, ladders, protocols, text
 from netloom.functions.times import normalize_timestamp, us_to_iso
+from netloom.operators import audit as au
+from netloom.operators import catalog as ca
 from netloom.operators import deltas as dl
 from netloom.operators import findings as fi
 from netloom.operators import flows as fl
 from netloom.operators import hosts as hs
 from netloom.operators import packets as pk
+from netloom.operators import timeline as ti
 from netloom.plans.pipeline import shared_folder
+from netloom.sources import packets
 from netloom.sources.artifacts import read_artifacts, write_csv, write_ndjson
 
 c = F.col
+# Columns of a packet without its flags.
+LISTED = [
+    "capture_id", "packet_index", "us", "src_ip", "dst_ip", "transport", "src_port", "dst_port", "ttl", "total_bytes", "layer",
+    "tls_sni", "http_host", "dns_query", "tls_alpn", "src_mac", "dst_mac", "nbns_name", "kerberos_cname",
+]
 
 
 def addresses(a):
@@ -23,6 +34,62 @@ def addresses(a):
     return ip.with_numbers(both, num="ip")
 
 
+def q_packet_source(a):
+    """The packets written as Parquet, as JSON and as CSV (times and flags as text), and read by the source."""
+    spark, base = a.raw_packets.sparkSession, f"{shared_folder(a.raw_packets.sparkSession)}/packets-{uuid.uuid4().hex}"
+    part = lambda k: a.raw_packets.where(c("packet_index") % 3 == k)
+    shown = F.array_join(F.array_compact(F.array(*[F.when(c(f"tcp_flags.{n}"), label) for n, label in protocols.FLAG_LABELS.items()])), " ")
+    as_text = F.when(c("tcp_flags").isNotNull(), shown)
+    bits = {f"tcp_{n}": c(f"tcp_flags.{n}").cast("int") for n in protocols.FLAG_LABELS}
+    part(0).write.parquet(f"{base}/0")
+    part(1).withColumn("tcp_flags", as_text).write.json(f"{base}/1")
+    part(2).withColumns({"timestamp": us_to_iso("us"), **bits}).select(*[n for n in LISTED if n != "us"], "timestamp", *bits).write.option("header", "true").csv(f"{base}/2")
+    kinds = {f.name: f.dataType for f in a.raw_packets.schema}
+    read = [packets.read_packets(spark, f"{base}/{k}", fmt) for k, fmt in enumerate(("parquet", "json", "csv"))]
+    flags = [F.coalesce(c(f"tcp_flags.{n}"), F.lit(False)).alias(f"tcp_{n}") for n in ("syn", "ack", "rst", "fin", "psh")]
+    typed = [r.select(*[c(n).cast(kinds[n]).alias(n) for n in LISTED], *flags) for r in read]
+    return reduce(DataFrame.unionByName, typed)
+
+
+def q_hypothesis_errors(a):
+    """Every hypothesis with the fields it lacks, after some have lost theirs."""
+    odd = a.hypotheses.withColumns({"confidence_explanation": F.when(c("place") % 2 == 0, "").otherwise(c("confidence_explanation")), "confidence": F.when(c("place") % 3 != 0, c("confidence"))})
+    return au.hypothesis_errors(odd).select("hypothesis_id", F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
+def q_candidate_errors(a):
+    odd = a.candidates.withColumns({"host_role": F.when(c("place") == 1, "").otherwise(c("host_role")), "risk": F.when(c("place") != 2, c("risk"))})
+    return au.candidate_errors(odd).select("host", F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
+def q_role_mismatches(a):
+    """Hosts whose graph node says another role, after each fifth node was changed."""
+    nodes = a.scored_nodes.withColumn("role", F.when(c("ip_address").rlike("[05]$"), "SERVER").otherwise(c("role")))
+    return au.role_mismatches(a.host_profiles, nodes, a.candidates).select("host", "graph_node_role")
+
+
+def q_immediate_edges(a):
+    b = dl.immediate_relationship_baseline(a.w.relationships, a.w.previous.relationships)
+    return b.select("edge_id", c("current.flows").alias("flows"), c("previous.flows").alias("previous_flows"), c("current.relationship_risk").alias("risk"), c("previous.relationship_risk").alias("previous_risk"))
+
+
+def q_frame_lookup(a):
+    """Frames found by number and by id."""
+    return ca.frame_lookup(a.frames, "3").unionByName(ca.frame_lookup(a.frames, "frame_00007")).select("frame_number", "frame_id", "us", "node_count", "edge_count")
+
+
+def q_chapter_index(a):
+    return a.chapter_index.select("capture_id", "chapter_count", F.posexplode("chapters").alias("place", "x")).select("capture_id", "chapter_count", "place", "x.*")
+
+
+def q_chapter_merge(a):
+    """Chapters of which every second has the type of the one before, merged."""
+    pair = F.expr("chapter_number - (chapter_number - 1) % 2")
+    odd = a.chapters.withColumn("chapter_type", F.concat(F.lit("TYPE_"), pair.cast("string")))
+    merged = ti.chapter_merge(odd)
+    return merged.select("chapter_type", "start_us", "end_us", "event_count", "phase_count", "importance", "severity")
+
+
 def q_normalize_timestamp(a):
     """Times as text without offset, with Z, and two hours east, back to UTC."""
     plain = F.regexp_replace(us_to_iso("us"), "Z$", "")
@@ -141,6 +208,14 @@ def q_normalize_fragments(a):
 
 
 SPECIAL = {
+    "packet_source": q_packet_source,
+    "hypothesis_errors": q_hypothesis_errors,
+    "candidate_errors": q_candidate_errors,
+    "role_mismatches": q_role_mismatches,
+    "immediate_edge_baseline": q_immediate_edges,
+    "frame_lookup": q_frame_lookup,
+    "chapter_index": q_chapter_index,
+    "chapter_merge_pairs": q_chapter_merge,
     "normalize_fragments": q_normalize_fragments,
     "normalize_timestamp": q_normalize_timestamp,
     "normalization_counts": lambda a: pk.normalization_counts(a.raw_packets),

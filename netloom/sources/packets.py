@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.times import ntz_to_us
+from netloom.functions import protocols
+from netloom.functions.times import normalize_timestamp, ntz_to_us
 
 TCP_FLAGS = "struct<syn:boolean,ack:boolean,rst:boolean,fin:boolean,psh:boolean,urg:boolean,ece:boolean,cwr:boolean>"
 PACKET_SCHEMA = f"""
@@ -14,10 +15,36 @@ PACKET_SCHEMA = f"""
 """
 
 
-def read_packets(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = PACKET_SCHEMA) -> DataFrame:
-    """Packets of one or many captures; a row without a capture id takes the name of its file."""
-    frame = spark.read.schema(schema).format(fmt).load(path)
-    return frame.withColumn("capture_id", F.coalesce("capture_id", F.col("_metadata.file_name")))
+def read_packets(spark: SparkSession, path: str | list[str], fmt: str = "parquet", **options) -> DataFrame:
+    """Packets of one or many captures, from Parquet, JSON or CSV files; a row without a capture id takes the name of its file.
+
+    Parquet has the columns of PACKET_SCHEMA. JSON and CSV have them too, but for these: a time is `us`, or `timestamp` as ISO
+    text; flags are `tcp_flags` as text of labels, or flat columns `tcp_syn` and so on of 0 and 1. Numbers of JSON and CSV
+    are read as text, so that a malformed field drops its packet later and not the file.
+    """
+    reader = spark.read.format(fmt).options(**({"header": "true"} | options if fmt == "csv" else options))
+    name = F.coalesce("capture_id", F.col("_metadata.file_name"))
+    if fmt == "parquet":
+        return reader.schema(PACKET_SCHEMA).load(path).withColumn("capture_id", name)
+    columns = [f.split() for f in PACKET_SCHEMA.replace(TCP_FLAGS, "string").split(",")]
+    flat = {flag: f"tcp_{flag}" for flag in protocols.FLAG_LABELS}
+    wide = ", ".join([*(f"{column} string" for column, _ in columns), "timestamp string", *(f"{c} string" for c in flat.values())])
+    if fmt == "csv":  # columns by the names of the header, which all files share
+        raw = reader.load(path).select("*", "_metadata.file_name")
+        absent = [f.split()[0] for f in wide.split(", ") if f.split()[0] not in raw.columns]
+        raw = raw.select("*", *[F.lit(None).cast("string").alias(n) for n in absent])
+        raw = raw.withColumn("capture_id", F.coalesce("capture_id", "file_name"))
+    else:
+        raw = reader.schema(wide).load(path).withColumn("capture_id", name)
+    flags = protocols.tcp_flags(F.col("tcp_flags"), {flag: F.col(c) for flag, c in flat.items()})
+    known = F.coalesce("tcp_flags", *flat.values()).isNotNull()
+    return raw.select(*[
+        F.when(known, flags).alias(c) if c == "tcp_flags"
+        else F.coalesce(F.expr("try_cast(us AS bigint)"), normalize_timestamp(F.col("timestamp"))).alias(c) if c == "us"
+        else F.expr(f"try_cast({c} AS {kind})").alias(c) if c == "packet_index"
+        else F.col(c)
+        for c, kind in columns
+    ])
 
 
 # The stream is 30 days long; it is squeezed by 240 into a capture of three hours.

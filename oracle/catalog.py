@@ -26,7 +26,7 @@ cte("readiness", """SELECT *, len(missing_components) = 0 AS ready FROM (SELECT
  CASE WHEN (SELECT count(*) FROM candidates) = 0 THEN 'InvestigationCandidate' END, CASE WHEN (SELECT count(*) FROM scored_nodes) = 0 THEN 'GraphContext' END], lambda x: x IS NOT NULL) AS missing_components)""")
 cte("capture_summary", """SELECT d.capture_id, d.duration_seconds, (SELECT count(*) FROM frames) AS frame_count, (SELECT count(*) FROM indexed_events) AS event_count, (SELECT count(*) FROM chapters) AS chapter_count, (SELECT count(*) FROM scored_nodes) AS node_count,
  (SELECT count(*) FROM hypotheses) AS hypothesis_count, (SELECT count(*) FROM candidates) AS candidate_count, (SELECT count(DISTINCT community_type) FROM scored_nodes) AS community_count, (SELECT destination FROM hypotheses WHERE place = 1) AS primary_destination,
- (SELECT host FROM candidates WHERE place = 1) AS top_host, rd.ready FROM replay_duration d, readiness rd""")
+ (SELECT host FROM candidates WHERE place = 1) AS top_host, rd.ready, sr.quality_score AS snapshot_quality, g.valid AS graph_valid, hv.valid AS hypotheses_valid, cv.valid AS candidates_valid, sr.valid AS snapshots_valid FROM replay_duration d, readiness rd, snapshot_report sr, graph_consistency g, hypothesis_validation hv, candidate_validation cv""")
 cte("host_detail", "SELECT t.*, h.risk_score AS risk, h.role, h.mac_address, h.hostname, h.user_identity FROM host_timelines t LEFT JOIN host_profiles h ON h.ip_address = t.host")
 cte("ranked_hosts", """SELECT h.ip_address, h.role, h.role_confidence, graph_cluster_group AS community, h.mac_address, h.hostname, h.user_identity, coalesce(c.risk, h.risk_score) AS risk, CASE WHEN c.host IS NULL THEN 'none' ELSE 'candidate' END AS candidate_status,
  (SELECT count(*) FROM hypotheses p WHERE list_contains(p.impacted_entities, h.ip_address)) AS finding_count, coalesce(c.confidence, 0e0) AS confidence, coalesce(c.priority, 'LOW') AS priority, external_unique_relationships AS external_relationships,
@@ -71,3 +71,7 @@ for _n in _LONG:
     cte(f"uncut_{_n}", re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(_LONG) + r")\b", r"\1 uncut_\2", _sql))
 cte("whole_hosted", re.sub(r"\blimited\b", "deduped", CTES["hosted"]))
 cte("ranked_whole", re.sub(r"\bhosted\b", "whole_hosted", CTES["hypotheses"]).replace(" WHERE place <= 10", ""))
+for _name, _key, _table in (("frame_nodes", "ip_address", "scored_nodes"), ("frame_edges", "edge_id", "graph_edges")):
+    cte(_name, f"SELECT x.{_key}, coalesce((SELECT min(frame_number) FROM frames f WHERE f.us >= x.first_us), (SELECT max(frame_number) FROM frames)) AS frame_number FROM {_table} x")
+cte("frame_offsets", "SELECT frame_id, frame_number - 1 AS frame_offset FROM frames")
+cte("host_event_offsets", "SELECT host, event_index FROM indexed_events")

