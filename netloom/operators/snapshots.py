@@ -5,8 +5,11 @@ depends on its nodes only, so it cannot change while they stay.) Nothing here jo
 counts and the digest of the node set are running sums and xors over starts and ends.
 """
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from netloom.functions.numeric import rnd, scaled
 from netloom.functions.times import us_to_iso
 from netloom.operators.ordered import ADD, XOR, running, runs
 
+# The function of a chunk travels with the job; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CAP = "capture_id"
 MARGIN_US = 5_000_000
 # Chunks of the risk computation. A chunk has at most ten million distinct microseconds.
