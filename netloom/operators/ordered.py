@@ -20,7 +20,10 @@ def with_chunks(df: DataFrame, part: list[str], levels: list[str], hot: int = HO
         df.select(*part, first.alias("chunk0")).groupBy(*part, "chunk0").count()
         .where(F.col("count") > hot).select(*part, "chunk0", F.lit(True).alias("crowded"))
     )
-    cut = df.withColumn("chunk0", first).join(crowded, [*part, "chunk0"], "left")
+    whole = df.withColumn("chunk0", first)
+    if crowded.isEmpty():  # one count; the plans that follow then need no join to cut
+        return whole.withColumns({f"chunk{i}": F.lit(-1 if i < len(levels) else 0).cast("bigint") for i in (1, 2)})
+    cut = whole.join(crowded, [*part, "chunk0"], "left")
     finer = {
         f"chunk{i}": F.when(F.col("crowded"), F.expr(levels[i])).otherwise(F.lit(-1)) if i < len(levels) else F.lit(0)
         for i in (1, 2)

@@ -20,9 +20,11 @@ WINDOW_CUT = 1704072600000000
 def analysis(spark: SparkSession, folder: str) -> Analysis:
     """The analysis of a folder, built once per session so that queries share its kept tables."""
     tune(spark)
-    key = (spark.sparkContext.applicationId, folder)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    # tables rewritten by Spark have new file names and get an analysis of their own; for files changed in place see `forget`
+    stamp = tuple(sorted(events.inputFiles()))
+    key = (spark.sparkContext.applicationId, folder, stamp)
     if key not in _SESSIONS:
-        events = spark.read.parquet(f"{folder}/events.parquet")
         cores = spark.sparkContext.defaultParallelism
         if events.rdd.getNumPartitions() < cores:  # one small file: give every core a part of it
             events = events.repartition(cores, "event_id")

@@ -2,8 +2,8 @@
 
 import re
 
-from netloom.operators.snapshots import COMMUNITIES
 from oracle.base import CTES, cte, iso, private, r, sc
+from oracle.constants import COMMUNITIES
 
 M = 5000000
 cte("lifecycle_events", """SELECT capture_id, first_us AS us, 'node_appears' AS type, ip_address AS entity FROM scored_nodes UNION ALL SELECT capture_id, last_us, 'node_disappears', ip_address FROM scored_nodes

@@ -1,7 +1,7 @@
 """SQL of the queries in netloom.plans.special."""
 
-from netloom.operators.hosts import BASELINE_FIELDS
 from oracle.base import cloud, color, direction, evsev, graded, noninv, private, r
+from oracle.constants import BASELINE_FIELDS
 
 _NAMES = "split_part(split_part(nbns_name, ',', 1), '<', 1)"
 _ROLE = "CASE role WHEN 'DOMAIN_CONTROLLER' THEN 'Domain Controller' WHEN 'INFRASTRUCTURE' THEN 'Infrastructure' WHEN 'SERVER' THEN 'Server' WHEN 'WORKSTATION' THEN 'Workstation' WHEN 'EXTERNAL_SERVICE' THEN 'External Service' ELSE 'Unknown' END"

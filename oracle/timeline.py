@@ -2,6 +2,7 @@
 
 from netloom.operators import narratives as txt
 from netloom.operators import timeline as tlx
+from oracle import constants as known
 from oracle.base import cte, evsev, iso, r
 
 q = "'"
@@ -100,7 +101,7 @@ cte("narrative_events", ev(f"SELECT capture_id, us, 'narrative_generated' AS eve
 cte("timeline_events", " UNION ALL ".join(f"SELECT * FROM {x}_events" for x in ("network", "host", "relationship", "hypothesis", "candidate", "narrative")))
 cte("correlated", """SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY event_type, host, list_sort(related_hosts), coalesce(flow_id, edge_id, hypothesis_id, '') ORDER BY us, event_id) AS i FROM timeline_events) WHERE i = 1""")
 cte("indexed_events", f"""SELECT *, sum(CASE WHEN phase_name <> p THEN 1 ELSE 0 END) OVER (ORDER BY us, event_id) AS run FROM (SELECT *, lag(phase_name) OVER (ORDER BY us, event_id) AS p FROM (
- SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS event_index, {case('event_type', tlx.PHASES, "'Unknown'")} AS phase_name, CASE WHEN event_type = 'hypothesis_created' AND hypothesis_type = 'beaconing' THEN 'BEACONING_DEVELOPMENT' ELSE {case('event_type', tlx.CHAPTER_OF_EVENT, "'UNKNOWN'")} END AS chapter_type,
+ SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS event_index, {case('event_type', known.PHASES, "'Unknown'")} AS phase_name, CASE WHEN event_type = 'hypothesis_created' AND hypothesis_type = 'beaconing' THEN 'BEACONING_DEVELOPMENT' ELSE {case('event_type', known.CHAPTER_OF_EVENT, "'UNKNOWN'")} END AS chapter_type,
   CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS rank FROM correlated))""")
 cte("activity_phases", f"""SELECT *, 'phase_' || substr(md5(phase_name || '|' || {iso('start_us')} || '|' || {iso('end_us')} || '|' || event_count), 1, 10) AS phase_id,
  phase_name || ' phase containing ' || event_count || ' correlated events: ' || array_to_string(event_types[1:5], ', ') AS description
@@ -108,12 +109,12 @@ FROM (SELECT capture_id, cast(run AS bigint) AS run, any_value(phase_name) AS ph
 cte("chapter_bounds", "SELECT capture_id, chapter_type, min(us) AS start_us, max(us) AS end_us, count(*) AS event_count, max(rank) AS rank FROM indexed_events GROUP BY ALL")
 cte("chapter_phase_overlap", "SELECT b.chapter_type, p.phase_id FROM chapter_bounds b JOIN activity_phases p ON p.start_us <= b.end_us AND p.end_us >= b.start_us")
 cte("chapter_hosts", "SELECT DISTINCT chapter_type, host FROM indexed_events WHERE host <> ''")
-_IMP = "CASE chapter_type " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in tlx.CHAPTERS.items()) + " END"
-_ORD = "list_position([" + ", ".join(f"'{k}'" for k in tlx.CHAPTERS) + "], chapter_type)"
+_IMP = "CASE chapter_type " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in known.CHAPTERS.items()) + " END"
+_ORD = "list_position([" + ", ".join(f"'{k}'" for k in known.CHAPTERS) + "], chapter_type)"
 cte("chapters", f"""SELECT * EXCLUDE (start_us, end_us), CASE WHEN chapter_number = 1 THEN t0 ELSE start_us END AS start_us, CASE WHEN chapter_number = k THEN t1 ELSE end_us END AS end_us,
  {r('((CASE WHEN chapter_number = k THEN t1 ELSE end_us END) - (CASE WHEN chapter_number = 1 THEN t0 ELSE start_us END)) / 1e6', 4)} AS duration_seconds
 FROM (SELECT *, row_number() OVER (ORDER BY start_us, {_ORD}) AS chapter_number, count(*) OVER () AS k, min(start_us) OVER () AS t0, max(end_us) OVER () AS t1,
-  'chapter_' || substr(md5(chapter_type || '|' || {iso('start_us')} || '|' || {iso('end_us')}), 1, 10) AS chapter_id, {case('chapter_type', {k: v[0] for k, v in tlx.CHAPTERS.items()})} AS title,
+  'chapter_' || substr(md5(chapter_type || '|' || {iso('start_us')} || '|' || {iso('end_us')}), 1, 10) AS chapter_id, {case('chapter_type', {k: v[0] for k, v in known.CHAPTERS.items()})} AS title,
   CASE chapter_type WHEN 'INITIAL_ACTIVITY' THEN 'The replay establishes the initial host and community context across ' || host_count || ' observed hosts.' WHEN 'EXTERNAL_COMMUNICATION' THEN 'External application sessions appear in the timeline, including ' || array_to_string(key_events[1:3], ', ') || '.'
    ELSE {case('chapter_type', tlx.CHAPTER_TEXTS, "'Timeline activity did not match a known chapter category.'")} END AS description,
   ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][rank + 1] AS severity, {r(f'least({_IMP} + rank * 2 + least(event_count / 25, 8e0), 100e0)', 1)} AS importance
