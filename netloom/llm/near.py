@@ -264,7 +264,8 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough; texts are read again for these documents only."""
     pairs = written(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    ends = [pairs.select(F.col(end).alias("wanted")).distinct() for end in ("a", "b")]
+    wanted = written(ends[0].union(ends[1]).distinct(), "near-wanted")
     sets = written(_texts_of(texts, wanted).mapInArrow(lambda b: _sets(b, width), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "near-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
