@@ -169,7 +169,8 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]
             near = near[(sieves[near] != sieves[near + d]).sum(axis=1) <= sieve]
             near = near[_first_key(marks[near], marks[near + d], bounds) == block[0, near]]
             if len(near):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[near], rep[near + d])), pa.array(np.maximum(rep[near], rep[near + d]))], ["a", "b"])
+                ends = rep[near], rep[near + d], component[near], component[near + d]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b", "part_a", "part_b"])
             d += 1
 
 
@@ -232,11 +233,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = labelled.join(sieves, F.col("rep") == F.col("id")).drop("id")
     spread = spread.join(full.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "component", "n_shingles", "mark", "sieve")
-    rest = spread.mapInArrow(lambda b: _block_pairs(b, bounds, limit, distance_limit(share, SIEVE), share), "a bigint, b bigint").distinct()
-    more = confirmed(texts, rest, width, percent)
-    groups = components(links.unionByName(more))
-
-    named = classes.join(groups, F.col("rep") == F.col("id"), "left").select(*same, F.col("rows"), F.coalesce("component", "rep").alias("component_id"))
+    rest = spread.mapInArrow(lambda b: _block_pairs(b, bounds, limit, distance_limit(share, SIEVE), share), "a bigint, b bigint, part_a bigint, part_b bigint")
+    # links between components, each pair of components once
+    more = confirmed(texts, rest, width, percent, ["part_a", "part_b"]).select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct()
+    merged = components(more).select("id", F.col("component").alias("merged"))
+    groups = labelled.select(F.col("rep").alias("r"), "component").join(merged, F.col("component") == F.col("id"), "left")
+    groups = groups.select("r", F.coalesce("merged", "component").alias("component_id"))
+
+    named = classes.join(groups, F.col("rep") == F.col("r"), "left").select(*same, F.col("rows"), "component_id")
     out = attach(marks.select("doc_id", *same), named.withColumnRenamed("rows", "met"), same, "met", marks.count(), F.xxhash64("doc_id", "first"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -261,7 +265,7 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int, more: list[str] | None = None) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough; texts are read again for these documents only."""
     pairs = written(pairs, "near-pairs")
     ends = [pairs.select(F.col(end).alias("wanted")).distinct() for end in ("a", "b")]
@@ -270,5 +274,5 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    return written(both.where(F.col("inter") * 100 >= percent * (F.col("sum") - F.col("inter"))).select("a", "b"), "near-links")
+    both = both.select("a", "b", *(more or []), inter.alias("inter"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    return written(both.where(F.col("inter") * 100 >= percent * (F.col("sum") - F.col("inter"))).select("a", "b", *(more or [])), "near-links")
