@@ -1,5 +1,6 @@
 """Packing tokens into sequences by order-preserving dynamic programming."""
 
+import re
 import sys
 import types
 from array import array
@@ -33,7 +34,8 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary file, as little-endian 32-bit numbers.
 
     The file's vocabulary, split pattern and merges (ids in the order of merges) are handed to the faster of the installed
-    BPE engines; a test holds the ids against those of the file's own library.
+    BPE engines; tests hold the ids against those of the file's own library. `ids` takes the file's added tokens out of the
+    text first, as that library does; `encode` is for text between them.
     """
 
     def __init__(self, path: str):
@@ -47,16 +49,29 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
+        added = spec.get("added_tokens", [])
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
+        # of those that begin at one place the longest is taken
+        self.split = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
+        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.added}
         self.bpe = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends = np.zeros(max([*ranks.values(), *(x["id"] for x in added)]) + 1, bool)
         for word, i in ranks.items():
             self.ends[i] = word.rstrip(b" ").endswith((b".", b"!", b"?")) or b"\n" in word
 
     def encode(self, text: str) -> bytes:
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text, each added token in it as its one id."""
+        out, at = [], 0
+        for m in self.split.finditer(text) if self.split else ():
+            out += [self.encode(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self.encode(text[at:])])
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
@@ -170,8 +185,8 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH)
     than INNER_STEP tokens, at places inside. Each input partition is packed on its own in its order and without a shuffle:
     its number leads the sequence ids, a retried task gives the same rows, and memory holds HORIZON tokens and one document.
 
-    ids are little-endian unsigned 32-bit numbers. The strings of special tokens count as ordinary text. Null text counts as
-    empty and gives the one id end_id. Null and repeated doc_ids are packed like any other, row by row. Empty table: no
+    ids are little-endian unsigned 32-bit numbers. The string of an added token of the file is its one id, as the file's own
+    library has it. Null text counts as empty and gives the one id end_id. Null and repeated doc_ids are packed like any other, row by row. Empty table: no
     rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
@@ -191,7 +206,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH)
         for batch in batches:
             seen = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += packer.add(doc_id, code.encode(text or "") + last)
+                rows += packer.add(doc_id, code.ids(text or "") + last)
             if len(rows) >= 1000:
                 yield batch_of(rows, seen)
                 rows = []

@@ -274,6 +274,25 @@ def test_ids_are_those_of_the_vocabulary(tokenizer):
         assert np.frombuffer(code.encode(text), "<u4").tolist() == encode(text), repr(text)
 
 
+def test_added_tokens_are_one_id(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    path, own = tokenizer[0], Tokenizer.from_file(tokenizer[0])  # as loaded, unlike the fixture's
+    encode = lambda text: own.encode(text, add_special_tokens=False).ids
+    code, rng = packing.Encoder(path), random.Random(10)
+    parts = ["a", "b", " ", "  ", "\n", "é", "'s", "12", ".", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|EndOfText|>", "日本", "\r\n", "\x00"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(code.ids(text), "<u4").tolist() == encode(text), repr(text)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x.", "no token. " * 900 + "<|endoftext|>", "", None]
+    found = defaultdict(list)
+    for p in sorted(packing.pack(documents(spark, list(enumerate(texts))), path).collect(), key=lambda p: p.start):
+        assert p.doc_tokens == len(encode(texts[p.doc_id] or "")) + 1
+        found[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert found == {i: [*encode(text or ""), packing.END_ID] for i, text in enumerate(texts)}
+    assert found[0] == [64, 220, 50256, 275, 1]
+
+
 def test_windows_are_the_cheapest():
     rng = random.Random(4)
     for _ in range(60):
