@@ -72,7 +72,7 @@ def count_of(spans: Column, kind: int) -> Column:
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, folder, "documents"))
     counts = [count_of(F.col("spans"), i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])]
-    return found.select("doc_id", *counts, "base_sha256", spans_text(F.col("spans"), secrets.KINDS).alias("spans"))
+    return found.select("doc_id", *counts, "base_sha256", spans_text(F.col("spans"), secrets.KINDS).alias("spans"), "n_live", "n_copied")
 
 
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
