@@ -520,3 +520,24 @@ def test_the_field_learns_shapes():
     field = pii.train(table)
     tags = field.decode(np.array([3, 700, 700, 5]), np.array([0, 4]))
     assert tags.tolist() == [0, 1, 1, 0]
+
+
+# pipeline
+
+
+def test_each_decision_of_the_pipeline_reaches_its_row_only(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(5, "A"), (7, "A"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (8, "D"), (8, "D"), (9, None), (3, ""), (None, "E"), (None, "F")]
+    kept = pipeline.drop_copies(spark, documents(spark, rows), "")
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, "A"), (5, "B"), (None, "C"), (8, "D"), (9, None), (None, "E"), (None, "F")])
+
+    words = lambda k: " ".join(f"f{k}w{i}" for i in range(200))
+    rows = [(5, words(1)), (4, words(1) + " end"), (5, words(2)), (None, words(3)), (None, words(3) + " end"), (None, words(2) + " end"), (6, words(4)), (None, None)]
+    near_kept = {(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()}
+    assert near_kept - {(None, words(3)), (None, words(3) + " end")} == {(4, words(1) + " end"), (5, words(2)), (6, words(4)), (None, None)}
+    assert len(near_kept) == 5
+
+    plain_ids = documents(spark, [(1, "A"), (2, "A"), (3, "B")])
+    assert {r.doc_id for r in pipeline.drop_copies(spark, plain_ids, "").collect()} == {2, 3}
