@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import written
@@ -156,9 +156,11 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = END_ID, length: int = L
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, columns)
 
 
-def pack_best_fit(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
+def pack_best_fit(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH, carry: Column | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset: one row for each piece of a document in a sequence of at most `length` ids.
 
+    carry: an expression over `ids` to return in place of the ids, such as a digest; the ids themselves then stay where they are.
+
     Each row of `docs` is tokenised whole and gets end_id; only longer ones are cut. The pieces are a table in the shared
     folder, and all of them are packed together: the number of pieces of each length (at most `length` numbers, whatever the
     size of the table) is planned into patterns, and a piece finds its place by its length and its rank among the pieces of that
@@ -189,9 +191,11 @@ def pack_best_fit(docs: DataFrame, path: str, end_id: int = END_ID, length: int
         F.col("length").alias("of"), "rank", F.coalesce(F.lead("rank").over(along), F.lit((1 << 63) - 1)).alias("until"), holds("part").alias("p"), holds("slot").alias("s"))
     stretches = stretches.select("of", "rank", "until", F.col("p.since").alias("part_rank"), F.col("p.value").alias("in_part"), F.col("s.since").alias("slot_rank"), "s.value.*")
 
+    carry = F.col("ids") if carry is None else carry.alias("carried")
+    kept = pieces.select("doc_id", "piece", "start", "length", carry, "part", "nth")
     rank = F.col("part_rank") + F.col("nth")
-    found = pieces.join(stretches, (F.col("length") == F.col("of")) & (F.col("part") == F.col("in_part")) & (rank >= F.col("rank")) & (rank < F.col("until")))
+    found = kept.join(stretches, (F.col("length") == F.col("of")) & (F.col("part") == F.col("in_part")) & (rank >= F.col("rank")) & (rank < F.col("until")))
     nth = rank - F.col("slot_rank")
     return found.select(
-        "doc_id", "piece", "start", "length", "ids", (F.col("first_sequence") + ((nth - nth % F.col("copies")) / F.col("copies")).cast("bigint")).alias("sequence_id"),
+        *kept.columns[:5], (F.col("first_sequence") + ((nth - nth % F.col("copies")) / F.col("copies")).cast("bigint")).alias("sequence_id"),
         (F.col("place") + nth % F.col("copies") * F.col("length")).alias("offset"))

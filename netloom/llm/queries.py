@@ -88,8 +88,7 @@ def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = bestfit.pack_best_fit(table(spark, folder, "documents"), tokenizer_path())
-    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return bestfit.pack_best_fit(table(spark, folder, "documents"), tokenizer_path(), carry=F.crc32("ids")).withColumnRenamed("carried", "ids_crc32")
 
 
 def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
