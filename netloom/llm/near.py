@@ -16,16 +16,14 @@ from netloom.llm.words import mixed, shingle_sets, small_batches
 PLACES = 64
 # Rounds of comparing each class with one hub.
 ROUNDS = 3
-# Rows of one key that are compared in one task at a time.
-BLOCK_ROWS = 1024
+# Rows of one group, and shingles of their sets, that are compared with as many others at a time.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 22
 # Ids sent to all tasks up to this number, else joined.
 BROADCAST_IDS = 500_000
 
-# The sieve: more places of 8 bits, for classes that blocks compare.
-SIEVE = 512
 _RNG = np.random.default_rng(64)
-_XOR = _RNG.integers(0, 1 << 63, SIEVE, dtype=np.uint64)
-_MUL = _RNG.integers(0, 1 << 62, SIEVE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, PLACES, dtype=np.uint64)
+_MUL = _RNG.integers(0, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def distance_limit(similarity: float, places: int = PLACES) -> int:
@@ -41,22 +39,12 @@ def chunk_bounds(limit: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def least_hashes(found: np.ndarray, places: int) -> np.ndarray:
-    """For each place the least hash of the set under the place's function."""
-    least = np.full(places, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 2048):
-        least = np.minimum(least, ((found[None, i : i + 2048] ^ _XOR[:places, None]) * _MUL[:places, None]).min(axis=1))
-    return mixed(least)
-
-
 def signature(found: np.ndarray) -> np.ndarray:
-    return (least_hashes(found, PLACES) & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def _sieves(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = [(least_hashes(found, SIEVE) & np.uint64(0xFF)).astype(np.uint8).tobytes() for _, found in shingle_sets(batch.column(1), width)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["id", "sieve"])
+    """For each place 16 bits of the least hash of the set under the place's function."""
+    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 2048):
+        least = np.minimum(least, ((found[None, i : i + 2048] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1))
+    return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -118,27 +106,13 @@ def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least(other, F.col("rep")).alias("a"), F.greatest(other, F.col("rep")).alias("b")).distinct()
 
 
-def _first_key(left: np.ndarray, right: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """The first key that each pair of signatures shares."""
-    out, open_ = np.zeros(len(left), np.int64), np.ones(len(left), bool)
-    for low, high in bounds:
-        differ = left[:, low:high] != right[:, low:high]
-        hit = np.flatnonzero(open_ & (differ.sum(axis=1) <= 1))
-        place = low + differ[hit].argmax(axis=1)  # of equal chunks the first place
-        marks = _spread(left[hit])
-        out[hit] = mixed(marks[:, low:high].sum(axis=1, dtype=np.uint64) - marks[np.arange(len(hit)), place] + place.astype(np.uint64)).astype(np.int64)
-        open_[hit] = False
-    return out
-
-
 def _spread(marks: np.ndarray) -> np.ndarray:
     """64-bit numbers for the values of a signature, apart for each place."""
     return mixed(marks.astype(np.uint64) + np.arange(PLACES, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(1))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], limit: int, sieve: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block (key, i, j) within the distance, of different components and like sizes, at the first key that they
-    share; only these leave the task.
+def _block_rows(batches: Iterator[pa.RecordBatch], limit: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Of each block (hub, i, j), the rows with another of a different component and like size within the distance.
 
     Rows come ordered by block. The rows of many blocks are compared at once, each with the one d places further on, for
     rising d while any block is that long; what a block has of rows in the next batch waits for it.
@@ -146,32 +120,80 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]
     held = None
     for batch in chain(batches, [None]):
         if batch is not None:
-            block = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)])
-            numbers = np.stack([batch.column(c).to_numpy() for c in (3, 4, 5)])
-            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(len(batch), PLACES)
-            sieves = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(batch), SIEVE)
+            numbers = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(7)])
+            marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(len(batch), PLACES)
             if held is not None:
-                block, numbers, marks, sieves = (np.concatenate([x, y], axis=axis) for x, y, axis in zip(held, (block, numbers, marks, sieves), (1, 1, 0, 0), strict=True))
+                numbers, marks = np.concatenate([held[0], numbers], axis=1), np.concatenate([held[1], marks])
         elif held is not None:
-            block, numbers, marks, sieves = held
+            numbers, marks = held
         else:
             return
-        new = np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)])[: block.shape[1]]
+        new = np.concatenate([[True], (numbers[:3, 1:] != numbers[:3, :-1]).any(axis=0)])[: numbers.shape[1]]
         whole = len(new) if batch is None else (int(np.flatnonzero(new)[-1]) if len(new) else 0)
-        held = block[:, whole:], numbers[:, whole:], marks[whole:], sieves[whole:]
-        group, (rep, component, size) = np.cumsum(new[:whole]), numbers[:, :whole]
-        at, d = np.arange(whole), 1
+        held = numbers[:, whole:], marks[whole:]
+        group, (hub, i, j, own, rep, component, size) = np.cumsum(new[:whole]), numbers[:, :whole]
+        wanted, at, d = np.zeros(whole, bool), np.arange(whole), 1
         while len(at):
             at = at[at + d < whole]
             at = at[group[at] == group[at + d]]
-            near = at[(component[at] != component[at + d]) & (np.minimum(size[at], size[at + d]) >= share * np.maximum(size[at], size[at + d]) - 1e-9)]
+            near = at[(component[at] != component[at + d]) & ((i[at] == j[at]) | (own[at] != own[at + d]))]
+            near = near[np.minimum(size[near], size[near + d]) >= share * np.maximum(size[near], size[near + d]) - 1e-9]
             near = near[(marks[near] != marks[near + d]).sum(axis=1) <= limit]
-            near = near[(sieves[near] != sieves[near + d]).sum(axis=1) <= sieve]
-            near = near[_first_key(marks[near], marks[near + d], bounds) == block[0, near]]
-            if len(near):
-                ends = rep[near], rep[near + d], component[near], component[near + d]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b", "part_a", "part_b"])
+            wanted[near] = wanted[near + d] = True
             d += 1
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[c, :whole][wanted]) for c in range(7)] + [pa.array([m.tobytes() for m in marks[:whole][wanted]], pa.binary())], _BLOCK)
+
+
+_BLOCK = ["hub", "i", "j", "own", "rep", "component", "n_shingles", "mark"]
+_BLOCK_TYPES = "hub bigint, i bigint, j bigint, own bigint, rep bigint, component bigint, n_shingles bigint, mark binary"
+
+
+def block_links(cross: bool, own: np.ndarray, component: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], limit: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of one block, as pairs of rows: pairs within the distance are confirmed on their whole sets, as long as their ends are not linked yet.
+
+    cross: only rows of different `own` are compared. At most one link fewer than there are rows.
+    """
+    label, out = component.copy(), []
+    size = np.array([len(x) for x in sets])
+    for a in range(len(sets) - 1):
+        others = np.arange(a + 1, len(sets))
+        others = others[(label[others] != label[a]) & ((own[others] != own[a]) | (not cross))]
+        others = others[100 * np.minimum(size[others], size[a]) >= percent * np.maximum(size[others], size[a])]
+        others = others[(marks[others] != marks[a]).sum(axis=1) <= limit]
+        if not len(others):
+            continue
+        values = np.concatenate([sets[b] for b in others])
+        found = sets[a][np.minimum(np.searchsorted(sets[a], values), size[a] - 1)] == values
+        both = np.add.reduceat(found, np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
+        for b in others[100 * both >= percent * (size[a] + size[others] - both)].tolist():
+            if label[a] != label[b]:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], limit: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The links of each block between components. Rows come ordered by block, with their sets; one block is held."""
+    block, held = None, []
+
+    def close() -> pa.RecordBatch:
+        own, component, marks, sets = zip(*held, strict=True)
+        component = np.array(component)
+        found = block_links(block[1] != block[2], np.array(own), component, np.stack(marks), list(sets), limit, percent)
+        ends = component[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True))
+        for row, key in enumerate(keys):
+            if key != block:
+                if held:
+                    yield close()
+                block, held = key, []
+            found = np.sort(batch.column(8)[row].values.to_numpy().view(np.uint64))
+            held.append((batch.column(3)[row].as_py(), batch.column(5)[row].as_py(), np.frombuffer(batch.column(7)[row].as_py(), np.uint16), found))
+    if held:
+        yield close()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -186,17 +208,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        pairs share a key. The limit lies 4.2 deviations above the mean distance of pairs just at the similarity.
     3. In a few rounds each class is compared with one other, the hub of a key that most of its keys name and that is not yet
        in its component; so rows grow with classes, not with pairs. Links are confirmed on whole sets and merged into
-       components. Keys that still hold several components are then compared in blocks of bounded size, where only pairs
-       of different components within the distance leave a block, each pair once, after a sieve by longer signatures (made
-       for these classes only, with a limit set alike). So every pair that shares a key is in one
-       component or has been compared.
+       components. Classes of keys that still hold several components are then compared in blocks of bounded size: first by
+       signatures, to find the classes that are near any other; then those bring their whole sets, and a pair is confirmed
+       inside its block unless confirmed links already join its ends. So only links leave a block, fewer than it has rows,
+       and every pair that shares a key is in one component or has been compared.
     4. Components are the smallest doc_id reachable.
 
     Lower case A-Z; words are runs without ASCII white space. Fewer words than width: the whole sequence is the one shingle.
     Null or wordless text: n_shingles 0, linked with nothing. Rows with a null doc_id: component_id null, kept true.
-    Rows repeating a doc_id share one component if their texts agree. Empty table: no rows; other columns are not read.
+    Rows repeating a doc_id are compared each by its own text and keep their id: one row for each, all kept if the id is the
+    smallest of their component. Empty table: no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _by_row(docs, width, percent)
     share, limit = percent / 100, distance_limit(percent / 100)
     bounds = chunk_bounds(limit)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -221,21 +246,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         groups = components(links)
         labelled = reps.join(groups, F.col("rep") == F.col("id"), "left").select("rep", "mark", "n_shingles", F.coalesce("component", "rep").alias("component"))
     members = shared.join(labelled.select(F.col("rep").alias("r"), "component"), F.col("rep") == F.col("r")).drop("r")
-    mixed_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = mixed_keys.select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_rows = written(members.join(blocks, F.col("key") == F.col("k")).select("key", "rep", "blocks"), "near-open")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # a row goes to the groups (i, own) and (own, j) of its key: as many as the key has blocks
-    spread = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
-    wanted = open_rows.select(F.col("rep").alias("wanted")).distinct()
-    sieves = written(_texts_of(texts, wanted).mapInArrow(lambda b: _sieves(b, width), "id bigint, sieve binary").dropDuplicates(["id"]), "near-sieves")
-    full = labelled.join(sieves, F.col("rep") == F.col("id")).drop("id")
-    spread = spread.join(full.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
-    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "component", "n_shingles", "mark", "sieve")
-    rest = spread.mapInArrow(lambda b: _block_pairs(b, bounds, limit, distance_limit(share, SIEVE), share), "a bigint, b bigint, part_a bigint, part_b bigint")
-    # links between components, each pair of components once
-    more = confirmed(texts, rest, width, percent, ["part_a", "part_b"]).select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct()
+    # all rows that share keys of one least row meet in one group, once for all these keys
+    mixed_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("hub")).where("low <> high")
+    groups = members.join(mixed_keys.select(F.col("key").alias("k"), "hub"), F.col("key") == F.col("k")).select("hub", "rep").distinct()
+    full = labelled.withColumnRenamed("rep", "r")
+    groups = written(groups.join(full, F.col("rep") == F.col("r")).select("hub", "rep", "component", "n_shingles", "mark"), "near-open")
+    sizes = groups.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
+    spread = groups.join(sizes.withColumnRenamed("hub", "h"), F.col("hub") == F.col("h")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # a row goes to the blocks (i, own) and (own, j) of its group
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select(*_BLOCK)
+    spread = spread.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    near = written(spread.mapInArrow(lambda b: _block_rows(b, limit, share), _BLOCK_TYPES), "near-rows")
+    wanted = written(near.select(F.col("rep").alias("wanted")).distinct(), "near-wanted")
+    sets = written(_texts_of(texts, wanted).mapInArrow(lambda b: _sets(b, width), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "near-sets")
+    near = near.join(sets, F.col("rep") == F.col("id")).select(*_BLOCK, "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    more = written(near.mapInArrow(lambda b: _block_links(b, limit, percent), "a bigint, b bigint"), "near-links").distinct()
     merged = components(more).select("id", F.col("component").alias("merged"))
     groups = labelled.select(F.col("rep").alias("r"), "component").join(merged, F.col("component") == F.col("id"), "left")
     groups = groups.select("r", F.coalesce("merged", "component").alias("component_id"))
@@ -246,6 +272,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _by_row(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """`near_duplicates` where doc_ids repeat: on numbers of rows, mapped back to the smallest doc_id of each component."""
+    rows = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), width, percent)
+    nameless = found.where("doc_id IS NULL")
+    found = written(found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("row"), "n_shingles", "component_id").join(rows.select("row", "doc_id"), "row"), "near-found")
+    least = written(found.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("met")), "near-least")
+    out = attach(found, least, ["component_id"], "met", found.count(), F.xxhash64("row"))
+    out = out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), (F.col("doc_id") == F.col("least")).alias("kept"))
+    return out.unionByName(nameless)
+
+
 def _near(pairs: DataFrame, reps: DataFrame, limit: int, share: float) -> DataFrame:
     """Pairs (a, b) of like sizes within the distance limit."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("mark").alias(f"mark_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -265,14 +303,13 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int, more: list[str] | None = None) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough; texts are read again for these documents only."""
-    pairs = written(pairs, "near-pairs")
     ends = [pairs.select(F.col(end).alias("wanted")).distinct() for end in ("a", "b")]
     wanted = written(ends[0].union(ends[1]).distinct(), "near-wanted")
     sets = written(_texts_of(texts, wanted).mapInArrow(lambda b: _sets(b, width), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "near-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", *(more or []), inter.alias("inter"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    return written(both.where(F.col("inter") * 100 >= percent * (F.col("sum") - F.col("inter"))).select("a", "b", *(more or [])), "near-links")
+    both = both.select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    return written(both.where(F.col("inter") * 100 >= percent * (F.col("sum") - F.col("inter"))).select("a", "b"), "near-links")

@@ -402,6 +402,44 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_just_at_the_limit_in_a_crowd(spark):
+    """Versions of one text that are mostly just below the limit, and some at 0.85 to 0.87 of one another."""
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(260):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(120)] = f"e{i}x{rng.randint(0, 99999)}"
+        rows.append((len(rows), " ".join(copy)))
+        if i % 5 == 0:
+            close = list(copy)
+            for k in rng.sample(range(0, 118, 6), 3):
+                close[k] = f"c{rng.randint(0, 99999)}"
+            rows.append((len(rows), " ".join(close)))
+    want = naive_components(rows, 3, 85)
+    out = near.near_duplicates(documents(spark, rows), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert 10 < len({c for _, c in want.values()}) < 250
+
+
+def test_links_of_a_block_are_a_forest():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([np.arange(k // 10 * 1000, k // 10 * 1000 + 100), rng.integers(10**6, 10**7, 4)])).astype(np.uint64) for k in range(40)]
+    marks, names = np.zeros((40, near.PLACES), np.uint16), np.arange(40)
+    found = near.block_links(False, np.zeros(40), names, marks, sets, near.PLACES, 85)
+    assert len(found) == 36 and all(a // 10 == b // 10 for a, b in found)
+    across = near.block_links(True, names % 2, names, marks, sets, near.PLACES, 85)
+    assert len(across) == 36 and all(a % 2 != b % 2 for a, b in across)
+    assert near.block_links(False, np.zeros(40), names // 10, marks, sets, near.PLACES, 85) == []
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a), (7, b + " more"), (8, c), (8, c), (None, a), (9, None), (9, "")]
+    out = near.near_duplicates(documents(spark, rows), 3, 85)
+    assert plain(out) == sorted([(5, 38, 5, True), (5, 38, 5, True), (6, 38, 5, False), (7, 39, 5, False), (8, 38, 8, True), (8, 38, 8, True), (None, 38, None, True), (9, 0, 9, True), (9, 0, 9, True)], key=repr)
+
+
 def test_signatures_within_the_limit_share_a_key():
     rng = np.random.default_rng(3)
     limit = near.distance_limit(0.85)
@@ -416,7 +454,6 @@ def test_signatures_within_the_limit_share_a_key():
             for out in near._keys(iter([batch]), bounds):
                 keys[k].update(out.column(0).to_pylist())
         assert keys[0] & keys[1]
-        assert int(near._first_key(left[None], right[None], bounds)[0]) in keys[0] & keys[1]
 
 
 def test_components_of_a_long_chain(spark):
