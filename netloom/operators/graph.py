@@ -13,6 +13,11 @@ NODE = [CAP, "node_id"]
 # Protocols of a node that is infrastructure only.
 NOISE_PROTOCOLS = ["dhcp", "dns", "ntp", "arp", "ldap"]
 RISKY_TYPES = ["persistent_tls", "external_tls_session", "directory_authentication", "administrative_rpc"]
+# All values that `relationship_type` gives.
+RELATIONSHIP_TYPES = [
+    "administrative_rpc", "dhcp_assignment", "directory_authentication", "external_tls_session", "file_transfer", "infrastructure_dns", "interaction",
+    "interactive_http", "periodic_communication", "periodic_dns", "persistent_tls", "service_discovery", "suspicious_communication",
+]
 COMMUNITY_OF_ROLE = {
     "DOMAIN_CONTROLLER": "Domain Controllers",
     "INFRASTRUCTURE": "Infrastructure",

@@ -121,3 +121,5 @@ def running(df: DataFrame, part, levels, order, folds: dict, hot: int = HOT_ROWS
 
 ADD = (F.sum, lambda a, b: a + b)
 XOR = (F.bit_xor, lambda a, b: a.bitwiseXOR(b))
+# for values above 0, as a fold over nothing gives 0
+MAX = (F.max, F.greatest)

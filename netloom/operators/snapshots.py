@@ -1,29 +1,25 @@
 """Event-driven snapshots: the graph within five seconds of every appearance or disappearance.
 
-A snapshot is kept when its counts or its set of nodes differ from the last kept one. (The risk of a window
-depends on its nodes only, so it cannot change while they stay.) Nothing here joins windows with entities:
-counts and the digest of the node set are running sums and xors over starts and ends.
+A snapshot is kept when its counts or its set of nodes differ from the last kept one. (Its other figures
+depend on its nodes and edges only, so they cannot change while those stay.) Nothing here joins windows with entities:
+counts, sums and the digest of the node set are running folds over starts and ends, and so is the histogram that gives
+the mean of the highest risks.
 """
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.numeric import rnd, scaled
 from netloom.functions.times import us_to_iso
-from netloom.operators.ordered import ADD, XOR, running, runs
-
-# The function of a chunk travels with the job; executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from netloom.operators.graph import RELATIONSHIP_TYPES
+from netloom.operators.ordered import ADD, MAX, XOR, running, runs
 
 CAP = "capture_id"
 MARGIN_US = 5_000_000
-# Chunks of the risk computation. A chunk has at most ten million distinct microseconds.
-CHUNK_US = 10_000_000
+# Digits of a risk in hundredths, in the base of the levels of the histogram: 11 to the power of 4 values.
+BASE, DIGITS = 11, 4
+# Larger than any sequence number.
+LAST = 1 << 62
 COMMUNITIES = {
     "Domain Controllers": "domain_controllers", "Infrastructure": "infrastructure", "Servers": "servers", "Workstations": "workstations",
     "External Services": "external_services", "Unknown": "unknown",
@@ -51,72 +47,137 @@ def _changes(frame: DataFrame, columns: dict) -> DataFrame:
     return frame.select(CAP, both, *[v.alias(k) for k, v in columns.items()]).select(CAP, "m.us", "m.sign", *columns)
 
 
-def snapshot_windows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per moment with a lifecycle event: active nodes (also by community), active edges, digest of the node set."""
+def _node_sums() -> dict[str, Column]:
+    """What each active node adds to a window."""
+    c = F.col
+    return {
+        "nodes": F.lit(1), "risk_e2": scaled(c("risk_score"), 2), "contacts": c("external_connections"), "diversity": c("protocol_diversity"),
+        "infra": (c("role") == "INFRASTRUCTURE").cast("int"), "starts": (c("replay_sequence_start") > 0).cast("int"), "ends": (c("replay_sequence_end") > 0).cast("int"),
+        **{f"in_{s}": (c("community_type") == name).cast("int") for name, s in COMMUNITIES.items()},
+    }
+
+
+def _edge_sums() -> dict[str, Column]:
+    """What each active edge adds; a type is present while its running count is above 0."""
     c = F.col
-    per_community = {f"in_{s}": F.when(c("community_type") == name, 1).otherwise(0) for name, s in COMMUNITIES.items()}
+    return {
+        "edges": F.lit(1), "persistence_e4": scaled(c("persistence_score"), 4), "suspicious": (c("relationship_risk") >= 35).cast("int"),
+        **{f"type_{t}": (c("relationship_type") == t).cast("int") for t in RELATIONSHIP_TYPES},
+    }
+
+
+def snapshot_windows(nodes: DataFrame, edges: DataFrame, keep) -> DataFrame:
+    """One row per moment with a lifecycle event: the active nodes (also by community) and edges, their sums and types, the digest of the node set."""
+    c = F.col
+    node, edge = _node_sums(), _edge_sums()
+    added = [*node, *edge]
+    nothing = lambda names: {x: F.lit(0).cast("bigint") for x in names}
     digest = F.conv(F.substring("node_id", 1, 15), 16, 10).cast("bigint")
-    n = _changes(nodes, {"nodes": F.lit(1), "node_set": digest, **per_community}).withColumn("edges", F.lit(0))
-    e = _changes(edges, {"edges": F.lit(1)}).withColumns({"nodes": F.lit(0), "node_set": F.lit(0).cast("bigint"), **{k: F.lit(0) for k in per_community}})
-    added = ["nodes", "edges", *per_community]
+    at_nodes = _changes(nodes, {"node_set": digest, **node}).withColumns(nothing(edge))
+    at_edges = _changes(edges, edge).withColumns(nothing(["node_set", *node]))
     # xor undoes itself, so the digest of a node enters and leaves by the same operation
-    changes = n.unionByName(e).groupBy(CAP, "us").agg(*[F.sum(c(x) * c("sign")).alias(x) for x in added], F.bit_xor("node_set").alias("node_set")).withColumn("asks", F.lit(0))
-    moments = lifecycle_events(nodes, edges).select(CAP, "us").distinct().select(
-        CAP, "us", *[F.lit(0).cast("bigint").alias(x) for x in added], F.lit(0).cast("bigint").alias("node_set"), F.lit(1).alias("asks"))
+    changes = at_nodes.unionByName(at_edges).groupBy(CAP, "us").agg(*[F.sum(F.coalesce(c(x), F.lit(0)) * c("sign")).alias(x) for x in added], F.bit_xor("node_set").alias("node_set")).withColumn("asks", F.lit(0))
+    moments = lifecycle_events(nodes, edges).select(CAP, "us").distinct().withColumns({**nothing([*added, "node_set"]), "asks": F.lit(1)})
     folds = {**{x: ADD for x in added}, "node_set": XOR}
-    summed = running(changes.unionByName(moments), [CAP], ["us div 60000000L", "us"], ["us", "asks"], folds)
-    return summed.where("asks = 1").select(
-        CAP, "us", c("nodes_upto").alias("node_count"), c("edges_upto").alias("edge_count"), c("node_set_upto").alias("node_set"),
-        *[c(f"in_{s}_upto").alias(s) for s in COMMUNITIES.values()],
+    points = keep("snapshot_changes", changes.unionByName(moments))
+    summed = running(points, [CAP], ["us div 60000000L", "us"], ["us", "asks"], folds).where("asks = 1")
+    now = lambda x: c(f"{x}_upto")
+    n, m = now("nodes"), now("edges")
+    per = lambda value, of, digits: F.when(of > 0, rnd(value, digits)).otherwise(F.lit(0.0))
+    types = F.filter(F.array(*[F.when(now(f"type_{t}") > 0, t) for t in RELATIONSHIP_TYPES]), lambda t: t.isNotNull())
+    windows = summed.select(
+        CAP, "us", now("nodes").alias("node_count"), now("edges").alias("edge_count"), now("node_set").alias("node_set"), *[now(f"in_{s}").alias(s) for s in COMMUNITIES.values()],
+        per(now("risk_e2") / n / F.lit(100.0), n, 2).alias("avg_node_risk"), per(now("persistence_e4") / F.lit(1e4) / m, m, 4).alias("avg_edge_persistence"),
+        now("suspicious").alias("suspicious_edges"), per(now("suspicious") / m, m, 4).alias("suspicious_edge_ratio"), per(now("contacts") / (n * 10), n, 4).alias("externality_ratio"),
+        per(now("infra") / n, n, 4).alias("infrastructure_ratio"), per(now("diversity") / n, n, 2).alias("avg_protocol_diversity"),
+        types.alias("relationship_types"), rnd(F.size(types) / 12, 2).alias("relationship_diversity_score"),
+        now("starts").alias("starts"), now("ends").alias("ends"),
     )
+    windows = keep("snapshot_sums", windows)
+    bounds = sequence_bounds(windows, nodes)
+    known = lambda n, bound: F.when(c(n) > 0, c(bound)).otherwise(F.lit(0)).cast("bigint").alias(bound)
+    kept = [x for x in windows.columns if x not in ("starts", "ends")]
+    return windows.join(bounds, [CAP, "us"]).select(*kept, known("starts", "replay_sequence_start"), known("ends", "replay_sequence_end"))
+
+
+def sequence_bounds(windows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Smallest first and largest last sequence number of the nodes in each window, where it has any.
+
+    Sequence numbers rise with time. So a node that starts after a window has a larger first number than any in it, and the
+    smallest among all nodes that end at or after its beginning is that of the window: a running fold over ends, from the
+    last one back. In the same way the largest last number among nodes that start by its end is a running fold over starts.
+    """
+    c = F.col
+    asked = windows.select(CAP, "us", F.lit(1).alias("asks"))
+    back = nodes.where("replay_sequence_start > 0").select(CAP, (-(c("last_us") + MARGIN_US)).alias("us"), F.lit(0).alias("asks"), (F.lit(LAST) - c("replay_sequence_start")).alias("bound"))
+    on = nodes.where("replay_sequence_end > 0").select(CAP, (c("first_us") - MARGIN_US).alias("us"), F.lit(0).alias("asks"), c("replay_sequence_end").alias("bound"))
+    nothing = F.lit(None).cast("bigint")
+
+    def folded(changes: DataFrame, moments: DataFrame) -> DataFrame:
+        points = changes.groupBy(CAP, "us", "asks").agg(F.max("bound").alias("bound")).unionByName(moments.withColumn("bound", nothing))
+        return running(points, [CAP], ["us div 60000000L", "us"], ["us", "asks"], {"bound": MAX}).where("asks = 1")
+
+    first = folded(back, asked.withColumn("us", -c("us"))).select(CAP, (-c("us")).alias("us"), (F.lit(LAST) - c("bound_upto")).alias("replay_sequence_start"))
+    return first.join(folded(on, asked).select(CAP, "us", c("bound_upto").alias("replay_sequence_end")), [CAP, "us"])
 
 
-def _risk_of_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Mean of the top tenth of active risks at each asked moment of a chunk, from a histogram that is kept up to date."""
-    rows = rows.sort_values(["us", "asks"], kind="stable")
-    values, slot = np.unique(rows["risk"].to_numpy(), return_inverse=True)
-    values, last = values[::-1], len(values) - 1
-    hist = np.zeros(len(values), dtype=np.int64)
-    moments, means = [], []
-    for us, asks, place, change in zip(rows["us"].to_numpy(), rows["asks"].to_numpy(), last - slot, rows["change"].to_numpy()):
-        if not asks:
-            hist[place] += change
-            continue
-        total = int(hist.sum())
-        k = max(1, total // 10)
-        upto = np.cumsum(hist)
-        taken = np.clip(k - (upto - hist), 0, hist)
-        moments.append(us)
-        means.append(float((taken * values).sum()) / 100.0 / k if total else 0.0)
-    return pd.DataFrame({"capture_id": rows["capture_id"].iloc[0], "us": moments, "risk_mean": means})
-
-
-def window_risk(windows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """graph_risk_score at each window.
-
-    Time is cut into chunks that are worked on independently. A chunk starts with the histogram of risks that
-    are active when it begins: per risk value (8,200 at most) the running sum of changes of earlier chunks.
+def _level(changes: DataFrame, asked: DataFrame, weight: int, parts: int) -> DataFrame:
+    """One digit further: the histogram of the next digit at each asked moment, among values with the digits found so far, and the digit in which the `left` highest end."""
+    c = F.col
+    digits = range(BASE - 1, -1, -1)
+    digit = F.expr(f"value div {weight}L % {BASE}L")
+    points = changes.groupBy(CAP, F.expr(f"value div {weight * BASE}L").alias("prefix"), "us").agg(
+        *[F.sum(F.when(digit == d, c("change")).otherwise(0)).alias(f"n{d}") for d in digits],
+        *[F.sum(F.when(digit == d, c("change") * c("value")).otherwise(0)).alias(f"v{d}") for d in digits],
+    ).withColumns({"asks": F.lit(0), "left": F.lit(None).cast("bigint"), "taken": F.lit(None).cast("bigint"), "k": F.lit(None).cast("bigint")})
+    names = [f"{x}{d}" for x in "nv" for d in digits]
+    points = points.unionByName(asked.withColumns({"asks": F.lit(1), **{x: F.lit(0).cast("bigint") for x in names}}))
+    found = running(points, [CAP, "prefix"], ["us div 60000000L", "us"], ["us", "asks"], {x: ADD for x in names}).where("asks = 1")
+    total = sum((c(f"n{d}_upto") for d in digits), F.lit(0).cast("bigint"))
+    found = found.withColumn("total", total).withColumn("k", F.coalesce("k", F.expr(f"greatest(1L, total div {parts}L)")))
+    found = found.withColumns({"left": F.coalesce("left", "k"), "taken": F.coalesce("taken", F.lit(0).cast("bigint"))})
+    bars = F.array(*[F.struct(F.lit(d).cast("bigint").alias("digit"), c(f"n{d}_upto").alias("n"), c(f"v{d}_upto").alias("v")) for d in digits])
+    start = F.struct(c("left"), c("taken"), F.lit(-1).cast("bigint").alias("digit"))
+
+    def step(s, bar):
+        ends = (s["digit"] < 0) & (bar["n"] >= s["left"])
+        passes = (s["digit"] < 0) & ~ends
+        return F.struct(
+            F.when(passes, s["left"] - bar["n"]).otherwise(s["left"]).alias("left"), F.when(passes, s["taken"] + bar["v"]).otherwise(s["taken"]).alias("taken"),
+            F.when(ends, bar["digit"]).otherwise(s["digit"]).alias("digit"))
+
+    at = found.select(CAP, "us", "prefix", "k", F.aggregate(bars, start, step).alias("s"))
+    return at.select(CAP, "us", (c("prefix") * BASE + F.greatest(c("s.digit"), F.lit(0))).alias("prefix"), "k", c("s.left").alias("left"), c("s.taken").alias("taken"))
+
+
+def running_top_mean(changes: DataFrame, moments: DataFrame, keep, parts: int = 10) -> DataFrame:
+    """(capture, us, top_mean): the mean of the highest value in `parts` of the values that are active at each moment, at least one.
+
+    changes: (capture, us, value, change), whole values below BASE ** DIGITS that become active or cease. The histogram over
+    time is kept by levels: first by the leading digit of the value, as a running sum for each digit, then by the next digit
+    within the one where the highest end, and so on. So each moment reads BASE sums on each level, a level is one ordered fold,
+    and no moment meets the values themselves. Each level is a table, written by `keep(name, frame)`.
     """
     c = F.col
-    chunk = F.expr(f"us div {CHUNK_US}L")
-    changes = _changes(nodes, {"risk": scaled(c("risk_score"), 2)}).groupBy(CAP, "us", "risk").agg(F.sum("sign").alias("change")).withColumn("chunk", chunk)
-    asked = windows.select(CAP, "us", F.lit(0).cast("bigint").alias("risk"), F.lit(0).cast("bigint").alias("change"), chunk.alias("chunk"), F.lit(1).alias("asks"))
-    upto = Window.partitionBy(CAP, "risk").orderBy("chunk")
-    per_chunk = changes.groupBy(CAP, "risk", "chunk").agg(F.sum("change").alias("n")).withColumns({"n": F.sum("n").over(upto), "until": F.lead("chunk").over(upto)})
-    # a level holds for the chunks after its own, up to the one in which the value changes again
-    held = per_chunk.where("n <> 0 AND until IS NOT NULL").select(CAP, "risk", c("n").alias("change"), F.explode(F.sequence(c("chunk") + 1, c("until"))).alias("chunk"))
-    carried = held.join(asked.select(CAP, "chunk").distinct(), [CAP, "chunk"], "left_semi").select(CAP, (c("chunk") * CHUNK_US - 1).alias("us"), "risk", "change", "chunk", F.lit(0).alias("asks"))
-    own = changes.join(asked.select(CAP, "chunk").distinct(), [CAP, "chunk"], "left_semi").select(CAP, "us", "risk", "change", "chunk", F.lit(0).alias("asks"))
-    rows = own.unionByName(carried).unionByName(asked)
-    risks = rows.groupBy(CAP, "chunk").applyInPandas(_risk_of_chunk, "capture_id string, us bigint, risk_mean double")
-    return risks.select(CAP, "us", rnd(c("risk_mean"), 2).alias("graph_risk_score"))
-
-
-def snapshot_state(windows: DataFrame, nodes: DataFrame) -> DataFrame:
+    asked = moments.select(CAP, "us", F.lit(0).cast("bigint").alias("prefix"), *[F.lit(None).cast("bigint").alias(x) for x in ("k", "left", "taken")])
+    for level in range(DIGITS - 1, -1, -1):
+        asked = keep(f"highest_{level}", _level(changes, asked, BASE**level, parts))
+    # on the last level a digit is one value; with nothing active none is left to add
+    return asked.select(CAP, "us", ((c("taken") + c("left") * c("prefix")) / c("k")).alias("top_mean"))
+
+
+def window_risk(windows: DataFrame, nodes: DataFrame, keep) -> DataFrame:
+    """graph_risk_score at each window."""
+    changes = _changes(nodes, {"value": scaled(F.col("risk_score"), 2)}).groupBy(CAP, "us", "value").agg(F.sum("sign").alias("change"))
+    top = running_top_mean(keep("risk_changes", changes), windows.select(CAP, "us"), keep)
+    return top.select(CAP, "us", rnd(F.col("top_mean") / F.lit(100.0), 2).alias("graph_risk_score"))
+
+
+def snapshot_state(windows: DataFrame, nodes: DataFrame, keep) -> DataFrame:
     c = F.col
     possible = F.greatest(c("node_count") * (c("node_count") - 1), F.lit(1))
     density = F.when(c("node_count") == 0, F.lit(0.0)).otherwise(rnd(c("edge_count") / possible, 6))
-    return windows.join(window_risk(windows, nodes), [CAP, "us"]).withColumn("graph_density", density)
+    return windows.join(window_risk(windows, nodes, keep), [CAP, "us"]).withColumn("graph_density", density)
 
 
 def kept_windows(states: DataFrame) -> DataFrame:

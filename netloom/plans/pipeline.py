@@ -25,6 +25,9 @@ from netloom.operators import timeline as ti
 from netloom.session import tune
 
 
+_OWN_FOLDER: dict[str, str] = {}
+
+
 class Analysis:
     """All tables of the captures in a table of raw packets.
 
@@ -278,11 +281,11 @@ class Analysis:
 
     @cached_property
     def snapshot_windows(self):
-        return self.keep("snapshot_windows", sn.snapshot_windows(self.scored_nodes, self.graph_edges))
+        return self.keep("snapshot_windows", sn.snapshot_windows(self.scored_nodes, self.graph_edges, self.keep))
 
     @cached_property
     def snapshot_states(self):
-        return self.keep("snapshot_states", sn.snapshot_state(self.snapshot_windows, self.scored_nodes))
+        return self.keep("snapshot_states", sn.snapshot_state(self.snapshot_windows, self.scored_nodes, self.keep))
 
     @cached_property
     def snapshots(self):
@@ -327,12 +330,11 @@ class Analysis:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; a session on one machine without it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="netloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return _OWN_FOLDER.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="netloom-"))
 
 
 def written(spark: SparkSession, folder: str | None = None):

@@ -107,6 +107,11 @@ CHAPTER_COLUMNS = [
     "chapter_id", "chapter_type", "title", "description", "start_us", "end_us", "event_count", "phase_count", "@key_events", "severity", "importance",
 ]
 
+WINDOW_FIGURES = [
+    "avg_node_risk", "avg_edge_persistence", "suspicious_edges", "suspicious_edge_ratio", "externality_ratio", "infrastructure_ratio",
+    "avg_protocol_diversity", "@relationship_types", "relationship_diversity_score", "replay_sequence_start", "replay_sequence_end",
+]
+
 # slug -> (table, columns); "@" marks arrays and maps
 TABLES: dict[str, tuple[str, list[str]]] = {
     "normalize_packets": ("packets", PACKET_COLUMNS),
@@ -246,11 +251,11 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "chapter_jump": ("chapter_jump", ["chapter_id", "target_us", "frame_number"]),
     "lifecycle_events": ("lifecycle_events", ["us", "type", "entity"]),
     "snapshot_windows": ("snapshot_windows", ["us", "node_count", "edge_count", "node_set"]),
-    "snapshot_state": ("snapshot_states", ["us", "node_count", "edge_count", "graph_density", "graph_risk_score", *COMMUNITIES.values()]),
+    "snapshot_state": ("snapshot_states", ["us", "node_count", "edge_count", "graph_density", "graph_risk_score", *COMMUNITIES.values(), *WINDOW_FIGURES]),
     "snapshot_quality": ("snapshots", ["us", "quality_score", "quality_reason", "snapshot_lineage_id"]),
     "temporal_snapshots": ("snapshots", [
         "snapshot_number", "snapshot_id", "window_start_us", "window_end_us", "node_count", "edge_count", "graph_density", "graph_risk_score",
-        "quality_score", "quality_reason", "snapshot_lineage_id",
+        "quality_score", "quality_reason", "snapshot_lineage_id", *COMMUNITIES.values(), *WINDOW_FIGURES,
     ]),
     "capture_summary": ("capture_summary", [
         "capture_id", "duration_seconds", "frame_count", "event_count", "chapter_count", "node_count", "hypothesis_count", "candidate_count",

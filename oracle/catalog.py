@@ -10,11 +10,20 @@ cte("lifecycle_events", """SELECT capture_id, first_us AS us, 'node_appears' AS
  UNION ALL SELECT capture_id, first_us, 'edge_appears', source || '->' || target FROM graph_edges UNION ALL SELECT capture_id, last_us, 'edge_disappears', source || '->' || target FROM graph_edges""")
 cte("moments", "SELECT DISTINCT us AS t FROM lifecycle_events")
 _cc = ", ".join(f"count(*) FILTER (community_type = '{k}') AS {v}" for k, v in COMMUNITIES.items())
-cte("win_nodes", f"SELECT t, count(node_id) AS node_count, coalesce(bit_xor(cast('0x' || substr(node_id, 1, 15) AS bigint)), 0) AS node_set, {_cc} FROM moments LEFT JOIN scored_nodes ON last_us >= t - {M} AND first_us <= t + {M} GROUP BY t")
-cte("win_edges", f"SELECT t, count(edge_id) AS edge_count FROM moments LEFT JOIN graph_edges ON last_us >= t - {M} AND first_us <= t + {M} GROUP BY t")
+_in = f"last_us >= t - {M} AND first_us <= t + {M}"
+_zero = lambda n, x: f"CASE WHEN {n} > 0 THEN {x} ELSE 0e0 END"
+cte("win_nodes", f"""SELECT t, count(node_id) AS node_count, coalesce(bit_xor(cast('0x' || substr(node_id, 1, 15) AS bigint)), 0) AS node_set, {_cc},
+ {_zero('count(node_id)', r(f"sum({sc('risk_score', 2)}) / count(node_id) / 100e0", 2))} AS avg_node_risk, {_zero('count(node_id)', r('sum(external_connections) / (count(node_id) * 10)', 4))} AS externality_ratio,
+ {_zero('count(node_id)', r("count(*) FILTER (role = 'INFRASTRUCTURE') / count(node_id)", 4))} AS infrastructure_ratio, {_zero('count(node_id)', r('sum(protocol_diversity) / count(node_id)', 2))} AS avg_protocol_diversity,
+ coalesce(min(replay_sequence_start) FILTER (replay_sequence_start > 0), 0) AS replay_sequence_start, coalesce(max(replay_sequence_end) FILTER (replay_sequence_end > 0), 0) AS replay_sequence_end
+ FROM moments LEFT JOIN scored_nodes ON {_in} GROUP BY t""")
+cte("win_edges", f"""SELECT t, count(edge_id) AS edge_count, {_zero('count(edge_id)', r(f"sum({sc('persistence_score', 4)}) / 1e4 / count(edge_id)", 4))} AS avg_edge_persistence, count(*) FILTER (relationship_risk >= 35) AS suspicious_edges,
+ {_zero('count(edge_id)', r('count(*) FILTER (relationship_risk >= 35) / count(edge_id)', 4))} AS suspicious_edge_ratio,
+ list_sort(list(DISTINCT relationship_type) FILTER (relationship_type IS NOT NULL)) AS relationship_types, {r('count(DISTINCT relationship_type) / 12', 2)} AS relationship_diversity_score
+ FROM moments LEFT JOIN graph_edges ON {_in} GROUP BY t""")
 cte("win_risk", f"""SELECT t, {r('sum(x) / 100e0 / max(k)', 2)} AS graph_risk_score FROM (SELECT t, x, i, greatest(n // 10, 1) AS k FROM (SELECT t, {sc('risk_score', 2)} AS x, row_number() OVER (PARTITION BY t ORDER BY risk_score DESC) AS i, count(*) OVER (PARTITION BY t) AS n
  FROM moments JOIN scored_nodes ON last_us >= t - {M} AND first_us <= t + {M})) WHERE i <= k GROUP BY t""")
-cte("snapshot_windows", "SELECT 'cap0' AS capture_id, n.t AS us, n.* EXCLUDE (t), e.edge_count FROM win_nodes n JOIN win_edges e ON e.t = n.t")
+cte("snapshot_windows", "SELECT 'cap0' AS capture_id, n.t AS us, n.* EXCLUDE (t), e.* EXCLUDE (t) FROM win_nodes n JOIN win_edges e ON e.t = n.t")
 cte("snapshot_states", f"""SELECT w.*, graph_risk_score, {r('edge_count / greatest(node_count * (node_count - 1), 1)', 6)} AS graph_density FROM snapshot_windows w JOIN win_risk q ON q.t = w.us""")
 cte("snapshots", f"""SELECT *, row_number() OVER (ORDER BY us) - 1 AS snapshot_number, us - {M} AS window_start_us, us + {M} AS window_end_us, CASE quality_reason WHEN 'empty_snapshot' THEN 0e0 WHEN 'sparse_snapshot' THEN 0.6e0 ELSE 1e0 END AS quality_score,
  substr(sha256(replace({iso(f'(us - {M})')}, 'Z', '+00:00') || ':' || replace({iso(f'(us + {M})')}, 'Z', '+00:00') || ':' || node_count || ':' || edge_count), 1, 16) AS snapshot_id, substr(sha256({iso(f'(us - {M})')} || ':' || node_count || ':' || edge_count), 1, 16) AS snapshot_lineage_id
