@@ -119,6 +119,30 @@ def running(df: DataFrame, part, levels, order, folds: dict, hot: int = HOT_ROWS
     }).drop(*CHUNK, *[f"{c}_before" for c in folds])
 
 
+def nearest_value(df: DataFrame, part, levels, order, value: str, name: str, ahead: bool = False, own: bool = False, hot: int = HOT_ROWS) -> DataFrame:
+    """The last `value` that is not null before each row (`ahead`: the first after it) under a total order; `own`: the row itself counts.
+
+    Of each chunk one value goes on to the chunks that follow, so nothing but values of chunks crosses them.
+    """
+    turned = [F.desc(x) if ahead else F.asc(x) for x in order]
+    cut = with_chunks(df, part, levels, hot)
+    there = lambda place: F.when(F.col(value).isNotNull(), place)
+    edge = F.min_by if ahead else F.max_by
+    chunks = cut.groupBy(*part, *CHUNK).agg(edge(value, there(F.struct(*order))).alias(value))
+    coarse = chunks.groupBy(*part, "chunk0").agg(edge(value, there(F.struct("chunk1", "chunk2"))).alias(value))
+
+    def passed(window: list, *by: str):
+        by = [F.desc(x) if ahead else F.asc(x) for x in by]
+        return F.last(value, ignorenulls=True).over(Window.partitionBy(*window).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+
+    across = coarse.select(*part, "chunk0", passed(part, "chunk0").alias("outer_"))
+    before = chunks.withColumn("inner_", passed([*part, "chunk0"], "chunk1", "chunk2")).join(across, [*part, "chunk0"])
+    before = before.select(*part, *CHUNK, F.coalesce("inner_", "outer_").alias("before_"))
+    local = Window.partitionBy(*part, *CHUNK).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    joined = _attach(cut, before, part, ["before_"])
+    return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(local), "before_")).drop(*CHUNK, "before_")
+
+
 ADD = (F.sum, lambda a, b: a + b)
 XOR = (F.bit_xor, lambda a, b: a.bitwiseXOR(b))
 # for values above 0, as a fold over nothing gives 0

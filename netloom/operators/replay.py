@@ -1,10 +1,10 @@
 """Timeline events to replay frames."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.numeric import rnd
-from netloom.operators.ordered import ADD, global_rank, running
+from netloom.operators.ordered import ADD, global_rank, nearest_value, running
 from netloom.operators.timeline import EVENT_LEVELS, EVENT_ORDER
 
 CAP = "capture_id"
@@ -43,16 +43,18 @@ def upto(marks: dict, queries: DataFrame) -> DataFrame:
 def frame_state(frames: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame, candidates: DataFrame, state: DataFrame) -> DataFrame:
     """What a frame shows, as counts: nodes and edges first seen by then, events so far, visible candidates; the last frame shows all."""
     c = F.col
+    shown = candidates.select(CAP, c("findings")[0]["created_us"].alias("us"))
     seen = upto({
         "nodes_seen": nodes.select(CAP, c("first_us").alias("us")), "edges_seen": edges.select(CAP, c("first_us").alias("us")), "events_seen": events.select(CAP, "us"),
+        "candidates_seen": shown,
     }, frames)
-    shown = candidates.select(CAP, c("findings")[0]["created_us"].alias("shown_us"))
-    visible = frames.select(CAP, "us").distinct().join(shown, CAP).groupBy(CAP, "us").agg(F.count_if(c("shown_us") <= c("us")).alias("candidates_seen"), F.count(F.lit(1)).alias("candidates_all"))
+    # everything else has one row for each capture
     totals = state.select(CAP, "node_count", "edge_count", "graph_density", "graph_risk_score", "isolated_node_count")
-    total_events = events.groupBy(CAP).agg(F.count(F.lit(1)).alias("events_all"))
-    last = Window.partitionBy(CAP)
-    f = frames.select(CAP, "frame_number", "us", "event_id", "event_type").join(seen, [CAP, "us"]).join(visible, [CAP, "us"], "left").join(totals, CAP).join(total_events, CAP)
-    f = f.withColumn("final", c("frame_number") == F.max("frame_number").over(last))
+    for rows, name in ((events, "events_all"), (shown.where("us IS NOT NULL"), "candidates_all")):
+        totals = totals.join(rows.groupBy(CAP).agg(F.count(F.lit(1)).alias(name)), CAP, "left")
+    totals = totals.join(frames.groupBy(CAP).agg(F.max("frame_number").alias("last_frame")), CAP)
+    f = frames.select(CAP, "frame_number", "us", "event_id", "event_type").join(seen, [CAP, "us"]).join(totals, CAP)
+    f = f.withColumn("final", c("frame_number") == c("last_frame"))
 
     def pick(part, whole):
         return F.coalesce(F.when(c("final"), c(whole)).otherwise(c(part)), F.lit(0)).cast("bigint")
@@ -75,12 +77,13 @@ def frame_recent_events(frames: DataFrame, events: DataFrame, recent: int | None
 def frame_delta(frames: DataFrame) -> DataFrame:
     """Nodes and edges that a frame adds, and the seconds to the next frame. Nothing is ever removed."""
     c = F.col
-    w = Window.partitionBy(CAP).orderBy("frame_number")
-    gap = F.greatest(F.lead("us").over(w) - c("us"), F.lit(0)) / F.lit(1e6)
-    return frames.select(
-        CAP, "frame_number", "frame_id", "us", (c("node_count") - F.coalesce(F.lag("node_count").over(w), F.lit(0))).alias("added_nodes"),
-        (c("edge_count") - F.coalesce(F.lag("edge_count").over(w), F.lit(0))).alias("added_edges"), F.lit(0).alias("removed_nodes"), F.lit(0).alias("removed_edges"),
-        F.coalesce(gap, F.lit(0.0)).alias("frame_duration"),
+    levels, order = ["us div 60000000L", "us", "frame_number div 1000000L"], ["us", "frame_number"]
+    rows = frames.select(CAP, "frame_number", "frame_id", "us", "node_count", "edge_count", F.struct("us", "node_count", "edge_count").alias("row"))
+    rows = nearest_value(nearest_value(rows, [CAP], levels, order, "row", "before"), [CAP], levels, order, "row", "after", ahead=True)
+    return rows.select(
+        CAP, "frame_number", "frame_id", "us", (c("node_count") - F.coalesce("before.node_count", F.lit(0))).alias("added_nodes"),
+        (c("edge_count") - F.coalesce("before.edge_count", F.lit(0))).alias("added_edges"), F.lit(0).alias("removed_nodes"), F.lit(0).alias("removed_edges"),
+        F.coalesce(F.greatest(c("after.us") - c("us"), F.lit(0)) / F.lit(1e6), F.lit(0.0)).alias("frame_duration"),
     )
 
 
@@ -101,17 +104,20 @@ def replay_coverage(frames: DataFrame, events: DataFrame, packets: DataFrame, st
 def seek_nearest(targets: DataFrame, frames: DataFrame) -> DataFrame:
     """Nearest frame to each `target_us`; of two equally near ones the earlier, beyond the ends the outermost.
 
-    The frames of a capture, about 500, travel as one array beside each target.
+    Moments and frames are put in one order, and each moment takes the last frame before it and the first from it on; both
+    are carried over chunks of the order, so a capture may have any number of frames and targets.
     """
     c = F.col
-    listed = frames.groupBy(CAP).agg(F.array_sort(F.collect_list(F.struct("us", "frame_number"))).alias("f"))
-    j = targets.join(listed, CAP).withColumns({
-        "before": F.try_element_at(F.filter("f", lambda x: x["us"] < F.col("target_us")), F.lit(-1)),
-        "after": F.try_element_at(F.filter("f", lambda x: x["us"] >= F.col("target_us")), F.lit(1)),
-    })
-    early = c("after").isNull() | (c("target_us") - c("before.us") <= c("after.us") - c("target_us"))
+    # a moment stands before the frames of its microsecond
+    known = frames.select(CAP, "us", (c("frame_number") + 1).cast("bigint").alias("spot"), F.struct("us", "frame_number").alias("frame"))
+    asked = targets.select(CAP, c("target_us").alias("us")).where("us IS NOT NULL").distinct().select(CAP, "us", F.lit(0).cast("bigint").alias("spot"), F.lit(None).cast(known.schema["frame"].dataType).alias("frame"))
+    levels, order = ["us div 60000000L", "us", "spot div 1000000L"], ["us", "spot"]
+    rows = nearest_value(known.unionByName(asked), [CAP], levels, order, "frame", "before")
+    rows = nearest_value(rows, [CAP], levels, order, "frame", "after", ahead=True).where("spot = 0")
+    early = c("after").isNull() | (c("us") - c("before.us") <= c("after.us") - c("us"))
     nearest = F.when(c("before").isNull(), c("after")).when(early, c("before")).otherwise(c("after"))
-    return j.withColumn("nearest", nearest).select(*targets.columns, c("nearest.frame_number").alias("frame_number"), c("nearest.us").alias("frame_us"))
+    found = rows.select(CAP, c("us").alias("target_us"), nearest.alias("nearest")).where("nearest IS NOT NULL")
+    return targets.join(found, [CAP, "target_us"]).select(*targets.columns, c("nearest.frame_number").alias("frame_number"), c("nearest.us").alias("frame_us"))
 
 
 def first_frames(frames: DataFrame, shown: DataFrame, key: str) -> DataFrame:

@@ -107,6 +107,11 @@ CHAPTER_COLUMNS = [
     "chapter_id", "chapter_type", "title", "description", "start_us", "end_us", "event_count", "phase_count", "@key_events", "severity", "importance",
 ]
 
+FRAME_COLUMNS = [
+    "frame_number", "frame_id", "us", "trigger_event_id", "trigger_event_type", "node_count", "edge_count", "events_upto", "candidate_count",
+    "graph_density", "graph_risk_score", "isolated_node_count", "final",
+]
+DELTA_COLUMNS = ["frame_number", "frame_id", "us", "added_nodes", "added_edges", "removed_nodes", "removed_edges", "frame_duration"]
 WINDOW_FIGURES = [
     "avg_node_risk", "avg_edge_persistence", "suspicious_edges", "suspicious_edge_ratio", "externality_ratio", "infrastructure_ratio",
     "avg_protocol_diversity", "@relationship_types", "relationship_diversity_score", "replay_sequence_start", "replay_sequence_end",
@@ -234,21 +239,18 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "chapters": ("chapters", CHAPTER_COLUMNS + ["host_count", "duration_seconds", "chapter_number"]),
     "chapter_merge": ("chapter_merge", CHAPTER_COLUMNS),
     "frame_selection": ("frame_selection", ["frame_number", "event_id", "event_index", "us"]),
-    "frame_state": ("frames", [
-        "frame_number", "frame_id", "us", "trigger_event_id", "trigger_event_type", "node_count", "edge_count", "events_upto", "candidate_count",
-        "graph_density", "graph_risk_score", "isolated_node_count", "final",
-    ]),
+    "frame_state": ("frames", FRAME_COLUMNS),
     "frame_nodes": ("frame_nodes", ["ip_address", "frame_number"]),
     "frame_edges": ("frame_edges", ["edge_id", "frame_number"]),
     "frame_offsets": ("frame_offsets", ["frame_id", "frame_offset"]),
     "host_event_offsets": ("host_event_offsets", ["host", "event_index"]),
     "frame_recent_events": ("frame_recent", ["frame_number", "event_index", "event_id"]),
-    "frame_delta": ("frame_deltas", ["frame_number", "frame_id", "us", "added_nodes", "added_edges", "removed_nodes", "removed_edges", "frame_duration"]),
+    "frame_delta": ("frame_deltas", DELTA_COLUMNS),
     "replay_index": ("indexed_events", ["event_id", "event_index", "host"]),
     "host_timelines": ("host_timelines", ["host", "event_count", "@events", "@chapters"]),
     "replay_coverage": ("replay_coverage", ["capture_id", "replay_coverage", "event_compression_ratio"]),
-    "frame_seek_nearest": ("seek", ["ip_address", "target_us", "frame_number"]),
-    "chapter_jump": ("chapter_jump", ["chapter_id", "target_us", "frame_number"]),
+    "frame_seek_nearest": ("seek", ["ip_address", "target_us", "frame_number", "frame_us"]),
+    "chapter_jump": ("chapter_jump", ["chapter_id", "target_us", "frame_number", "frame_us"]),
     "lifecycle_events": ("lifecycle_events", ["us", "type", "entity"]),
     "snapshot_windows": ("snapshot_windows", ["us", "node_count", "edge_count", "node_set"]),
     "snapshot_state": ("snapshot_states", ["us", "node_count", "edge_count", "graph_density", "graph_risk_score", *COMMUNITIES.values(), *WINDOW_FIGURES]),
@@ -291,6 +293,9 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "activity_phases_uncut": ("uncut.activity_phases", ["run", "phase_id", "phase_name", "start_us", "end_us", "event_count", "description"]),
     "chapters_uncut": ("uncut.chapters", CHAPTER_COLUMNS + ["host_count", "duration_seconds", "chapter_number"]),
     "frame_selection_uncut": ("uncut.frame_selection", ["frame_number", "event_id", "event_index", "us"]),
+    "frame_state_uncut": ("uncut.frames", FRAME_COLUMNS),
+    "frame_delta_uncut": ("uncut.frame_deltas", DELTA_COLUMNS),
+    "frame_seek_nearest_uncut": ("uncut.seek", ["ip_address", "target_us", "frame_number", "frame_us"]),
     "event_search_uncut": ("uncut.event_search", ["event_id", "us", "event_type", "severity", "host", "recent"]),
     "hypothesis_priority_uncut": ("ranked_whole", ["place", "hypothesis_id", "hypothesis_type", "host", "confidence", "priority_score", "priority_level"]),
     "community_audit": ("community_audit", ["ip_address", "role", "role_confidence", "community", "is_internal", "is_external", "risk_score"]),

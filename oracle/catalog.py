@@ -72,7 +72,7 @@ cte("snapshot_report", f"SELECT 'cap0' AS capture_id, count(*) AS total_snapshot
 cte("stable", "SELECT 'cap0' AS capture_id, rd.ready, rd.missing_components, g.valid AND ro.valid AND hv.valid AND cv.valid AND sr.valid AND rd.ready AS stable, sr.valid AS snapshots_valid FROM readiness rd, graph_consistency g, role_consistency ro, hypothesis_validation hv, candidate_validation cv, snapshot_report sr")
 
 # The timeline without cuts: the same tables under another prefix.
-_LONG = ("network_events", "relationship_events", "timeline_events", "correlated", "indexed_events", "activity_phases", "chapter_bounds", "chapter_phase_overlap", "chapter_hosts", "chapters", "frames0", "frame_selection", "event_search")
+_LONG = ("network_events", "relationship_events", "timeline_events", "correlated", "indexed_events", "activity_phases", "chapter_bounds", "chapter_phase_overlap", "chapter_hosts", "chapters", "frames0", "frame_selection", "event_search", "frames", "frame_deltas", "seek")
 for _n in _LONG:
     _sql = CTES[_n].replace(" LIMIT 300", "").replace(" WHERE recent <= 120", "")
     if _n == "frames0":

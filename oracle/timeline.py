@@ -136,7 +136,7 @@ cte("frame_deltas", """SELECT frame_number, frame_id, us, node_count - coalesce(
  coalesce(greatest(lead(us) OVER w - us, 0) / 1e6, 0e0) AS frame_duration FROM frames WINDOW w AS (ORDER BY frame_number)""")
 cte("replay_coverage", f"""SELECT 'cap0' AS capture_id, {r('least((f.node_count / s.node_count + f.edge_count / s.edge_count) / 2, 1e0) * 100', 2)} AS replay_coverage,
  {r('(SELECT count(*) FROM indexed_events) / (SELECT count(*) FROM packets)', 4)} AS event_compression_ratio FROM frames f, graph_metrics s WHERE final""")
-cte("seek", """SELECT t.ip_address, t.first_us AS target_us, (SELECT arg_min(frame_number, (abs(f.us - t.first_us), f.us, CASE WHEN f.us < t.first_us THEN -f.frame_number ELSE f.frame_number END)) FROM frames f) AS frame_number FROM scored_nodes t""")
-cte("chapter_jump", """SELECT t.chapter_id, t.start_us AS target_us, (SELECT arg_min(frame_number, (abs(f.us - t.start_us), f.us, CASE WHEN f.us < t.start_us THEN -f.frame_number ELSE f.frame_number END)) FROM frames f) AS frame_number FROM chapters t""")
+cte("seek", """SELECT *, (SELECT any_value(us) FROM frames f WHERE f.frame_number = q.frame_number) AS frame_us FROM (SELECT t.ip_address, t.first_us AS target_us, (SELECT arg_min(frame_number, (abs(f.us - t.first_us), f.us, CASE WHEN f.us < t.first_us THEN -f.frame_number ELSE f.frame_number END)) FROM frames f) AS frame_number FROM scored_nodes t) q""")
+cte("chapter_jump", """SELECT *, (SELECT any_value(us) FROM frames f WHERE f.frame_number = q.frame_number) AS frame_us FROM (SELECT t.chapter_id, t.start_us AS target_us, (SELECT arg_min(frame_number, (abs(f.us - t.start_us), f.us, CASE WHEN f.us < t.start_us THEN -f.frame_number ELSE f.frame_number END)) FROM frames f) AS frame_number FROM chapters t) q""")
 cte("chapter_merge", "SELECT * FROM chapters")
 cte("frame_selection", "SELECT * FROM frames0")

@@ -1,5 +1,6 @@
 """Operators on small tables: hot paths, invariants, artifacts, joins in time."""
 
+import random
 import statistics
 from itertools import pairwise
 
@@ -166,3 +167,30 @@ def test_gaps_of_any_length(spark, hot):
         gaps = [b - a for a, b in pairwise(ts)]
         want = statistics.stdev(gaps) / 1000 if len(gaps) > 1 else 0.0
         assert got[f].inter_arrival_jitter == pytest.approx(want, rel=1e-9, abs=1e-4) and got[f].max_inter_packet_delay_ms == pytest.approx(max(gaps) / 1000, rel=1e-12, abs=1e-4)
+
+
+def test_seek_among_ten_thousand_frames_and_targets(spark):
+    """One capture; frames at equal moments, targets before, between, at and after them; a second capture and one without frames."""
+    import bisect
+
+    rng = random.Random(8)
+    moments = sorted(rng.randrange(0, 90_000_000) // 1000 * 1000 for _ in range(10_000))
+    frames = spark.createDataFrame([("c", i + 1, us) for i, us in enumerate(moments)] + [("d", 1, 5)], "capture_id string, frame_number bigint, us bigint")
+    asked = [rng.randrange(-1000, 91_000_000) for _ in range(9_000)] + rng.sample(moments, 1_000)
+    targets = spark.createDataFrame([("c", i, us) for i, us in enumerate(asked)] + [("d", 0, 9), ("none", 0, 1), ("c", -1, None)], "capture_id string, name bigint, target_us bigint")
+    got = {(r.capture_id, r.name): (r.frame_number, r.frame_us) for r in rp.seek_nearest(targets, frames).collect()}
+    assert len(got) == len(asked) + 1 and got.pop(("d", 0)) == (1, 5)
+    for (_, name), (number, us) in got.items():
+        t = asked[name]
+        at = bisect.bisect_left(moments, t)
+        near = [i for i in (at - 1, at) if 0 <= i < len(moments)]
+        best = min(near, key=lambda i: (abs(moments[i] - t), i))
+        assert (number, us) == (best + 1, moments[best])
+
+
+def test_frame_deltas_follow_the_whole_order(spark):
+    frames = spark.range(5000).selectExpr("'c' AS capture_id", "id + 1 AS frame_number", "concat('f', id) AS frame_id", "id div 3 * 1000000 AS us", "id * 2 AS node_count", "id div 2 AS edge_count")
+    out = {r.frame_number: r for r in rp.frame_delta(frames).collect()}
+    assert len(out) == 5000 and out[1].added_nodes == 0 and out[5000].frame_duration == 0
+    assert all(out[i].added_nodes == 2 and out[i].added_edges == (i - 1) // 2 - (i - 2) // 2 for i in range(2, 5001))
+    assert all(out[i].frame_duration == i // 3 - (i - 1) // 3 for i in range(1, 5000))

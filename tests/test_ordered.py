@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators.ordered import ADD, XOR, global_rank, running, running_max, runs
+from netloom.operators.ordered import ADD, XOR, global_rank, nearest_value, running, running_max, runs
 
 LEVELS = ["us div 1000000L", "us", "seq div 8L"]
 
@@ -53,3 +53,25 @@ def test_runs(rows, hot):
     changed = rows.withColumn("c", F.when(F.lag("label").over(w) != F.col("label"), 1).otherwise(0))
     want = changed.select("capture_id", "seq", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+@pytest.mark.parametrize("hot", [5, 10_000])
+@pytest.mark.parametrize("ahead", [False, True])
+def test_nearest_value(rows, hot, ahead):
+    some = rows.withColumn("mark", F.when(F.col("v") < 10, F.struct("seq", "v")))
+    order = [F.desc(x) if ahead else F.asc(x) for x in ("us", "seq")]
+    w = Window.partitionBy("capture_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    got = nearest_value(some, ["capture_id"], LEVELS, ["us", "seq"], "mark", "m", ahead=ahead, hot=hot).select("capture_id", "seq", "m")
+    want = some.select("capture_id", "seq", F.last("mark", ignorenulls=True).over(w).alias("m"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    whole = rows.withColumn("mark", F.struct("seq", "v"))
+    got = nearest_value(whole, ["capture_id"], LEVELS, ["us", "seq"], "mark", "m", ahead=ahead, hot=hot).select("capture_id", "seq", "m.seq")
+    lag = F.lag("seq").over(Window.partitionBy("capture_id").orderBy(*order))
+    assert got.exceptAll(whole.select("capture_id", F.col("seq"), lag)).count() == 0
+
+
+def test_own_value_counts(rows):
+    w = Window.partitionBy("capture_id").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    some = rows.withColumn("mark", F.when(F.col("v") < 10, F.col("v")))
+    got = nearest_value(some, ["capture_id"], LEVELS, ["us", "seq"], "mark", "m", own=True, hot=50).select("capture_id", "seq", "m")
+    assert got.exceptAll(some.select("capture_id", "seq", F.last("mark", ignorenulls=True).over(w))).count() == 0
