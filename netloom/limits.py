@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
-    """Cuts per capture, or per host where the name says so. None: no cut.
+    """Cuts per capture, or per host or flow where the name says so. None: no cut.
 
     The defaults are those of the investigation view. Tables built from a cut table are cut with it: events make the timeline,
     phases, chapters and frames; hypotheses make candidates and narratives.
@@ -25,6 +25,8 @@ class Limits:
     suspicious_flows: int | None = 5
     elevated_hosts: int | None = 5
     search_hits: int | None = 120
+    # names of a kind that the row of a flow shows; `flow_names` has all
+    flow_names: int | None = 100
 
 
 def within(place: str, top: int | None) -> Column:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from netloom.functions import ladders
 from netloom.functions.numeric import rnd
-from netloom.functions.text import investigative_domain
 from netloom.limits import within
 
 CAP = "capture_id"
@@ -106,8 +105,7 @@ def context_fallback(flows: DataFrame, hosts: DataFrame, hypotheses: DataFrame,
 def web_finding(flows: DataFrame, hosts: DataFrame) -> DataFrame:
     """The outbound web flow of each capture to its most suspicious domain, as a finding. Its texts are fixed values."""
     c = F.col
-    domains = F.filter("observed_domains", investigative_domain)
-    web = flows.where((c("direction") == "outbound") & c("application_protocol").isin("http", "https")).withColumn("domain", F.try_element_at(domains, F.lit(1))).where("domain IS NOT NULL")
+    web = flows.where((c("direction") == "outbound") & c("application_protocol").isin("http", "https")).withColumn("domain", c("web_domain")).where("domain IS NOT NULL")
     plain = c("application_protocol") == "http"
     w = Window.partitionBy(CAP).orderBy(plain.desc(), (c("domain").endswith(".su") | c("domain").endswith(".cc")).desc(), F.desc("packet_count"), "first_us", "first_seen_sequence")
     best = web.withColumn("i", F.row_number().over(w)).where("i = 1")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions import ladders
 from netloom.functions.numeric import flag, ratio, rnd, unit
-from netloom.functions.text import clean_nbns_name, labels, normalize_domain
-from netloom.limits import within
+from netloom.functions.text import clean_hostname, clean_nbns_name, investigative_domain, labels, normalize_domain
+from netloom.limits import Limits, best, within
 
 KEY = ["capture_id", "flow_id"]
 MIN_BEACON_PACKETS = 20
@@ -20,8 +20,49 @@ UNUSUAL_PORTS = [4444, 5555, 6667, 8888, 1337, 31337, 27374, 12345]
 HOT_FLOW_PACKETS = 2_000_000
 
 
-def build_flows(packets: DataFrame) -> DataFrame:
-    """One row per directional 5-tuple; partial aggregates run before the only shuffle."""
+# Kinds of names in `flow_names`, and the columns of a flow that preview them.
+NAME_KINDS = {"domain": "observed_domains", "nbns": "nbns_names", "kerberos": "kerberos_cnames"}
+
+
+def packet_domains(packets: DataFrame) -> DataFrame:
+    """(packet columns, field, domain): each name that a packet shows as host, query or server name, one row for each field."""
+    fields = F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("value")) for x in ("http_host", "dns_query", "tls_sni")])
+    rows = packets.withColumn("shown", F.explode(fields)).where("shown.value IS NOT NULL")
+    return rows.withColumns({"field": F.col("shown.field"), "domain": normalize_domain(F.col("shown.value"))}).drop("shown")
+
+
+def flow_names(packets: DataFrame) -> DataFrame:
+    """(capture, flow, kind, name, packets, first_us): the names that the packets of a flow show, one row for each.
+
+    Equal names are folded before the shuffle, which is by name as well as by flow; so a flow may have any number of names.
+    """
+    shown = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    domains = [shown("domain", normalize_domain(F.col(x))) for x in ("http_host", "dns_query", "tls_sni")]
+    names = F.array_distinct(F.array(*domains, shown("nbns", clean_nbns_name(F.col("nbns_name"))), shown("kerberos", F.col("kerberos_cname"))))
+    rows = packets.select(*KEY, "us", F.explode(names).alias("x")).where("x.name <> ''")
+    return rows.groupBy(*KEY, F.col("x.kind").alias("kind"), F.col("x.name").alias("name")).agg(F.count(F.lit(1)).alias("packets"), F.min("us").alias("first_us"))
+
+
+def name_facts(names: DataFrame, preview: int | None) -> DataFrame:
+    """One row per flow with names: how many there are of each kind, its first `preview` names of each, and what identities and findings take from all of them."""
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    host = clean_hostname(F.col("name"))
+    ranked = F.struct((~(host.contains("-") | F.upper(host).startswith("DESKTOP"))).cast("int").alias("plain"), host.alias("name"))
+    facts = names.groupBy(*KEY).agg(
+        *[F.count(of(kind, F.lit(1))).alias(f"{kind}_count") for kind in NAME_KINDS],
+        F.min(of("nbns", F.when(host.isNotNull(), ranked))).alias("best_hostname"), F.min(of("kerberos", F.col("name"))).alias("first_user"),
+        F.min(of("domain", F.when(investigative_domain(F.col("name")), F.col("name")))).alias("web_domain"),
+    )
+    listed = best(names, Window.partitionBy(*KEY, "kind").orderBy("name"), preview)
+    listed = listed.groupBy(*KEY).agg(*[F.array_sort(F.collect_list(of(kind, F.col("name")))).alias(column) for kind, column in NAME_KINDS.items()])
+    return facts.join(listed, KEY)
+
+
+def build_flows(packets: DataFrame, names: DataFrame | None = None, preview: int | None = Limits.flow_names) -> DataFrame:
+    """One row per directional 5-tuple; partial aggregates run before the shuffle.
+
+    names: the table of `flow_names`. The lists of a flow show its first `preview` names of a kind; the table has all.
+    """
     order = F.struct("us", "replay_sequence_id")
     first = F.min_by(
         F.struct("src_ip", "dst_ip", "transport_layer", "src_port", "dst_port", "application_protocol", "app_confidence", "direction"),
@@ -32,10 +73,6 @@ def build_flows(packets: DataFrame) -> DataFrame:
         filled = F.col(column) != ""
         return F.min_by(F.when(filled, F.col(column)), F.when(filled, order))
 
-    def names(*columns):
-        sets = [F.collect_set(c) for c in columns]
-        return F.array_sort(F.array_distinct(F.concat(*sets)))
-
     grouped = packets.groupBy(*KEY).agg(
         first.alias("f"),
         F.min("us").alias("first_us"),
@@ -47,11 +84,10 @@ def build_flows(packets: DataFrame) -> DataFrame:
         *[F.count_if(F.col(f"tcp_flags.{x}")).alias(f"{x}_count") for x in ("syn", "ack", "rst", "fin", "psh", "urg")],
         first_mac("src_mac").alias("initiator_mac"),
         first_mac("dst_mac").alias("responder_mac"),
-        names(*[normalize_domain(F.col(c)) for c in ("http_host", "dns_query", "tls_sni")]).alias("observed_domains"),
-        names(clean_nbns_name(F.col("nbns_name"))).alias("nbns_names"),
-        names(F.when(F.col("kerberos_cname") != "", F.col("kerberos_cname"))).alias("kerberos_cnames"),
     )
-    flows = grouped.select(
+    shown = name_facts(flow_names(packets) if names is None else names, preview)
+    none = F.array().cast("array<string>")
+    flows = grouped.join(shown, KEY, "left").select(
         *KEY, "first_us", "last_us", "first_seen_sequence", "last_seen_sequence",
         F.col("f.src_ip").alias("initiator_ip"), F.col("f.dst_ip").alias("responder_ip"),
         "f.transport_layer", F.col("f.src_port").alias("initiator_port"), F.col("f.dst_port").alias("responder_port"),
@@ -59,7 +95,8 @@ def build_flows(packets: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("responder_packets"), F.lit(0).cast("bigint").alias("responder_bytes"),
         "syn_count", "ack_count", "rst_count", "fin_count", "psh_count", "urg_count",
         "f.application_protocol", "f.app_confidence", "f.direction",
-        "initiator_mac", "responder_mac", "observed_domains", "nbns_names", "kerberos_cnames", "packet_count",
+        "initiator_mac", "responder_mac", *[F.coalesce(x, none).alias(x) for x in NAME_KINDS.values()], "packet_count",
+        *[F.coalesce(f"{kind}_count", F.lit(0)).cast("bigint").alias(f"{kind}_count") for kind in NAME_KINDS], "best_hostname", "first_user", "web_domain",
     )
     return flow_rates(flows).withColumn("tcp_state_summary", tcp_state())
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import ip, ladders
 from netloom.functions.numeric import flag, ratio, rnd, scaled, tally, unit
-from netloom.functions.text import clean_hostname, words
+from netloom.functions.text import words
 from netloom.functions.times import HOUR_US, hour_bucket
 from netloom.limits import within
 
@@ -45,13 +45,11 @@ def host_flow_expansion(enriched: DataFrame) -> DataFrame:
 
 def _with_identity(rows: DataFrame) -> DataFrame:
     """Per row: a usable MAC, the best host name and the user that belongs to this side of the flow."""
-    names = F.array_compact(F.transform("nbns_names", clean_hostname))
-    ranked = F.transform(names, lambda n: F.struct(flag(~(n.contains("-") | F.upper(n).startswith("DESKTOP"))).alias("plain"), n.alias("name")))
     owner = F.when(F.col("responder_port").isin(88, 464), "initiator").when(F.col("initiator_port").isin(88, 464), "responder")
     return rows.withColumns({
         "mac_": F.when((F.col("mac") != "") & (F.col("mac") != "ff:ff:ff:ff:ff:ff"), F.lower("mac")),
-        "hostname_": F.array_min(ranked),
-        "user_": F.when(owner == F.col("role"), F.array_min(F.filter("kerberos_cnames", lambda c: c != ""))),
+        "hostname_": F.col("best_hostname"),
+        "user_": F.when(owner == F.col("role"), F.col("first_user")),
     })
 
 

@@ -70,7 +70,11 @@ class Analysis:
 
     @cached_property
     def flows(self):
-        return self.keep("flows", fl.build_flows(self.packets))
+        return self.keep("flows", fl.build_flows(self.packets, self.flow_names, self.limits.flow_names))
+
+    @cached_property
+    def flow_names(self):
+        return self.keep("flow_names", fl.flow_names(self.packets))
 
     @cached_property
     def enriched_flows(self):

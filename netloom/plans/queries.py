@@ -123,6 +123,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "build_flows": ("flows", FLOW_COLUMNS),
     "flow_tcp_flag_counts": ("flows", ["flow_id", "syn_count", "ack_count", "rst_count", "fin_count", "psh_count", "urg_count"]),
     "flow_context_sets": ("flows", ["flow_id", "initiator_mac", "responder_mac", "@observed_domains", "@nbns_names", "@kerberos_cnames"]),
+    "flow_names": ("flow_names", ["flow_id", "kind", "name", "packets", "first_us"]),
+    "flow_name_facts": ("flows", ["flow_id", "domain_count", "nbns_count", "kerberos_count", "first_user", "web_domain"]),
     "flow_duration_rates": ("flows", ["flow_id", "raw_duration_seconds", "duration_seconds", "raw_pps", "chronology_valid", "@duration_anomalies"]),
     "tcp_state_summary": ("flows", ["flow_id", "transport_layer", "tcp_state_summary"]),
     "enriched_flows": ("enriched_flows", ENRICHED_COLUMNS),

@@ -235,13 +235,13 @@ SPECIAL = {
     "identity_fields": lambda a: a.packets.select("packet_index", "src_mac", "dst_mac", "nbns_name", "kerberos_cname"),
     "payload_bytes": lambda a: a.raw_packets.select("packet_index", pk.payload_bytes(c("total_bytes"), c("transport")).alias("payload_bytes")),
     "flow_id": lambda a: a.raw_packets.select("packet_index", pk.flow_id(c("src_ip"), c("dst_ip"), c("src_port"), c("dst_port"), c("transport")).alias("flow_id")),
-    "normalize_domain": lambda a: a.packets.where("http_host IS NOT NULL OR dns_query IS NOT NULL").select("packet_index", text.normalize_domain(F.coalesce("http_host", "dns_query")).alias("domain")),
+    "normalize_domain": lambda a: fl.packet_domains(a.packets).select("packet_index", "field", "domain"),
     "clean_nbns_name": lambda a: a.packets.where("nbns_name IS NOT NULL").select("packet_index", text.clean_nbns_name(c("nbns_name")).alias("name")),
     "clean_hostname": lambda a: a.packets.where("nbns_name IS NOT NULL").select("packet_index", text.clean_hostname(c("nbns_name")).alias("hostname")),
     "normalize_role": lambda a: a.host_profiles.select("ip_address", text.normalize_role(F.replace("role", F.lit("_"), F.lit(" "))).alias("role"), text.role_display(c("role")).alias("role_display")),
     "non_investigative_node": lambda a: addresses(a).select("ip", ip.non_investigative_node(c("num")).alias("non_investigative")),
     "common_cloud_ip": lambda a: addresses(a).select("ip", ip.common_cloud_ip(c("num")).alias("common_cloud")),
-    "investigative_domain": lambda a: a.enriched_flows.select(F.explode("observed_domains").alias("domain")).distinct().select("domain", text.investigative_domain(c("domain")).alias("investigative")),
+    "investigative_domain": lambda a: a.flow_names.where("kind = 'domain'").select(c("name").alias("domain")).distinct().select("domain", text.investigative_domain(c("domain")).alias("investigative")),
     "severity": q_severity,
     "display_columns": lambda a: a.host_profiles.select("ip_address", ladders.host_color(c("risk_score"), c("confidence")).alias("color"), ladders.node_size(c("graph_degree"), c("risk_score")).alias("size"),
                                                         ladders.edge_width(c("flow_count"), c("risk_score")).alias("width")),

@@ -45,13 +45,12 @@ cte("relationship_context", """SELECT x.edge_id, x.source, x.target, relationshi
  coalesce(f.confidence_explanation, b.confidence_explanation, '') AS confidence_explanation FROM relationships x LEFT JOIN hypotheses f ON f.consumer = x.source AND f.destination = x.target LEFT JOIN hypotheses b ON b.consumer = x.target AND b.destination = x.source""")
 cte("destination_intel", """SELECT destination, arg_min(consumer, place) AS related_host, (SELECT max(relationship_risk) FROM relationships x WHERE x.target = h.destination) AS risk, arg_min(consumer_count, place) AS consumer_count, arg_min(rarity_score, place) AS rarity_score,
  arg_min(exclusivity_score, place) AS exclusivity_score, list_sort(list_distinct(flatten(list(supporting_evidence)))) AS supporting_evidence, list_sort(list_distinct(flatten(list(contradictory_evidence)))) AS contradictory_evidence, count(*) AS hypothesis_count FROM hypotheses h WHERE destination IS NOT NULL GROUP BY destination""")
-_BEN = "microsoft|windows|office|msn\\.com|bing\\.com|google|gstatic|googleapis|cloudflare|akamai|azureedge|adobe|mozilla|digicert|msft|live\\.com"
 cte("web_finding", f"""SELECT capture_id, 'context:' || host || ':' || dest || ':' || domain AS hypothesis_id, 'external_web_activity' AS hypothesis_type, 'External Web Activity' AS title, host || ' communicated with ' || domain || ' at ' || dest || ':' || responder_port AS summary,
  [host, dest, domain] AS impacted_entities, ['external_relationship', 'domain_observed:' || domain, 'protocol:' || application_protocol, 'rare_destination'] AS supporting_evidence,
  'Confidence ' || cast(conf AS int) || '%. Positive: external web relationship, observed domain ' || domain || ', rare destination context. Negative: no Layer 5 beaconing hypothesis was generated.' AS confidence_explanation, conf AS confidence, 'medium' AS severity,
  ps AS priority_score, CASE WHEN ps >= 85 THEN 'CRITICAL' WHEN ps >= 70 THEN 'HIGH' WHEN ps >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS priority_level, host, host_role, risk, 'Host has externally visible web activity to rare domain ' || domain || ' at ' || dest || '.' AS candidate_rationale
 FROM (SELECT *, {r('risk * 0.35e0 + conf * 0.35e0 + 50e0 * 0.3e0', 1)} AS ps FROM (SELECT f.*, initiator_ip AS host, responder_ip AS dest, h.role AS host_role, CASE WHEN application_protocol = 'http' THEN 78e0 ELSE 68e0 END AS conf, greatest(h.risk_score, CASE WHEN application_protocol = 'http' THEN 70e0 ELSE 60e0 END) AS risk
- FROM (SELECT *, list_filter(observed_domains, lambda d: contains(d, '.') AND NOT regexp_matches(d, '{_BEN}'))[1] AS domain FROM enriched_flows WHERE direction = 'outbound' AND application_protocol IN ('http', 'https')) f JOIN host_profiles h ON h.ip_address = f.initiator_ip WHERE domain IS NOT NULL
+ FROM (SELECT *, web_domain AS domain FROM enriched_flows WHERE direction = 'outbound' AND application_protocol IN ('http', 'https')) f JOIN host_profiles h ON h.ip_address = f.initiator_ip WHERE domain IS NOT NULL
  ORDER BY application_protocol = 'http' DESC, domain LIKE '%.su' OR domain LIKE '%.cc' DESC, f.packet_count DESC, f.first_us, f.first_seen_sequence LIMIT 1))""")
 cte("context_fallback", "SELECT * FROM web_finding WHERE capture_id NOT IN (SELECT capture_id FROM hypotheses UNION ALL SELECT capture_id FROM candidates)")
 cte("community_context", "SELECT community_type, role, count(*) AS node_count FROM scored_nodes GROUP BY ALL")

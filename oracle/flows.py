@@ -88,11 +88,15 @@ SELECT p.capture_id, p.packet_index, p.packet_index AS replay_sequence_id, us, s
   substr(md5(src_ip || ':' || coalesce(src_port, 0) || '->' || dst_ip || ':' || coalesce(dst_port, 0) || '(' || transport || ')'), 1, 16) AS flow_id
 FROM raw_packets p JOIN proto USING (packet_index) JOIN ips s ON s.ip = src_ip JOIN ips d ON d.ip = dst_ip""")
 
-cte("domains", """
-SELECT flow_id, list_sort(list_distinct(list(d))) AS ds FROM (
-  SELECT flow_id, unnest([http_host, dns_query, tls_sni]) AS x,
-    trim(split_part(CASE WHEN contains(lower(trim(x)), '://') THEN split_part(lower(trim(x)), '://', 2) ELSE lower(trim(x)) END, '/', 1), '.') AS d
-  FROM packets) WHERE d <> '' GROUP BY 1""")
+cte("packet_names", """
+SELECT DISTINCT capture_id, packet_index, flow_id, us, kind, name FROM (
+  SELECT *, trim(split_part(CASE WHEN contains(lower(trim(x)), '://') THEN split_part(lower(trim(x)), '://', 2) ELSE lower(trim(x)) END, '/', 1), '.') AS name
+  FROM (SELECT capture_id, packet_index, flow_id, us, 'domain' AS kind, unnest([http_host, dns_query, tls_sni]) AS x FROM packets)
+  UNION ALL SELECT capture_id, packet_index, flow_id, us, 'nbns', nbns_name, trim(split_part(split_part(nbns_name, ',', 1), '<', 1)) FROM packets
+  UNION ALL SELECT capture_id, packet_index, flow_id, us, 'kerberos', kerberos_cname, kerberos_cname FROM packets) WHERE name <> ''""")
+cte("flow_names", "SELECT capture_id, flow_id, kind, name, count(*) AS packets, min(us) AS first_us FROM packet_names GROUP BY ALL")
+cte("listed_names", """
+SELECT flow_id, list(name ORDER BY name) FILTER (kind = 'domain') AS ds, list(name ORDER BY name) FILTER (kind = 'nbns') AS ns, list(name ORDER BY name) FILTER (kind = 'kerberos') AS ks FROM flow_names GROUP BY 1""")
 
 cte("flows", f"""
 SELECT *, greatest(raw_duration_seconds, 0.001e0) AS duration_seconds, least(packet_count / greatest(raw_duration_seconds, 0.001e0), 1e5) AS raw_pps,
@@ -108,11 +112,12 @@ FROM (
     count(*) FILTER (psh) AS psh_count, 0::bigint AS urg_count,
     arg_min(application_protocol, (us, replay_sequence_id)) AS application_protocol, arg_min(app_confidence, (us, replay_sequence_id)) AS app_confidence,
     any_value(direction) AS direction, arg_min(src_mac, (us, replay_sequence_id)) AS initiator_mac, arg_min(dst_mac, (us, replay_sequence_id)) FILTER (dst_mac IS NOT NULL) AS responder_mac,
-    coalesce(any_value(ds), []) AS observed_domains,
-    coalesce(list_sort(list(DISTINCT trim(split_part(split_part(nbns_name, ',', 1), '<', 1))) FILTER (nbns_name IS NOT NULL)), []) AS nbns_names,
-    coalesce(list_sort(list(DISTINCT kerberos_cname) FILTER (kerberos_cname IS NOT NULL)), []) AS kerberos_cnames,
+    coalesce(any_value(ds), [])[1:100] AS observed_domains, coalesce(len(any_value(ds)), 0) AS domain_count, coalesce(len(any_value(ns)), 0) AS nbns_count, coalesce(len(any_value(ks)), 0) AS kerberos_count,
+    list_filter(any_value(ds), lambda d: contains(d, '.') AND NOT regexp_matches(d, 'microsoft|windows|office|msn\\.com|bing\\.com|google|cloudflare|akamai|azureedge|adobe|mozilla|digicert|msft|live\\.com|gstatic'))[1] AS web_domain, any_value(ks)[1] AS first_user,
+    coalesce(any_value(ns), []) AS all_nbns, coalesce(any_value(ks), []) AS all_users,
+    coalesce(any_value(ns), [])[1:100] AS nbns_names, coalesce(any_value(ks), [])[1:100] AS kerberos_cnames,
     count(*) AS packet_count, (max(us) - min(us)) / 1e6 AS raw_duration_seconds
-  FROM packets p LEFT JOIN domains d ON p.flow_id = d.flow_id GROUP BY capture_id, p.flow_id)""")
+  FROM packets p LEFT JOIN listed_names d ON p.flow_id = d.flow_id GROUP BY capture_id, p.flow_id)""")
 
 cte("bidirectional_flows", """
 SELECT capture_id, ip_a, port_a, ip_b, port_b, cast(sum(packet_count) AS bigint) AS total_packets, cast(sum(initiator_bytes) AS bigint) AS total_bytes,

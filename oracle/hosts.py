@@ -26,9 +26,9 @@ FROM (SELECT *, lag(h) OVER (PARTITION BY ip_address ORDER BY h) AS p FROM host_
 
 cte("host_names", """
 SELECT ip_address, arg_min(n, (CASE WHEN n LIKE '%-%' OR upper(n) LIKE 'DESKTOP%' THEN 0 ELSE 1 END, n)) AS hostname
-FROM (SELECT ip_address, trim(split_part(unnest(nbns_names), '<', 1)) AS n FROM host_flow_expansion) WHERE n <> '' AND upper(n) NOT IN ('WORKGROUP', 'MSHOME') GROUP BY 1""")
+FROM (SELECT ip_address, trim(split_part(unnest(all_nbns), '<', 1)) AS n FROM host_flow_expansion) WHERE n <> '' AND upper(n) NOT IN ('WORKGROUP', 'MSHOME') GROUP BY 1""")
 cte("host_users", """
-SELECT ip_address, min(x) AS user_identity FROM (SELECT ip_address, unnest(kerberos_cnames) AS x FROM host_flow_expansion
+SELECT ip_address, min(x) AS user_identity FROM (SELECT ip_address, unnest(all_users) AS x FROM host_flow_expansion
  WHERE role = CASE WHEN responder_port IN (88, 464) THEN 'initiator' WHEN initiator_port IN (88, 464) THEN 'responder' END) GROUP BY 1""")
 
 _F = "count(*) FILTER"

@@ -50,13 +50,13 @@ SQL = {
     "identity_fields": "SELECT packet_index, src_mac, dst_mac, nbns_name, kerberos_cname FROM raw_packets",
     "payload_bytes": "SELECT packet_index, payload_bytes FROM packets",
     "flow_id": "SELECT packet_index, flow_id FROM packets",
-    "normalize_domain": "SELECT packet_index, trim(split_part(regexp_replace(lower(coalesce(http_host, dns_query)), '^[a-z]+://', ''), '/', 1), '.') AS domain FROM raw_packets WHERE http_host IS NOT NULL OR dns_query IS NOT NULL",
+    "normalize_domain": "SELECT packet_index, field, trim(split_part(regexp_replace(trim(lower(x)), '^[a-z]+://', ''), '/', 1), '.') AS domain FROM (SELECT packet_index, unnest(['http_host', 'dns_query', 'tls_sni']) AS field, unnest([http_host, dns_query, tls_sni]) AS x FROM raw_packets) WHERE x IS NOT NULL",
     "clean_nbns_name": f"SELECT packet_index, trim({_NAMES}) AS name FROM raw_packets WHERE nbns_name IS NOT NULL",
     "clean_hostname": f"SELECT packet_index, trim({_NAMES}) AS hostname FROM raw_packets WHERE nbns_name IS NOT NULL",
     "normalize_role": f"SELECT ip_address, role, {_ROLE} AS role_display FROM host_profiles",
     "non_investigative_node": f"SELECT ip, {noninv('ip')} AS non_investigative FROM ips",
     "common_cloud_ip": f"SELECT ip, {cloud('ip')} AS common_cloud FROM ips",
-    "investigative_domain": "SELECT DISTINCT domain, contains(domain, '.') AND NOT regexp_matches(domain, 'microsoft|windows|office|msn\\.com|bing\\.com|google|cloudflare|akamai|azureedge|adobe|mozilla|digicert|msft|live\\.com|gstatic') AS investigative FROM (SELECT unnest(observed_domains) AS domain FROM enriched_flows)",
+    "investigative_domain": "SELECT DISTINCT domain, contains(domain, '.') AND NOT regexp_matches(domain, 'microsoft|windows|office|msn\\.com|bing\\.com|google|cloudflare|akamai|azureedge|adobe|mozilla|digicert|msft|live\\.com|gstatic') AS investigative FROM (SELECT name AS domain FROM flow_names WHERE kind = 'domain')",
     "severity": f"SELECT flow_id, {graded(_S, 'confidence', 55, 30)} AS flow_severity, {graded(_S, 'confidence', 48, 26)} AS host_severity, {graded(_S, 'confidence', 52, 28)} AS relationship_severity, {evsev(_S)} AS event_severity, CASE WHEN severity IN ('high', 'medium', 'low') THEN upper(severity) ELSE 'INFO' END AS event_label, "
                 f"{_ladder(_S, (90, 'CRITICAL'), (75, 'HIGH'), (60, 'MEDIUM'), (40, 'LOW'), default='INFORMATIONAL')} AS priority_level, {_ladder(_S, (85, 'CRITICAL'), (70, 'HIGH'), (45, 'MEDIUM'), default='LOW')} AS fallback_level, {_ladder(_S, (85, 'PRIMARY'), (70, 'SECONDARY'), default='SUPPORTING')} AS tier FROM enriched_flows",
     "display_columns": f"SELECT ip_address, {color('risk_score', 'confidence', 55, 30)} AS color, {r('least(8e0 + graph_degree * 0.35e0 + risk_score / 8, 42e0)', 2)} AS size, {r('least(1e0 + flow_count / 12 + risk_score / 40, 8e0)', 2)} AS width FROM host_profiles",

@@ -194,3 +194,31 @@ def test_frame_deltas_follow_the_whole_order(spark):
     assert len(out) == 5000 and out[1].added_nodes == 0 and out[5000].frame_duration == 0
     assert all(out[i].added_nodes == 2 and out[i].added_edges == (i - 1) // 2 - (i - 2) // 2 for i in range(2, 5001))
     assert all(out[i].frame_duration == i // 3 - (i - 1) // 3 for i in range(1, 5000))
+
+
+def test_a_resolver_flow_of_many_names(spark):
+    """Names beyond the preview are rows, and identities and findings still see all of them."""
+    packets = spark.range(30_000).selectExpr(
+        "'c' AS capture_id", "if(id % 10 = 0, 'small', 'resolver') AS flow_id", "id AS us",
+        "concat('Name', id % 20000, '.example.org/path') AS dns_query", "if(id = 7, 'http://WWW.Microsoft.com', concat('name', id % 20000, '.example.org')) AS http_host", "cast(null AS string) AS tls_sni",
+        "if(id % 3 = 1, concat('host', id % 500, '<20>, x'), '') AS nbns_name", "if(id = 8, 'zed', if(id = 9, '', null)) AS kerberos_cname")
+    names = fl.flow_names(packets)
+    rows = {(r.flow_id, r.kind, r.name): r.packets for r in names.collect()}
+    want = {}
+    for i in range(30_000):
+        shown = {("domain", f"name{i % 20000}.example.org")} | ({("domain", "www.microsoft.com")} if i == 7 else set())
+        shown |= {("nbns", f"host{i % 500}")} if i % 3 == 1 else set()
+        shown |= {("kerberos", "zed")} if i == 8 else set()
+        for kind, name in shown:
+            key = ("resolver" if i % 10 else "small", kind, name)
+            want[key] = want.get(key, 0) + 1
+    assert rows == want
+    for preview in (100, 3, None):
+        facts = {r.flow_id: r for r in fl.name_facts(names, preview).collect()}
+        for flow in ("resolver", "small"):
+            mine = {kind: sorted(n for f, k, n in want if (f, k) == (flow, kind)) for kind in fl.NAME_KINDS}
+            r = facts[flow]
+            assert (r.domain_count, r.nbns_count, r.kerberos_count) == tuple(len(mine[k]) for k in fl.NAME_KINDS)
+            assert [r.observed_domains, r.nbns_names, r.kerberos_cnames] == [mine[k][:preview] for k in fl.NAME_KINDS]
+            assert r.best_hostname.name == mine["nbns"][0] and r.web_domain == next(n for n in mine["domain"] if "microsoft" not in n)
+        assert facts["resolver"].first_user == "zed" and facts["small"].first_user is None
