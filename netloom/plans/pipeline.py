@@ -23,6 +23,17 @@ from netloom.operators import replay as rp
 from netloom.operators import snapshots as sn
 from netloom.operators import timeline as ti
 from netloom.session import tune
+from netloom.sources.artifacts import read_artifacts, write_artifacts
+
+# The tables that an analysis leaves behind, by the names of their files.
+ARTIFACTS = {
+    "normalized_packets": "packets", "flows": "flows", "flow_names": "flow_names", "enriched_flows": "enriched_flows", "host_profiles": "host_profiles", "relationships": "relationships",
+    "host_baseline_snapshot": "baseline_snapshot", "layer5_deltas": "layer5_deltas", "layer5_hypotheses": "hypotheses", "layer5_investigation_candidates": "candidates",
+    "investigation_narratives": "narratives", "graph_nodes": "scored_nodes", "graph_edges": "graph_edges", "graph_snapshots": "snapshots", "graph_state": "graph_state",
+    "timeline_events": "timeline_events", "activity_phases": "activity_phases", "replay_frames": "frames", "replay_index": "indexed_events", "host_timelines": "host_timelines",
+    "major_chapters": "chapters",
+}
+CSV_ARTIFACTS = ["normalized_packets", "flows", "enriched_flows", "host_profiles", "relationships"]
 
 
 _OWN_FOLDER: dict[str, str] = {}
@@ -316,6 +327,31 @@ class Analysis:
     def capture_summary(self):
         return ca.capture_summary(self.frames, self.indexed_events, self.chapters, self.scored_nodes, self.hypotheses, self.candidates, self.stable, self.snapshot_report)
 
+    # artifacts
+
+    layer5_deltas = property(lambda self: self.host_deltas.unionByName(self.relationship_deltas, allowMissingColumns=True))
+
+    def artifact(self, name: str) -> DataFrame:
+        return getattr(self, ARTIFACTS[name])
+
+    def export(self, folder: str, fmt: str = "ndjson", names=None) -> None:
+        """Writes the artifacts, in CSV those that are lists of records unless `names` says otherwise."""
+        names = names or (CSV_ARTIFACTS if fmt == "csv" else ARTIFACTS)
+        write_artifacts({name: self.artifact(name) for name in names}, folder, fmt)
+
+    @cached_property
+    def _exported(self) -> dict[str, dict[str, DataFrame]]:
+        return {}
+
+    def read_back(self, fmt: str) -> dict[str, DataFrame]:
+        """The artifacts as read from a folder that they were written to, written once."""
+        if fmt not in self._exported:
+            spark = self.source.sparkSession
+            folder = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+            self.export(folder, fmt)
+            self._exported[fmt] = read_artifacts(spark, folder)
+        return self._exported[fmt]
+
     # audits
 
     community_audit = property(lambda self: au.community_audit(self.scored_nodes))

@@ -312,8 +312,23 @@ TABLES: dict[str, tuple[str, list[str]]] = {
 }
 
 
+# Tables of artifact folders and the queries whose columns they are compared in: (format, artifact) -> slug.
+ARTIFACTS = {
+    f"{fmt}_{artifact}": (fmt, artifact, slug)
+    for fmt, tables in (
+        ("csv", {"normalized_packets": "normalize_packets", "enriched_flows": "enriched_flows", "host_profiles": "host_profiles", "relationships": "relationships", "flows": "build_flows"}),
+        ("ndjson", {
+            "normalized_packets": "normalize_packets", "enriched_flows": "enriched_flows", "flow_names": "flow_names", "host_baseline_snapshot": "baseline_snapshot",
+            "layer5_hypotheses": "hypothesis_priority", "layer5_investigation_candidates": "investigation_candidates", "investigation_narratives": "narratives", "graph_nodes": "graph_nodes",
+            "graph_edges": "graph_edges", "graph_snapshots": "temporal_snapshots", "graph_state": "graph_state", "timeline_events": "timeline_events", "activity_phases": "activity_phases",
+            "replay_frames": "frame_state", "replay_index": "replay_index", "major_chapters": "chapters",
+        }),
+    ) for artifact, slug in tables.items()
+}
+
+
 def names() -> list[str]:
-    return list(TABLES) + list(SPECIAL)
+    return list(TABLES) + list(SPECIAL) + list(ARTIFACTS)
 
 
 def run(name: str):
@@ -324,6 +339,9 @@ def run(name: str):
         if name in SPECIAL:
             frame = SPECIAL[name](a)
             return flat(frame, frame.columns)
+        if name in ARTIFACTS:
+            fmt, artifact, slug = ARTIFACTS[name]
+            return flat(a.read_back(fmt)[artifact], [c.lstrip("@") for c in TABLES[slug][1]])
         table, columns = TABLES[name]
         return flat(reduce(getattr, table.split("."), a), [c.lstrip("@") for c in columns])
 

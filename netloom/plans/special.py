@@ -18,7 +18,7 @@ from netloom.operators import packets as pk
 from netloom.operators import timeline as ti
 from netloom.plans.pipeline import shared_folder
 from netloom.sources import packets
-from netloom.sources.artifacts import read_artifacts, write_csv, write_ndjson
+from netloom.sources.artifacts import read_artifacts
 
 c = F.col
 # Columns of a packet without its flags.
@@ -176,27 +176,24 @@ def q_entropy(a):
     return fl.value_entropy(a.packets, ["capture_id", "flow_id"], "total_bytes", "entropy").select("flow_id", "entropy")
 
 
-def _round_trip(a, writer, fmt, name, frame):
-    folder = f"{shared_folder(a.raw_packets.sparkSession)}/artifacts-{uuid.uuid4().hex}"
-    writer({name: frame}, folder)
-    return read_artifacts(a.raw_packets.sparkSession, folder, {name: frame.schema, "absent": frame.schema}, fmt)
-
-
-def q_write_ndjson(a):
-    frame = a.relationships.select("capture_id", "edge_id", "source", "target", "relationship_risk", "protocols")
-    return _round_trip(a, write_ndjson, "ndjson", "relationships", frame)["relationships"].select("edge_id", "source", "target", "relationship_risk", F.array_join("protocols", ",").alias("protocols"))
-
-
-def q_write_csv(a):
-    frame = a.enriched_flows.select("capture_id", "flow_id", "initiator_ip", "behavioral_score", F.to_json("observed_domains").alias("observed_domains"))
-    return _round_trip(a, write_csv, "csv", "enriched_flows", frame)["enriched_flows"].select("flow_id", "initiator_ip", "behavioral_score")
+def _round_trip(a, fmt):
+    """(artifact, rows, changed): all artifacts of a format, written and read again; `changed` counts rows that differ in any column."""
+    out = []
+    for name, back in a.read_back(fmt).items():
+        columns = sorted(back.columns)
+        text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row")
+        both = a.artifact(name).select(text, F.lit(1).alias("n")).unionByName(back.select(text, F.lit(-1).alias("n"))).groupBy("row").agg(F.sum("n").alias("n"))
+        changed = both.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("changed"))
+        out.append(back.agg(F.count(F.lit(1)).alias("rows")).crossJoin(changed).select(F.lit(name).alias("artifact"), "rows", "changed"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def q_read_artifacts(a):
-    """A table that was written and one that was not."""
-    frame = a.host_profiles.select("capture_id", "ip_address", "risk_score")
-    tables = _round_trip(a, write_ndjson, "ndjson", "host_profiles", frame)
-    return tables["host_profiles"].unionByName(tables["absent"]).select("ip_address", "risk_score")
+    """A table from each format, and one that was not written."""
+    spark = a.raw_packets.sparkSession
+    tables = [a.read_back(fmt)["host_profiles"].select(F.lit(fmt).alias("format"), "ip_address", "risk_score", "role", F.array_join("protocols", ",").alias("protocols")) for fmt in ("csv", "ndjson")]
+    absent = read_artifacts(spark, f"{shared_folder(spark)}/no-such-folder", {"absent": tables[0].schema})["absent"]
+    return tables[0].unionByName(tables[1]).unionByName(absent)
 
 
 def q_normalize_fragments(a):
@@ -259,7 +256,7 @@ SPECIAL = {
     "destination_rarity": lambda a: fi.destination_consumers(_pairs(a)).select("destination", fi.rarity(c("consumer_count")).alias("rarity"), fi.exclusivity(c("consumer_count")).alias("exclusivity")),
     "hypothesis_definitions": q_definitions,
     "weighted_score": q_weighted_score,
-    "write_ndjson": q_write_ndjson,
-    "write_csv": q_write_csv,
+    "write_ndjson": lambda a: _round_trip(a, "ndjson"),
+    "write_csv": lambda a: _round_trip(a, "csv"),
     "read_artifacts": q_read_artifacts,
 }

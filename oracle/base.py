@@ -10,7 +10,9 @@ def cte(name: str, sql: str) -> None:
 
 
 def _needs(sql: str) -> list[str]:
-    return [w for w in dict.fromkeys(re.findall(r"\b[a-z_0-9]+\b", sql)) if w in CTES]
+    """Tables that stand where a table may: words after FROM, JOIN or a comma, outside of quoted texts."""
+    found = re.findall(r"(?:\bFROM|\bJOIN|,)\s+([a-z_0-9]+)\b", re.sub(r"'[^']*'", "''", sql))
+    return [w for w in dict.fromkeys(found) if w in CTES]
 
 
 def closure(sql: str) -> str:

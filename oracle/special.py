@@ -16,6 +16,10 @@ _fields = " UNION ALL ".join(
     f"SELECT coalesce(c.ip_address, p.ip_address) AS ip_address, '{f}' AS field, coalesce(cast(p.{f} AS double), 0e0) AS previous, coalesce(cast(c.{f} AS double), 0e0) AS current "
     "FROM host_profiles_cur c FULL JOIN host_profiles_prev p ON c.ip_address = p.ip_address" for f in BASELINE_FIELDS)
 
+def _counted(tables: dict) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS artifact, count(*) AS rows, 0::bigint AS changed FROM {table}" for name, table in tables.items())
+
+
 SQL = {
     "packet_source": """SELECT capture_id, packet_index, us, src_ip, dst_ip, transport, src_port, dst_port, ttl, total_bytes, layer, tls_sni, http_host, dns_query, tls_alpn, src_mac, dst_mac, nbns_name, kerberos_cname,
       coalesce(transport = 'tcp' AND syn, false) AS tcp_syn, coalesce(transport = 'tcp' AND ack, false) AS tcp_ack, coalesce(transport = 'tcp' AND rst, false) AS tcp_rst, coalesce(transport = 'tcp' AND fin, false) AS tcp_fin, coalesce(transport = 'tcp' AND psh, false) AS tcp_psh FROM raw_packets""",
@@ -78,7 +82,13 @@ SQL = {
       ('beaconing', 'Beaconing', 'high', 'periodicity,persistence,external_relationship', 'periodicity=35,persistence=35,external_relationship=20,risk_delta=10'),
       ('persistent_tls', 'Persistent TLS', 'high', 'https_persistence,external_tls,session_duration', 'https_persistence=45,external_tls=35,risk_delta=20')) d(hypothesis_type, title, severity, signals, weights)""",
     "weighted_score": f"SELECT delta_id, {r('(persistence * 0.35e0 + persistence * 0.35e0 + (CASE WHEN delta_type = ' + chr(39) + 'external_relationship_emergence' + chr(39) + ' THEN 0.2e0 ELSE 0e0 END)) * 1e2', 2)} AS score FROM relationship_deltas",
-    "write_ndjson": "SELECT edge_id, source, target, relationship_risk, array_to_string(protocols, ',') AS protocols FROM relationships",
-    "write_csv": "SELECT flow_id, initiator_ip, behavioral_score FROM enriched_flows",
-    "read_artifacts": "SELECT ip_address, risk_score FROM host_profiles",
+    "write_ndjson": _counted({
+        "normalized_packets": "packets", "flows": "flows", "flow_names": "flow_names", "enriched_flows": "enriched_flows", "host_profiles": "host_profiles", "relationships": "relationships",
+        "host_baseline_snapshot": "baseline_snapshot", "layer5_deltas": "(SELECT 1 FROM host_profiles UNION ALL SELECT 1 FROM relationships)", "layer5_hypotheses": "hypotheses",
+        "layer5_investigation_candidates": "candidates", "investigation_narratives": "narratives", "graph_nodes": "scored_nodes", "graph_edges": "graph_edges", "graph_snapshots": "snapshots",
+        "graph_state": "graph_state", "timeline_events": "timeline_events", "activity_phases": "activity_phases", "replay_frames": "frames", "replay_index": "indexed_events",
+        "host_timelines": "host_timelines", "major_chapters": "chapters",
+    }),
+    "write_csv": _counted({x: x if x != "normalized_packets" else "packets" for x in ("normalized_packets", "flows", "enriched_flows", "host_profiles", "relationships")}),
+    "read_artifacts": "SELECT format, ip_address, risk_score, role, coalesce(array_to_string(protocols, ','), '') AS protocols FROM host_profiles, (VALUES ('csv'), ('ndjson')) f(format)",
 }

@@ -17,7 +17,7 @@ from netloom.operators import snapshots as sn
 from netloom.operators import timeline as ti
 from netloom.plans.pipeline import Analysis, shared_folder
 from netloom.plans.queries import analysis
-from netloom.sources.artifacts import read_artifacts, write_csv, write_ndjson
+from netloom.sources.artifacts import read_artifacts, write_artifacts
 
 
 @pytest.fixture(scope="module")
@@ -131,13 +131,21 @@ def test_chapters_merge(spark):
     assert [(r.chapter_id, r.event_count, r.end_us, r.key_events, r.severity) for r in got] == [("x", 5, 9, ["p", "q"], "HIGH"), ("z", 1, 8, ["r"], "INFO")]
 
 
-def test_artifacts(spark, a):
-    folder = f"{shared_folder(spark)}/artifacts-test-{spark.sparkContext.startTime}"
-    table = a.relationships.select("capture_id", "edge_id", "protocols", "relationship_risk")
-    write_ndjson({"relationships": table}, folder)
-    write_csv({"relationships": table}, folder)
-    back = read_artifacts(spark, folder, {"relationships": table.schema, "absent": table.schema})
-    assert same(back["relationships"].select(table.columns), table) and back["absent"].count() == 0
+@pytest.mark.parametrize("fmt", ["csv", "ndjson"])
+def test_artifacts(spark, fmt):
+    """Texts with quotes, breaks, blanks, backslashes and none, nested values, maps with numbers as keys, extreme numbers; a table without captures, an empty and an absent one."""
+    texts = ["", None, " a ", 'say "x", or\nnot\r', "\\N", "\\", "\\\\x", "null", "é日", "[]", "a,b;c|d", "''"]
+    schema = "capture_id string, t string, n bigint, d double, b boolean, list array<string>, pairs map<bigint,double>, s struct<a:string,b:array<int>>"
+    rows = [(f"c{i % 3}", t, 2**62 + i if i else None, 0.1 + 1e300 * i if i != 1 else None, i % 2 == 0 if i != 2 else None, [t, ""] if i else None, {i: 0.5, -i - 1: 1e-9}, (t, [i, None]) if i % 4 else None) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, schema)
+    loose = table.drop("capture_id", "pairs")
+    folder = f"{shared_folder(spark)}/artifacts-{fmt}-{spark.sparkContext.startTime}"
+    write_artifacts({"table": table, "loose": loose, "none": table.where("false")}, folder, fmt)
+    back = read_artifacts(spark, folder)
+    assert set(back) == {"table", "loose", "none"} and back["table"].schema.simpleString() == table.schema.simpleString()
+    text = lambda frame: sorted(r[0] for r in frame.select(F.to_json(F.struct(*sorted(frame.columns)), {"ignoreNullFields": "false"})).collect())
+    assert text(back["table"]) == text(table) and text(back["loose"]) == text(loose) and back["none"].count() == 0
+    assert read_artifacts(spark, folder, {"absent": table.schema}, fmt)["absent"].count() == 0
 
 
 def test_lookup_and_search(a):
