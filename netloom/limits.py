@@ -25,6 +25,8 @@ class Limits:
     suspicious_flows: int | None = 5
     elevated_hosts: int | None = 5
     search_hits: int | None = 120
+    # events that the row of a host shows; `host_timeline_events` has all
+    host_events: int = 1_000
     # names of a kind that the row of a flow shows; `flow_names` has all
     flow_names: int | None = 100
 

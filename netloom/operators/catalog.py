@@ -1,13 +1,20 @@
 """Questions an analyst asks of the finished tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import ladders
 from netloom.functions.numeric import rnd
-from netloom.limits import within
+from netloom.operators.ordered import global_rank
+from netloom.operators.timeline import EVENTS_AT_ONCE
 
 CAP = "capture_id"
+# Up to this many first rows of a window are cut before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+FIRST_ROWS = 1_000
+# What is advised for a web finding.
+WEB_ACTIONS = ["inspect endpoint", "review browser and process telemetry", "investigate destination domain", "preserve host identity evidence"]
 
 
 def frame_lookup(frames: DataFrame, key: str) -> DataFrame:
@@ -20,25 +27,42 @@ def replay_duration(frames: DataFrame) -> DataFrame:
 
 
 def capture_summary(frames, events, chapters, nodes, hypotheses, candidates, stable, snapshots: DataFrame) -> DataFrame:
-    """One row per capture: sizes, the leading host and destination, and the validation results."""
-    c = F.col
+    """One row per capture: sizes, the leading host and destination, and the validation results.
 
-    def count(frame, name):
-        return frame.groupBy(CAP).agg(F.count(F.lit(1)).alias(name))
+    All tables go into one grouping, each with its own columns and nulls for the rest, so they meet in one shuffle of partial results.
+    """
+    c = F.col
+    counted = {"event_count": events, "chapter_count": chapters, "hypothesis_count": hypotheses, "candidate_count": candidates}
+    lead = {"hypothesis_count": ("destination", "primary_destination"), "candidate_count": ("host", "top_host")}
+    parts = [frames.select(CAP, F.lit(1).alias("frame_count"), c("us").alias("frame_us")), nodes.select(CAP, F.lit(1).alias("node_count"), "community_type")]
+    for name, frame in counted.items():
+        first = [F.when(c("place") == 1, c(lead[name][0])).alias(lead[name][1])] if name in lead else []
+        parts.append(frame.select(CAP, F.lit(1).alias(name), *first))
+    verdicts = ["ready", "stable", "graph_valid", "roles_valid", "hypotheses_valid", "candidates_valid", "snapshots_valid"]
+    parts += [stable.select(CAP, "missing_components", *verdicts), snapshots.select(CAP, c("quality_score").alias("snapshot_quality"))]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    total = rows.groupBy(CAP).agg(
+        *[F.nullif(F.count(name), F.lit(0)).alias(name) for name in ("frame_count", *counted, "node_count")],
+        # at most as many as communities have names
+        F.size(F.collect_set("community_type")).cast("bigint").alias("community_count"),
+        rnd((F.max("frame_us") - F.min("frame_us")) / F.lit(1e6), 4).alias("duration_seconds"),
+        *[F.max(name).alias(name) for name in ("primary_destination", "top_host", "missing_components", *verdicts, "snapshot_quality")],
+    )
+    return total.where("frame_count IS NOT NULL")
 
-    lead = hypotheses.where("place = 1").select(CAP, c("destination").alias("primary_destination"))
-    top = candidates.where("place = 1").select(CAP, c("host").alias("top_host"))
-    row = replay_duration(frames)
-    for part in (count(frames, "frame_count"), count(events, "event_count"), count(chapters, "chapter_count"), count(nodes, "node_count"), count(hypotheses, "hypothesis_count"),
-                 count(candidates, "candidate_count"), nodes.groupBy(CAP).agg(F.count_distinct("community_type").alias("community_count")), lead, top, stable, snapshots.select(CAP, c("quality_score").alias("snapshot_quality"))):
-        row = row.join(part, CAP, "left")
-    return row
 
+def host_detail(hosts: DataFrame, nodes: DataFrame, timelines: DataFrame) -> DataFrame:
+    """Hosts of the timeline with their profile, in its absence the facts of their node, and the figures of their events and chapters.
 
-def host_detail(hosts: DataFrame, timelines: DataFrame) -> DataFrame:
-    """Hosts of the timeline with their profile, events and chapters."""
-    facts = hosts.select(CAP, F.col("ip_address").alias("host"), F.col("risk_score").alias("risk"), "role", "mac_address", "hostname", "user_identity")
-    return timelines.join(facts, [CAP, "host"], "left").withColumns({"risk": F.coalesce("risk", F.lit(0.0)), "role": F.coalesce("role", F.lit("UNKNOWN"))})
+    Whole events and chapters are the rows of `host_timeline_events` and `host_timeline_chapters` with the same host.
+    """
+    c = F.col
+    facts = hosts.select(CAP, c("ip_address").alias("host"), c("risk_score").alias("p_risk"), c("role").alias("p_role"), c("hostname").alias("p_hostname"), "mac_address", "user_identity")
+    node = nodes.select(CAP, c("ip_address").alias("host"), c("risk_score").alias("n_risk"), c("role").alias("n_role"), c("hostname").alias("n_hostname"))
+    j = timelines.join(facts, [CAP, "host"], "left").join(node, [CAP, "host"], "left")
+    return j.withColumns({
+        "risk": F.coalesce("p_risk", "n_risk", F.lit(0.0)), "role": F.coalesce("p_role", "n_role", F.lit("UNKNOWN")), "hostname": F.coalesce("p_hostname", "n_hostname"),
+    }).drop("p_risk", "n_risk", "p_role", "n_role", "p_hostname", "n_hostname")
 
 
 def ranked_hosts(hosts: DataFrame, candidates: DataFrame, hypotheses: DataFrame) -> DataFrame:
@@ -109,7 +133,11 @@ def web_finding(flows: DataFrame, hosts: DataFrame) -> DataFrame:
     plain = c("application_protocol") == "http"
     w = Window.partitionBy(CAP).orderBy(plain.desc(), (c("domain").endswith(".su") | c("domain").endswith(".cc")).desc(), F.desc("packet_count"), "first_us", "first_seen_sequence")
     best = web.withColumn("i", F.row_number().over(w)).where("i = 1")
-    facts = hosts.select(CAP, c("ip_address").alias("initiator_ip"), c("risk_score").alias("profile_risk"), c("role").alias("host_role"))
+    facts = hosts.select(
+        CAP, c("ip_address").alias("initiator_ip"), c("risk_score").alias("profile_risk"), c("role").alias("host_role"), "hostname", "mac_address", "user_identity",
+        c("external_unique_relationships").alias("external_relationships"), c("internal_unique_relationships").alias("internal_relationships"),
+        F.slice("protocols", 1, 5).alias("top_protocols"),
+    )
     j = best.join(facts, [CAP, "initiator_ip"], "left").withColumns({
         "conf": F.when(plain, F.lit(78.0)).otherwise(F.lit(68.0)),
         "risk": F.greatest(F.coalesce("profile_risk", F.lit(0.0)), F.when(plain, F.lit(70.0)).otherwise(F.lit(60.0))),
@@ -125,6 +153,15 @@ def web_finding(flows: DataFrame, hosts: DataFrame) -> DataFrame:
         c("conf").alias("confidence"), F.lit("medium").alias("severity"), "priority_score", ladders.fallback_priority_level(c("priority_score")).alias("priority_level"),
         host.alias("host"), F.coalesce("host_role", F.lit("UNKNOWN")).alias("host_role"), "risk",
         F.concat(F.lit("Host has externally visible web activity to rare domain "), domain, F.lit(" at "), dest, F.lit(".")).alias("candidate_rationale"),
+        F.array().cast("array<string>").alias("contradictory_evidence"), F.lit("PRIMARY").alias("finding_tier"), F.lit("context_fallback").alias("source"),
+        host.alias("relationship_consumer"), dest.alias("relationship_destination"), domain, c("responder_port").alias("destination_port"),
+        F.lit(1).cast("bigint").alias("destination_consumer_count"), F.lit(1.0).alias("destination_rarity_score"), F.lit(1.0).alias("destination_exclusivity_score"),
+        # the parts of the priority beside risk and confidence
+        F.lit(50.0).alias("criticality"), "hostname", "mac_address", "user_identity",
+        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("external_relationships", "internal_relationships")],
+        F.coalesce("top_protocols", F.array().cast("array<string>")).alias("top_protocols"),
+        F.array(F.lit("external_web_activity"), F.concat(F.lit("domain:"), domain), F.concat(F.lit("destination:"), dest)).alias("rationale"),
+        F.array(*[F.lit(x) for x in WEB_ACTIONS]).alias("recommended_actions"),
     )
 
 
@@ -133,14 +170,22 @@ def community_context(nodes: DataFrame) -> DataFrame:
 
 
 def event_search(events: DataFrame, severity: str | None = None, text: str = "", latest: int | None = 120) -> DataFrame:
-    """The latest events of a severity that contain a text anywhere, per capture."""
+    """The latest events of a severity that contain a text anywhere, per capture; `recent` counts back from the last hit.
+
+    Up to a thousand hits the first of each input partition alone are shuffled; beyond that, or for all of them (latest None),
+    places are counted by ranges of event numbers, so no window holds all hits of a capture.
+    """
     c = F.col
     hit = events if severity is None else events.where(c("severity") == severity)
     if text:
         shown = F.to_json(F.struct("event_id", "us", "event_type", "severity", "host", "related_hosts", "description"))
         hit = hit.where(F.lower(shown).contains(text.lower()))
-    w = Window.partitionBy(CAP).orderBy(F.desc("event_index"))
-    return hit.withColumn("recent", F.row_number().over(w)).where(within("recent", latest))
+    if latest is not None and latest <= FIRST_ROWS:
+        w = Window.partitionBy(CAP).orderBy(F.desc("event_index"))
+        return hit.withColumn("recent", F.row_number().over(w)).where(c("recent") <= latest)
+    back = hit.withColumn("back_", -c("event_index"))
+    placed = global_rank(back, [CAP], [f"back_ div {EVENTS_AT_ONCE}L"], ["back_"], "recent", start=1, hot=None).drop("back_")
+    return placed if latest is None else placed.where(c("recent") <= latest)
 
 
 def capture_totals(flows: DataFrame, hosts: DataFrame) -> DataFrame:

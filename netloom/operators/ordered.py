@@ -13,9 +13,14 @@ HOT_ROWS = 2_000_000
 CHUNK = ["chunk0", "chunk1", "chunk2"]
 
 
-def with_chunks(df: DataFrame, part: list[str], levels: list[str], hot: int = HOT_ROWS) -> DataFrame:
-    """Add chunk0..chunk2. The finer levels, numbers, are -1 where the first level is small enough."""
+def with_chunks(df: DataFrame, part: list[str], levels: list[str], hot: int | None = HOT_ROWS) -> DataFrame:
+    """Add chunk0..chunk2. The finer levels, numbers, are -1 where the first level is small enough.
+
+    hot None: the first level alone bounds a chunk, as a range of sequence numbers does, and nothing is counted.
+    """
     first = F.expr(levels[0])
+    if hot is None:
+        return df.withColumns({"chunk0": first, "chunk1": F.lit(0).cast("bigint"), "chunk2": F.lit(0).cast("bigint")})
     crowded = (
         df.select(*part, first.alias("chunk0")).groupBy(*part, "chunk0").count()
         .where(F.col("count") > hot).select(*part, "chunk0", F.lit(True).alias("crowded"))
@@ -44,7 +49,7 @@ def _attach(df: DataFrame, chunks: DataFrame, part: list[str], columns: list[str
     return df.join(chunks.select(*part, *CHUNK, *columns), [*part, *CHUNK], "left")
 
 
-def global_rank(df: DataFrame, part, levels, order, name: str, start: int = 0, hot: int = HOT_ROWS) -> DataFrame:
+def global_rank(df: DataFrame, part, levels, order, name: str, start: int = 0, hot: int | None = HOT_ROWS) -> DataFrame:
     """Place of each row in its group under a total order."""
     cut = with_chunks(df, part, levels, hot)
     counts = cut.groupBy(*part, *CHUNK).agg(F.count(F.lit(1)).alias("n"))

@@ -18,6 +18,8 @@ METADATA = {
 }
 # Order of events is (us, event_id). Cuts that respect it: a minute, a microsecond, four digits of the id.
 EVENT_LEVELS = ["us div 60000000L", "us", "cast(conv(substring(event_id, 5, 4), 16, 10) AS bigint)"]
+# Event numbers in a chunk where the numbers themselves cut the order.
+EVENTS_AT_ONCE = 500_000
 EVENT_ORDER = ["us", "event_id"]
 # Event type -> phase, event type -> chapter, chapter -> (title, importance).
 PHASES = {
@@ -250,10 +252,31 @@ def chapter_index(chapters_: DataFrame) -> DataFrame:
     return chapters_.groupBy(CAP).agg(F.count(F.lit(1)).alias("chapter_count"), F.array_sort(F.collect_list(entry)).alias("chapters"))
 
 
-def host_timelines(events: DataFrame, chapters_: DataFrame) -> DataFrame:
-    """Ordered events of each host and the chapters it is part of. Top-N limits upstream bound both lists."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("event_index", "event_id"))), lambda x: x["event_id"])
-    by_host = events.where("host <> ''").groupBy(CAP, "host").agg(listed.alias("events"), F.count(F.lit(1)).alias("event_count"))
-    named = chapter_hosts(events).join(chapters_.select(CAP, "chapter_type", "chapter_number", "chapter_id"), [CAP, "chapter_type"])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter_number", "chapter_id"))), lambda x: x["chapter_id"])
-    return by_host.join(named.groupBy(CAP, "host").agg(parts.alias("chapters")), [CAP, "host"], "left")
+def host_timeline_events(events: DataFrame) -> DataFrame:
+    """Every event of every host with its place among the events of the host, from 1.
+
+    A host may have most of all events: places are counted by ranges of event numbers, so none of them is one window.
+    """
+    named = events.where("host <> ''").select(CAP, "host", "event_id", "event_index", "us", "event_type", "severity", "description")
+    return global_rank(named, [CAP, "host"], [f"event_index div {EVENTS_AT_ONCE}L"], ["event_index"], "place", start=1, hot=None)
+
+
+def host_timeline_chapters(events: DataFrame, chapters_: DataFrame) -> DataFrame:
+    """Every chapter that a host is part of, in order; a host has as many as there are types at most."""
+    parts = chapter_hosts(events).join(chapters_.select(CAP, "chapter_type", "chapter_number", "chapter_id", "title", "start_us", "end_us", "severity"), [CAP, "chapter_type"])
+    return parts.withColumn("place", F.row_number().over(Window.partitionBy(CAP, "host").orderBy("chapter_number")))
+
+
+def host_timelines(entries: DataFrame, parts: DataFrame, shown: int) -> DataFrame:
+    """A row for each host: how many events, the first `shown` of them, and its chapters.
+
+    entries, parts: rows of host_timeline_events and host_timeline_chapters, which have all.
+    """
+    c = F.col
+
+    def in_order(name, keep):
+        return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("place", name)))), lambda x: x[name])
+
+    by_host = entries.groupBy(CAP, "host").agg(
+        in_order("event_id", c("place") <= shown).alias("events"), F.count(F.lit(1)).alias("event_count"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return by_host.join(parts.groupBy(CAP, "host").agg(in_order("chapter_id", F.lit(True)).alias("chapters")), [CAP, "host"], "left")

@@ -31,6 +31,7 @@ ARTIFACTS = {
     "host_baseline_snapshot": "baseline_snapshot", "layer5_deltas": "layer5_deltas", "layer5_hypotheses": "hypotheses", "layer5_investigation_candidates": "candidates",
     "investigation_narratives": "narratives", "graph_nodes": "scored_nodes", "graph_edges": "graph_edges", "graph_snapshots": "snapshots", "graph_state": "graph_state",
     "timeline_events": "timeline_events", "activity_phases": "activity_phases", "replay_frames": "frames", "replay_index": "indexed_events", "host_timelines": "host_timelines",
+    "host_timeline_events": "host_timeline_events", "host_timeline_chapters": "host_timeline_chapters",
     "major_chapters": "chapters",
 }
 CSV_ARTIFACTS = ["normalized_packets", "flows", "enriched_flows", "host_profiles", "relationships"]
@@ -261,7 +262,12 @@ class Analysis:
         return self.keep("chapters", ti.chapters(self.indexed_events, self.activity_phases))
 
     chapter_merge = property(lambda self: ti.chapter_merge(self.chapters))
-    host_timelines = property(lambda self: ti.host_timelines(self.indexed_events, self.chapters))
+    host_timeline_chapters = property(lambda self: ti.host_timeline_chapters(self.indexed_events, self.chapters))
+    host_timelines = property(lambda self: ti.host_timelines(self.host_timeline_events, self.host_timeline_chapters, self.limits.host_events))
+
+    @cached_property
+    def host_timeline_events(self):
+        return self.keep("host_timeline_events", ti.host_timeline_events(self.indexed_events))
 
     @cached_property
     def frame_selection(self):
@@ -309,7 +315,7 @@ class Analysis:
     # catalogue
 
     replay_duration = property(lambda self: ca.replay_duration(self.frames))
-    host_detail = property(lambda self: ca.host_detail(self.host_profiles, self.host_timelines))
+    host_detail = property(lambda self: ca.host_detail(self.host_profiles, self.scored_nodes, self.host_timelines))
     ranked_hosts = property(lambda self: ca.ranked_hosts(self.host_profiles, self.candidates, self.hypotheses))
     relationship_context = property(lambda self: ca.relationship_context(self.relationships, self.hypotheses))
     destination_intel = property(lambda self: ca.destination_intel(self.relationships, self.hypotheses))
@@ -317,6 +323,14 @@ class Analysis:
     context_fallback = property(lambda self: ca.context_fallback(self.enriched_flows, self.host_profiles, self.hypotheses, self.candidates))
     community_context = property(lambda self: ca.community_context(self.scored_nodes))
     event_search = property(lambda self: ca.event_search(self.indexed_events, "LOW", "TLS", self.limits.search_hits))
+
+    @property
+    def event_searches(self):
+        """The search with and without a severity and a text, one row for each search and hit."""
+        calls = [("LOW", ""), ("MEDIUM", ""), (None, ""), (None, "flow"), ("INFO", "10.")]
+        hits = [ca.event_search(self.indexed_events, s, t, self.limits.search_hits).withColumn("search", F.lit(f"{s or 'any'}:{t}")) for s, t in calls]
+        return reduce(DataFrame.unionByName, hits)
+
     capture_totals = property(lambda self: ca.capture_totals(self.enriched_flows, self.host_profiles))
     suspicious_top = property(lambda self: fl.suspicious_flows(self.enriched_flows, self.limits.suspicious_flows))
     elevated_top = property(lambda self: hs.elevated_hosts(self.host_profiles, self.limits.elevated_hosts))

@@ -61,8 +61,14 @@ def flat(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 _FINDING = [
     "hypothesis_id", "hypothesis_type", "title", "summary", "@impacted_entities", "@supporting_evidence", "confidence_explanation", "confidence",
-    "severity", "priority_score", "priority_level", "host", "host_role", "risk", "candidate_rationale",
+    "severity", "priority_score", "priority_level", "host", "host_role", "risk", "candidate_rationale", "@contradictory_evidence", "finding_tier", "source",
+    "relationship_consumer", "relationship_destination", "domain", "destination_port", "destination_consumer_count", "destination_rarity_score",
+    "destination_exclusivity_score", "criticality", "hostname", "mac_address", "user_identity", "external_relationships", "internal_relationships",
+    "@top_protocols", "@rationale", "@recommended_actions",
 ]
+_HOST_EVENTS = ["host", "place", "event_id", "event_index", "us", "event_type", "severity", "description"]
+_HOST_CHAPTERS = ["host", "place", "chapter_id", "chapter_type", "chapter_number", "title", "start_us", "end_us", "severity"]
+_HITS = ["search", "event_id", "us", "event_type", "severity", "host", "recent"]
 PACKET_COLUMNS = [
     "capture_id", "packet_index", "replay_sequence_id", "us", "src_ip", "dst_ip", "ttl", "transport_layer", "src_port", "dst_port",
     "payload_bytes", "total_bytes", "application_protocol", "app_confidence", "protocol_enrichment", "@protocol_evidence",
@@ -250,6 +256,10 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "frame_delta": ("frame_deltas", DELTA_COLUMNS),
     "replay_index": ("indexed_events", ["event_id", "event_index", "host"]),
     "host_timelines": ("host_timelines", ["host", "event_count", "@events", "@chapters"]),
+    "host_timeline_events": ("host_timeline_events", _HOST_EVENTS),
+    "host_timeline_chapters": ("host_timeline_chapters", _HOST_CHAPTERS),
+    "host_timeline_events_uncut": ("uncut.host_timeline_events", _HOST_EVENTS),
+    "host_timeline_chapters_uncut": ("uncut.host_timeline_chapters", _HOST_CHAPTERS),
     "replay_coverage": ("replay_coverage", ["capture_id", "replay_coverage", "event_compression_ratio"]),
     "frame_seek_nearest": ("seek", ["ip_address", "target_us", "frame_number", "frame_us"]),
     "chapter_jump": ("chapter_jump", ["chapter_id", "target_us", "frame_number", "frame_us"]),
@@ -282,6 +292,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "web_finding": ("web_finding", _FINDING),
     "context_fallback": ("context_fallback", _FINDING),
     "community_context": ("community_context", ["community_type", "role", "node_count"]),
+    "event_searches": ("event_searches", _HITS),
+    "event_searches_uncut": ("uncut.event_searches", _HITS),
     "event_search": ("event_search", ["event_id", "us", "event_type", "severity", "host", "recent"]),
     "capture_totals": ("capture_totals", [
         "capture_id", "flows", "total_bytes", "suppressed_flows", "beacon_eligible_flows", "suspicious_flows", "hosts", "elevated_hosts",

@@ -36,7 +36,7 @@ cte("readiness", """SELECT *, len(missing_components) = 0 AS ready FROM (SELECT
 cte("capture_summary", """SELECT d.capture_id, d.duration_seconds, (SELECT count(*) FROM frames) AS frame_count, (SELECT count(*) FROM indexed_events) AS event_count, (SELECT count(*) FROM chapters) AS chapter_count, (SELECT count(*) FROM scored_nodes) AS node_count,
  (SELECT count(*) FROM hypotheses) AS hypothesis_count, (SELECT count(*) FROM candidates) AS candidate_count, (SELECT count(DISTINCT community_type) FROM scored_nodes) AS community_count, (SELECT destination FROM hypotheses WHERE place = 1) AS primary_destination,
  (SELECT host FROM candidates WHERE place = 1) AS top_host, rd.ready, sr.quality_score AS snapshot_quality, g.valid AS graph_valid, hv.valid AS hypotheses_valid, cv.valid AS candidates_valid, sr.valid AS snapshots_valid FROM replay_duration d, readiness rd, snapshot_report sr, graph_consistency g, hypothesis_validation hv, candidate_validation cv""")
-cte("host_detail", "SELECT t.*, h.risk_score AS risk, h.role, h.mac_address, h.hostname, h.user_identity FROM host_timelines t LEFT JOIN host_profiles h ON h.ip_address = t.host")
+cte("host_detail", "SELECT t.*, coalesce(h.risk_score, n.risk_score, 0e0) AS risk, coalesce(h.role, n.role, 'UNKNOWN') AS role, h.mac_address, coalesce(h.hostname, n.hostname) AS hostname, h.user_identity FROM host_timelines t LEFT JOIN host_profiles h ON h.ip_address = t.host LEFT JOIN scored_nodes n ON n.ip_address = t.host")
 cte("ranked_hosts", """SELECT h.ip_address, h.role, h.role_confidence, graph_cluster_group AS community, h.mac_address, h.hostname, h.user_identity, coalesce(c.risk, h.risk_score) AS risk, CASE WHEN c.host IS NULL THEN 'none' ELSE 'candidate' END AS candidate_status,
  (SELECT count(*) FROM hypotheses p WHERE list_contains(p.impacted_entities, h.ip_address)) AS finding_count, coalesce(c.confidence, 0e0) AS confidence, coalesce(c.priority, 'LOW') AS priority, external_unique_relationships AS external_relationships,
  internal_unique_relationships AS internal_relationships, h.protocols[1:5] AS top_protocols FROM host_profiles h LEFT JOIN candidates c ON c.host = h.ip_address""")
@@ -48,13 +48,20 @@ cte("destination_intel", """SELECT destination, arg_min(consumer, place) AS rela
 cte("web_finding", f"""SELECT capture_id, 'context:' || host || ':' || dest || ':' || domain AS hypothesis_id, 'external_web_activity' AS hypothesis_type, 'External Web Activity' AS title, host || ' communicated with ' || domain || ' at ' || dest || ':' || responder_port AS summary,
  [host, dest, domain] AS impacted_entities, ['external_relationship', 'domain_observed:' || domain, 'protocol:' || application_protocol, 'rare_destination'] AS supporting_evidence,
  'Confidence ' || cast(conf AS int) || '%. Positive: external web relationship, observed domain ' || domain || ', rare destination context. Negative: no Layer 5 beaconing hypothesis was generated.' AS confidence_explanation, conf AS confidence, 'medium' AS severity,
- ps AS priority_score, CASE WHEN ps >= 85 THEN 'CRITICAL' WHEN ps >= 70 THEN 'HIGH' WHEN ps >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS priority_level, host, host_role, risk, 'Host has externally visible web activity to rare domain ' || domain || ' at ' || dest || '.' AS candidate_rationale
-FROM (SELECT *, {r('risk * 0.35e0 + conf * 0.35e0 + 50e0 * 0.3e0', 1)} AS ps FROM (SELECT f.*, initiator_ip AS host, responder_ip AS dest, h.role AS host_role, CASE WHEN application_protocol = 'http' THEN 78e0 ELSE 68e0 END AS conf, greatest(h.risk_score, CASE WHEN application_protocol = 'http' THEN 70e0 ELSE 60e0 END) AS risk
+ ps AS priority_score, CASE WHEN ps >= 85 THEN 'CRITICAL' WHEN ps >= 70 THEN 'HIGH' WHEN ps >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS priority_level, host, host_role, risk, 'Host has externally visible web activity to rare domain ' || domain || ' at ' || dest || '.' AS candidate_rationale,
+ [] AS contradictory_evidence, 'PRIMARY' AS finding_tier, 'context_fallback' AS source, host AS relationship_consumer, dest AS relationship_destination, domain, responder_port AS destination_port, 1 AS destination_consumer_count, 1e0 AS destination_rarity_score, 1e0 AS destination_exclusivity_score,
+ 50e0 AS criticality, hostname, mac_address, user_identity, external_unique_relationships AS external_relationships, internal_unique_relationships AS internal_relationships, host_protocols[1:5] AS top_protocols, ['external_web_activity', 'domain:' || domain, 'destination:' || dest] AS rationale,
+ ['inspect endpoint', 'review browser and process telemetry', 'investigate destination domain', 'preserve host identity evidence'] AS recommended_actions
+FROM (SELECT *, {r('risk * 0.35e0 + conf * 0.35e0 + 50e0 * 0.3e0', 1)} AS ps FROM (SELECT f.*, initiator_ip AS host, responder_ip AS dest, h.role AS host_role, h.hostname, h.mac_address, h.user_identity, h.external_unique_relationships, h.internal_unique_relationships, h.protocols AS host_protocols, CASE WHEN application_protocol = 'http' THEN 78e0 ELSE 68e0 END AS conf, greatest(h.risk_score, CASE WHEN application_protocol = 'http' THEN 70e0 ELSE 60e0 END) AS risk
  FROM (SELECT *, web_domain AS domain FROM enriched_flows WHERE direction = 'outbound' AND application_protocol IN ('http', 'https')) f JOIN host_profiles h ON h.ip_address = f.initiator_ip WHERE domain IS NOT NULL
  ORDER BY application_protocol = 'http' DESC, domain LIKE '%.su' OR domain LIKE '%.cc' DESC, f.packet_count DESC, f.first_us, f.first_seen_sequence LIMIT 1))""")
 cte("context_fallback", "SELECT * FROM web_finding WHERE capture_id NOT IN (SELECT capture_id FROM hypotheses UNION ALL SELECT capture_id FROM candidates)")
 cte("community_context", "SELECT community_type, role, count(*) AS node_count FROM scored_nodes GROUP BY ALL")
 cte("event_search", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY event_index DESC) AS recent FROM indexed_events WHERE severity = 'LOW' AND contains(lower(event_id || us || event_type || severity || host || array_to_string(related_hosts, ',') || description), 'tls')) WHERE recent <= 120")
+_SHOWN = "lower(event_id || us || event_type || severity || host || array_to_string(related_hosts, ',') || description)"
+_CALLS = [("LOW", ""), ("MEDIUM", ""), ("any", ""), ("any", "flow"), ("INFO", "10.")]
+cte("event_searches", " UNION ALL ".join(
+    f"SELECT *, '{sev}:{text}' AS search FROM (SELECT *, row_number() OVER (ORDER BY event_index DESC) AS recent FROM indexed_events WHERE ('{sev}' = 'any' OR severity = '{sev}') AND contains({_SHOWN}, '{text}')) WHERE recent <= 120" for sev, text in _CALLS))
 cte("capture_totals", """SELECT 'cap0' AS capture_id, count(*) AS flows, cast(sum(initiator_bytes + responder_bytes) AS bigint) AS total_bytes, count(*) FILTER (suppressed) AS suppressed_flows, count(beacon_score) AS beacon_eligible_flows, count(*) FILTER (is_suspicious) AS suspicious_flows,
  (SELECT count(*) FROM host_profiles) AS hosts, (SELECT count(*) FROM host_profiles WHERE risk_score >= 35) AS elevated_hosts FROM enriched_flows""")
 cte("suspicious_top", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY behavioral_score DESC, first_us, first_seen_sequence) AS place FROM enriched_flows WHERE is_suspicious) WHERE place <= 5")
@@ -71,7 +78,7 @@ cte("snapshot_report", f"SELECT 'cap0' AS capture_id, count(*) AS total_snapshot
 cte("stable", "SELECT 'cap0' AS capture_id, rd.ready, rd.missing_components, g.valid AND ro.valid AND hv.valid AND cv.valid AND sr.valid AND rd.ready AS stable, sr.valid AS snapshots_valid FROM readiness rd, graph_consistency g, role_consistency ro, hypothesis_validation hv, candidate_validation cv, snapshot_report sr")
 
 # The timeline without cuts: the same tables under another prefix.
-_LONG = ("network_events", "relationship_events", "timeline_events", "correlated", "indexed_events", "activity_phases", "chapter_bounds", "chapter_phase_overlap", "chapter_hosts", "chapters", "frames0", "frame_selection", "event_search", "frames", "frame_deltas", "seek")
+_LONG = ("network_events", "relationship_events", "timeline_events", "correlated", "indexed_events", "activity_phases", "chapter_bounds", "chapter_phase_overlap", "chapter_hosts", "chapters", "frames0", "frame_selection", "event_search", "event_searches", "host_timeline_events", "host_timeline_chapters", "frames", "frame_deltas", "seek")
 for _n in _LONG:
     _sql = CTES[_n].replace(" LIMIT 300", "").replace(" WHERE recent <= 120", "")
     if _n == "frames0":

@@ -120,6 +120,8 @@ FROM (SELECT *, row_number() OVER (ORDER BY start_us, {_ORD}) AS chapter_number,
   ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][rank + 1] AS severity, {r(f'least({_IMP} + rank * 2 + least(event_count / 25, 8e0), 100e0)', 1)} AS importance
  FROM (SELECT b.*, (SELECT count(DISTINCT phase_id) FROM chapter_phase_overlap o WHERE o.chapter_type = b.chapter_type) AS phase_count, (SELECT count(*) FROM chapter_hosts h WHERE h.chapter_type = b.chapter_type) AS host_count,
    (SELECT list(event_type ORDER BY s DESC, n DESC, event_type DESC)[1:6] FROM (SELECT event_type, max(rank) AS s, count(*) AS n FROM indexed_events e WHERE e.chapter_type = b.chapter_type GROUP BY 1)) AS key_events FROM chapter_bounds b))""")
+cte("host_timeline_events", "SELECT *, row_number() OVER (PARTITION BY host ORDER BY event_index) AS place FROM indexed_events WHERE host <> ''")
+cte("host_timeline_chapters", "SELECT h.host, c.*, row_number() OVER (PARTITION BY h.host ORDER BY chapter_number) AS place FROM chapter_hosts h JOIN chapters c USING (chapter_type)")
 cte("host_timelines", """SELECT e.host, count(*) AS event_count, list(event_id ORDER BY event_index) AS events, any_value(c.chapters) AS chapters FROM indexed_events e
  JOIN (SELECT host, list(chapter_id ORDER BY chapter_number) AS chapters FROM chapter_hosts JOIN chapters USING (chapter_type) GROUP BY 1) c ON c.host = e.host WHERE e.host <> '' GROUP BY 1""")
 
