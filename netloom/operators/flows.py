@@ -9,6 +9,7 @@ from netloom.functions import ladders
 from netloom.functions.numeric import flag, ratio, rnd, unit
 from netloom.functions.text import clean_hostname, clean_nbns_name, investigative_domain, labels, normalize_domain
 from netloom.limits import Limits, best, within
+from netloom.operators.facts import beside
 
 KEY = ["capture_id", "flow_id"]
 MIN_BEACON_PACKETS = 20
@@ -277,9 +278,11 @@ def rarity_counts(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rarity_context(flows: DataFrame) -> DataFrame:
-    """The two counts beside every flow; a busy destination is split by the skew join of adaptive execution."""
+    """The two counts beside every flow; a destination or protocol of any share of the flows stays spread."""
     by_destination, by_protocol = rarity_counts(flows)
-    return flows.join(by_destination, ["capture_id", "responder_ip"]).join(by_protocol, ["capture_id", "application_protocol"])
+    total = flows.count()
+    once = beside(flows, by_destination, ["capture_id", "responder_ip"], "destination_flows", total)
+    return beside(once, by_protocol, ["capture_id", "application_protocol"], "protocol_flows", total)
 
 
 def _rare(flows: DataFrame, columns: list[str], name: str) -> DataFrame:

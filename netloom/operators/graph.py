@@ -223,171 +223,202 @@ def scored_nodes(linked: DataFrame, global_max: bool = False) -> DataFrame:
     })
 
 
-def top_risk_mean(nodes: DataFrame, part: list[str], share: int, extra=()) -> DataFrame:
-    """Mean and sum of the largest max(1, n div share) risk scores per group.
+def isolated(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("isolated", F.col("touches") == 0)
+
+
+def node_figures(nodes: DataFrame) -> DataFrame:
+    """All that a state sums over the nodes of a capture, from one pass.
 
-    Scores have two digits below 82, so the histogram of a group has at most 8,200 rows.
+    Nodes are first folded by community and risk score. Scores have two digits below 82 and communities are six, so what is
+    ordered by risk, to take the largest max(1, n div 10) and max(1, n div 5) scores, has at most 49,200 rows for each capture.
     """
-    hist = nodes.groupBy(*part, scaled(F.col("risk_score"), 2).alias("risk")).agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*part).orderBy(F.desc("risk"))
-    whole = Window.partitionBy(*part)
-    placed = hist.withColumns({"upto": F.sum("n").over(down), "all_n": F.sum("n").over(whole)})
-    k = F.greatest(F.expr(f"all_n div {share}"), F.lit(1))
-    taken = F.greatest(F.least(F.col("n"), k - (F.col("upto") - F.col("n"))), F.lit(0))
-    return placed.groupBy(*part).agg(
-        (F.sum(F.col("risk") * taken) / F.lit(100.0)).alias("top_sum"), F.sum(taken).alias("top_n"), (F.sum(F.col("risk") * F.col("n")) / F.lit(100.0)).alias("risk_sum")
+    c = F.col
+    cells = nodes.groupBy(CAP, "community_type", scaled(c("risk_score"), 2).alias("risk")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c("touches") == 0).alias("isolated"), F.count_if((c("touches") == 0) & (c("risk_score") >= 20)).alias("risky_alone"),
+        F.count_if(c("node_degree") == 0).alias("alone"), F.count_if(c("role") == "INFRASTRUCTURE").alias("infra"), F.sum("node_degree").alias("degree_sum"),
+        F.sum("external_connections").alias("contacts"), F.sum("protocol_diversity").alias("diversity"), F.max("last_us").alias("timestamp_us"),
+        F.min(F.when(c("replay_sequence_start") > 0, c("replay_sequence_start"))).alias("replay_sequence_start"),
+        F.max(F.when(c("replay_sequence_end") > 0, c("replay_sequence_end"))).alias("replay_sequence_end"),
     )
+    down = Window.partitionBy(CAP).orderBy(F.desc("risk"), "community_type").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumns({"before": F.coalesce(F.sum("n").over(down), F.lit(0)), "all_n": F.sum("n").over(Window.partitionBy(CAP))})
 
+    def taken(share):
+        return F.greatest(F.least(c("n"), F.greatest(F.expr(f"all_n div {share}"), F.lit(1)) - c("before")), F.lit(0))
+
+    sums = ["isolated", "risky_alone", "alone", "infra", "degree_sum", "contacts", "diversity"]
+    by_community = placed.groupBy(CAP, "community_type").agg(
+        F.sum("n").alias("n"), F.sum(c("risk") * c("n")).alias("risk_e2"), *[F.sum(x).alias(x) for x in sums], F.max("timestamp_us").alias("timestamp_us"),
+        F.min("replay_sequence_start").alias("replay_sequence_start"), F.max("replay_sequence_end").alias("replay_sequence_end"),
+        *[F.sum(c("risk") * taken(share)).alias(f"top{share}_e2") for share in (10, 5)], F.sum(taken(10)).alias("top_n"),
+    )
+    community = F.struct("community_type", c("n").alias("node_count"), (c("risk_e2") / c("n") / F.lit(100.0)).alias("average_risk"))
+    return by_community.groupBy(CAP).agg(
+        F.sum("n").alias("node_count"), *[F.sum(x).alias(x) for x in ("risk_e2", *sums, "top10_e2", "top5_e2", "top_n")], F.max("timestamp_us").alias("timestamp_us"),
+        F.coalesce(F.min("replay_sequence_start"), F.lit(0)).alias("replay_sequence_start"), F.coalesce(F.max("replay_sequence_end"), F.lit(0)).alias("replay_sequence_end"),
+        F.array_sort(F.collect_list(community)).alias("groups"),
+    )
 
-def isolated(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("isolated", F.col("touches") == 0)
 
+def edge_figures(edges: DataFrame) -> DataFrame:
+    """All that a state sums over the edges of a capture, from one pass."""
+    c = F.col
 
-def communities(nodes: DataFrame) -> DataFrame:
-    """Size and mean risk per community: at most six rows per capture."""
-    return nodes.groupBy(CAP, "community_type").agg(
-        F.count(F.lit(1)).alias("node_count"), (F.sum(scaled(F.col("risk_score"), 2)) / F.count(F.lit(1)) / F.lit(100.0)).alias("average_risk")
+    def mean_of(column, digits, test):
+        return F.coalesce(F.sum(F.when(test, scaled(c(column), digits))) / F.greatest(F.count_if(test), F.lit(1)) / F.lit(10.0**digits), F.lit(0.0))
+
+    risky, periodic = c("relationship_type").isin(RISKY_TYPES), c("communication_pattern") == "periodic"
+    return edges.groupBy(CAP).agg(
+        F.count(F.lit(1)).alias("m"), F.array_sort(F.collect_set("relationship_type")).alias("relationship_types"), F.count_if(c("relationship_risk") >= 35).alias("suspicious"),
+        F.sum(scaled(c("persistence_score"), 4)).alias("persistence_e4"), mean_of("persistence_score", 4, risky).alias("p"), mean_of("relationship_risk", 2, risky).alias("r"),
+        mean_of("relationship_risk", 2, periodic).alias("q"),
     )
 
 
 def central_nodes(nodes: DataFrame, top: int = 5) -> DataFrame:
     """The most central nodes, noise left out; when fewer than three remain, noise is let in."""
-    pool = nodes.where("NOT non_investigative")
-    w = Window.partitionBy(CAP).orderBy(F.desc("centrality_hint"), "ip_address")
+    c = F.col
+    w = Window.partitionBy(CAP, "infrastructure_noise").orderBy(F.desc("centrality_hint"), "ip_address")
+    ranked = nodes.where("NOT non_investigative").withColumn("place", F.row_number().over(w)).where(c("place") <= top)
+    # at most `top` of each kind for a capture
+    listed = ranked.groupBy(CAP).agg(F.array_sort(F.collect_list(F.struct((-c("centrality_hint")).alias("k"), "ip_address", "infrastructure_noise"))).alias("all"))
+    quiet = F.filter("all", lambda x: ~x["infrastructure_noise"])
+    picked = F.when(F.size(quiet) < 3, F.slice("all", 1, top)).otherwise(quiet)
+    return listed.select(CAP, F.transform(picked, lambda x: x["ip_address"]).alias("high_centrality_nodes"))
 
-    def best(frame, quiet):
-        ranked = frame.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "ip_address"))), lambda x: x["ip_address"])
-        return ranked.groupBy(CAP).agg(listed.alias(quiet))
 
-    a, b = best(pool.where("NOT infrastructure_noise"), "quiet"), best(pool, "full")
-    picked = F.when(F.size(F.coalesce("quiet", F.array().cast("array<string>"))) < 3, F.col("full")).otherwise(F.col("quiet"))
-    return b.join(a, CAP, "left").select(CAP, picked.alias("high_centrality_nodes"))
+def service_users(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many nodes talk to an external service."""
+    services = nodes.where("is_external_service").select(CAP, F.col("node_id").alias("target_node"))
+    return edges.join(services, [CAP, "target_node"], "left_semi").select(CAP, "source_node").distinct().groupBy(CAP).agg(F.count(F.lit(1)).alias("users"))
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per capture."""
+def _metrics() -> list:
     c = F.col
-    n = nodes.groupBy(CAP).agg(
-        F.count(F.lit(1)).alias("node_count"), F.count_if(c("touches") == 0).alias("isolated_node_count"), F.sum("node_degree").alias("degree_sum"),
-    )
-    e = edges.groupBy(CAP).agg(
-        F.count(F.lit(1)).alias("edge_count"), F.array_sort(F.collect_set("relationship_type")).alias("relationship_types"),
-        F.count_if(c("relationship_risk") >= 35).alias("suspicious_edges"),
-    )
-    top = top_risk_mean(nodes, [CAP], 10)
-    joined = n.join(e, CAP, "left").join(top, CAP).join(central_nodes(nodes), CAP, "left")
     possible = F.greatest(c("node_count") * (c("node_count") - 1), F.lit(1))
-    return joined.withColumns({"edge_count": F.coalesce("edge_count", F.lit(0)).cast("bigint"), "suspicious_edges": F.coalesce("suspicious_edges", F.lit(0)).cast("bigint")}).select(
-        CAP, "node_count", "edge_count", rnd(c("edge_count") / possible, 6).alias("graph_density"), rnd(c("top_sum") / c("top_n"), 2).alias("graph_risk_score"),
-        "isolated_node_count", "high_centrality_nodes", "relationship_types", rnd(c("degree_sum") / c("node_count"), 2).alias("avg_node_degree"), "suspicious_edges",
-    )
+    edge_count = F.coalesce("m", F.lit(0)).cast("bigint")
+    return [
+        c("node_count"), edge_count.alias("edge_count"), rnd(edge_count / possible, 6).alias("graph_density"), rnd(c("top10_e2") / F.lit(100.0) / c("top_n"), 2).alias("graph_risk_score"),
+        c("isolated").alias("isolated_node_count"), c("high_centrality_nodes"), c("relationship_types"), rnd(c("degree_sum") / c("node_count"), 2).alias("avg_node_degree"),
+        F.coalesce("suspicious", F.lit(0)).cast("bigint").alias("suspicious_edges"),
+    ]
 
 
-def graph_risk_decomposition(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _risk_parts(relationship_risk: str) -> list:
     c = F.col
-
-    def mean_of(column, digits, test):
-        return F.sum(F.when(test, scaled(c(column), digits))) / F.greatest(F.count_if(test), F.lit(1)) / F.lit(10.0**digits)
-
-    risky, periodic = c("relationship_type").isin(RISKY_TYPES), c("communication_pattern") == "periodic"
-    e = edges.groupBy(CAP).agg(
-        F.coalesce(mean_of("persistence_score", 4, risky), F.lit(0.0)).alias("p"), F.coalesce(mean_of("relationship_risk", 2, risky), F.lit(0.0)).alias("r"),
-        F.coalesce(mean_of("relationship_risk", 2, periodic), F.lit(0.0)).alias("q"),
-    )
-    n = nodes.groupBy(CAP).agg(
-        F.sum("external_connections").alias("contacts"), F.count_if((c("touches") == 0) & (c("risk_score") >= 20)).alias("risky_alone")
-    )
+    means = F.transform("groups", lambda x: x["average_risk"])
     # the few community means are added in name order, so that the sum has one value
-    means = F.transform(F.array_sort(F.collect_list(F.struct("community_type", "average_risk"))), lambda x: x["average_risk"])
-    g = communities(nodes).groupBy(CAP).agg(F.max("average_risk").alias("worst"), F.aggregate(means, F.lit(0.0), lambda a, x: a + x).alias("total"), F.count(F.lit(1)).alias("k"))
-    top = top_risk_mean(nodes, [CAP], 10)
-    joined = n.join(top, CAP).join(g, CAP).join(e, CAP, "left")
-    has_edges = c("p").isNotNull()
-    return joined.select(
-        CAP, rnd(c("top_sum") / c("top_n") * 0.4, 2).alias("host_risk"),
-        F.when(has_edges, rnd(F.greatest(c("p") * c("r"), c("q")) * 0.25, 2)).otherwise(F.lit(0.0)).alias("relationship_risk"),
-        rnd(F.least(c("worst") / (c("total") / c("k") + 0.01) * 2, F.lit(100.0)) * 0.2, 2).alias("community_risk"),
+    mean = F.aggregate(means, F.lit(0.0), lambda a, x: a + x) / F.size("groups").cast("bigint")
+    has_edges = c("m").isNotNull()
+    return [
+        rnd(c("top10_e2") / F.lit(100.0) / c("top_n") * 0.4, 2).alias("host_risk"),
+        F.when(has_edges, rnd(F.greatest(c("p") * c("r"), c("q")) * 0.25, 2)).otherwise(F.lit(0.0)).alias(relationship_risk),
+        rnd(F.least(F.array_max(means) / (mean + 0.01) * 2, F.lit(100.0)) * 0.2, 2).alias("community_risk"),
         F.when(has_edges, rnd(F.greatest(unit(c("contacts") / 100) * 25, c("risky_alone") * 5.0) * 0.15, 2)).otherwise(F.lit(0.0)).alias("topology_risk"),
-    )
+    ]
 
 
-def graph_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _health() -> list:
     c = F.col
-    n = nodes.groupBy(CAP).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(scaled(c("risk_score"), 2)).alias("risk_e2"), F.sum("external_connections").alias("contacts"),
-        F.count_if(c("role") == "INFRASTRUCTURE").alias("infra"), F.sum("protocol_diversity").alias("diversity"), F.count_if(c("node_degree") == 0).alias("alone"),
-    )
-    e = edges.groupBy(CAP).agg(
-        F.count(F.lit(1)).alias("m"), F.sum(scaled(c("persistence_score"), 4)).alias("persistence_e4"), F.count_if(c("relationship_risk") >= 35).alias("suspicious"),
-        F.size(F.collect_set("relationship_type")).alias("types"),
-    )
-    sizes = communities(nodes).groupBy(CAP).agg(F.count(F.lit(1)).alias("k"), F.sum("node_count").alias("s1"), F.sum(c("node_count") * c("node_count")).alias("s2"))
-    services = nodes.where("is_external_service").select(CAP, c("node_id").alias("target_node"))
-    users = edges.join(services, [CAP, "target_node"], "left_semi").select(CAP, "source_node").distinct().groupBy(CAP).agg(F.count(F.lit(1)).alias("users"))
-    top = top_risk_mean(nodes, [CAP], 5)
-    mean = c("s1") / c("k")
-    variance = (c("s2") * c("k") - c("s1") * c("s1")) / c("k") / c("k")
+    n, k = c("node_count"), F.size("groups").cast("bigint")
+    squares = F.aggregate("groups", F.lit(0).cast("bigint"), lambda a, x: a + x["node_count"] * x["node_count"])
+    mean = n / k
+    variance = (squares * k - n * n) / k / k
     balance = F.lit(1.0) - variance / (mean * mean + 0.01)
-    j = n.join(e, CAP, "left").join(sizes, CAP).join(users, CAP, "left").join(top, CAP)
 
     def per_edge(value, digits):
         return F.coalesce(rnd(value / c("m"), digits), F.lit(0.0))
 
-    return j.select(
-        CAP, rnd(c("risk_e2") / c("n") / F.lit(100.0), 2).alias("avg_node_risk"), per_edge(c("persistence_e4") / F.lit(1e4), 4).alias("avg_edge_persistence"),
-        rnd(c("contacts") / (c("n") * 10), 4).alias("externality_ratio"), rnd(c("infra") / c("n"), 4).alias("infrastructure_ratio"),
-        per_edge(c("suspicious"), 4).alias("suspicious_edge_ratio"), rnd(c("diversity") / c("n"), 2).alias("avg_protocol_diversity"),
-        rnd(c("alone") / c("n"), 4).alias("isolated_node_ratio"), rnd(F.greatest(unit(balance), F.lit(0.0)), 2).alias("community_balance_score"),
-        rnd(F.coalesce("types", F.lit(0)) / 12, 2).alias("relationship_diversity_score"), rnd(F.coalesce("users", F.lit(0)) / c("n"), 2).alias("external_dependency_score"),
-        F.when(c("risk_sum") > 0, rnd(c("top_sum") / c("risk_sum"), 2)).otherwise(F.lit(0.0)).alias("risk_concentration_score"),
-    )
+    return [
+        rnd(c("risk_e2") / n / F.lit(100.0), 2).alias("avg_node_risk"), per_edge(c("persistence_e4") / F.lit(1e4), 4).alias("avg_edge_persistence"),
+        rnd(c("contacts") / (n * 10), 4).alias("externality_ratio"), rnd(c("infra") / n, 4).alias("infrastructure_ratio"),
+        per_edge(c("suspicious"), 4).alias("suspicious_edge_ratio"), rnd(c("diversity") / n, 2).alias("avg_protocol_diversity"),
+        rnd(c("alone") / n, 4).alias("isolated_node_ratio"), rnd(F.greatest(unit(balance), F.lit(0.0)), 2).alias("community_balance_score"),
+        rnd(F.coalesce(F.size("relationship_types"), F.lit(0)) / 12, 2).alias("relationship_diversity_score"), rnd(F.coalesce("users", F.lit(0)) / n, 2).alias("external_dependency_score"),
+        F.when(c("risk_e2") > 0, rnd(c("top5_e2") / F.lit(100.0) / (c("risk_e2") / F.lit(100.0)), 2)).otherwise(F.lit(0.0)).alias("risk_concentration_score"),
+    ]
 
 
-def node_hashes(nodes: DataFrame) -> DataFrame:
+def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per capture."""
+    return node_figures(nodes).join(edge_figures(edges), CAP, "left").join(central_nodes(nodes), CAP, "left").select(CAP, *_metrics())
+
+
+def graph_risk_decomposition(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per capture."""
+    return node_figures(nodes).join(edge_figures(edges), CAP, "left").select(CAP, *_risk_parts("relationship_risk"))
+
+
+def graph_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per capture."""
+    return node_figures(nodes).join(edge_figures(edges), CAP, "left").join(service_users(nodes, edges), CAP, "left").select(CAP, *_health())
+
+
+def _node_hash():
     text = F.concat_ws(":", "node_id", F.col("risk_score").cast("string"), F.array_join(F.array_sort("behavioral_indicators"), ","), F.array_join(F.array_sort("protocols"), ","))
-    return nodes.select(CAP, F.concat(F.lit("node_"), F.col("ip_address")).alias("entity"), F.substring(F.sha2(text, 256), 1, 16).alias("hash"))
+    return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def edge_hashes(edges: DataFrame) -> DataFrame:
+def _edge_hash():
     text = F.concat_ws(":", "source_node", "target_node", "relationship_type", F.col("relationship_risk").cast("string"))
-    return edges.select(CAP, F.concat(F.lit("edge_"), F.col("edge_id")).alias("entity"), F.substring(F.sha2(text, 256), 1, 16).alias("hash"))
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def node_hashes(nodes: DataFrame) -> DataFrame:
+    return nodes.select(CAP, F.concat(F.lit("node_"), F.col("ip_address")).alias("entity"), _node_hash().alias("hash"))
 
 
-def sorted_digest(frame: DataFrame, value: str, name: str) -> DataFrame:
-    """A digest of all hex values of a capture in order, the same definition at every size.
+def edge_hashes(edges: DataFrame) -> DataFrame:
+    return edges.select(CAP, F.concat(F.lit("edge_"), F.col("edge_id")).alias("entity"), _edge_hash().alias("hash"))
+
+
+def sorted_digests(values: DataFrame) -> DataFrame:
+    """A digest for each kind of all hex values of a capture in order, the same definition at every size.
 
     The values are joined by `|` and digested for each leading three digits, in parallel; the digest of a capture is that of
     its at most 4,096 part digests in order. So no task ever holds the whole text.
     """
-    bucket = F.substring(value, 1, 3)
-    parts = frame.groupBy(CAP, bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "|"), 256).alias("part"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
-    return parts.groupBy(CAP).agg(F.sha2(F.array_join(ordered, "|"), 256).alias(name))
+    bucket = F.substring("value", 1, 3)
+    parts = values.groupBy(CAP, "kind", bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), "|"), 256).alias("part"))
+    return parts.groupBy(CAP).agg(*[
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("bucket", "part")))), lambda x: x["part"]), "|"), 256).alias(kind)
+        for kind in ("graph", "node", "edge")
+    ])
 
 
-def graph_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return sorted_digest(node_hashes(nodes).unionByName(edge_hashes(edges)), "hash", "graph_fingerprint")
+def graph_identity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_fingerprint over the contents of nodes and edges, snapshot_id over their ids."""
 
+    def tagged(frame, kind, own, content):
+        both = F.array(F.struct(F.lit(kind).alias("kind"), F.col(own).alias("value")), F.struct(F.lit("graph").alias("kind"), content.alias("value")))
+        return frame.select(CAP, F.explode(both).alias("x")).select(CAP, "x.*")
 
-def snapshot_id(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    a, b = sorted_digest(nodes, "node_id", "a"), sorted_digest(edges, "edge_id", "b")
-    text = F.concat("a", F.lit(":"), F.coalesce("b", F.lit("")))
-    return a.join(b, CAP, "left").select(CAP, F.substring(F.sha2(text, 256), 1, 16).alias("snapshot_id"))
+    c = F.col
+    digests = sorted_digests(tagged(nodes, "node", "node_id", _node_hash()).unionByName(tagged(edges, "edge", "edge_id", _edge_hash())))
+    # a capture without edges has no digest of them
+    edge_part = F.when(c("edge") == F.sha2(F.lit(""), 256), F.lit("")).otherwise(c("edge"))
+    return digests.select(CAP, c("graph").alias("graph_fingerprint"), F.substring(F.sha2(F.concat(c("node"), F.lit(":"), edge_part), 256), 1, 16).alias("snapshot_id"))
+
+
+def graph_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return graph_identity(nodes, edges).select(CAP, "graph_fingerprint")
 
 
 def graph_state(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One wide row per capture; every joined table has one row per capture."""
+    """One wide row per capture.
+
+    Nodes and edges are folded once each for all figures; digests, central nodes and users of services are passes of their own.
+    Every joined table has one row per capture.
+    """
     c = F.col
-    bounds = nodes.groupBy(CAP).agg(
-        F.max("last_us").alias("timestamp_us"),
-        F.coalesce(F.min(F.when(c("replay_sequence_start") > 0, c("replay_sequence_start"))), F.lit(0)).alias("replay_sequence_start"),
-        F.coalesce(F.max(F.when(c("replay_sequence_end") > 0, c("replay_sequence_end"))), F.lit(0)).alias("replay_sequence_end"),
-    )
-    summary = F.transform(F.array_sort(F.collect_list(F.struct("community_type", "node_count"))), lambda x: F.concat(x["community_type"], F.lit("="), x["node_count"].cast("string")))
-    groups = communities(nodes).groupBy(CAP).agg(F.count(F.lit(1)).alias("community_count"), F.sum("node_count").alias("classified_nodes"), summary.alias("community_summary"))
-    risk = graph_risk_decomposition(nodes, edges).withColumnRenamed("relationship_risk", "relationship_risk_part")
-    state = graph_metrics(nodes, edges)
-    for part in (snapshot_id(nodes, edges), bounds, graph_fingerprint(nodes, edges), groups, risk, graph_health(nodes, edges)):
-        state = state.join(part, CAP)
-    return state.withColumn("unclassified_nodes", F.greatest(c("node_count") - c("classified_nodes"), F.lit(0)))
+    facts = node_figures(nodes).join(edge_figures(edges), CAP, "left")
+    for part in (central_nodes(nodes), service_users(nodes, edges), graph_identity(nodes, edges)):
+        facts = facts.join(part, CAP, "left")
+    size = F.aggregate("groups", F.lit(0).cast("bigint"), lambda a, x: a + x["node_count"])
+    return facts.select(
+        CAP, *_metrics(), "snapshot_id", "graph_fingerprint", "timestamp_us", "replay_sequence_start", "replay_sequence_end",
+        F.size("groups").cast("bigint").alias("community_count"), size.alias("classified_nodes"),
+        F.transform("groups", lambda x: F.concat(x["community_type"], F.lit("="), x["node_count"].cast("string"))).alias("community_summary"),
+        *_risk_parts("relationship_risk_part"), *_health(),
+    ).withColumn("unclassified_nodes", F.greatest(c("node_count") - c("classified_nodes"), F.lit(0)))

@@ -136,10 +136,6 @@ class Analysis:
     def scored_nodes(self):
         return self.keep("scored_nodes", gr.scored_nodes(self.linked_nodes))
 
-    @cached_property
-    def communities(self):
-        return gr.communities(self.scored_nodes)
-
     @cached_property
     def graph_metrics(self):
         return gr.graph_metrics(self.scored_nodes, self.graph_edges)

@@ -230,3 +230,62 @@ def test_a_resolver_flow_of_many_names(spark):
             assert [r.observed_domains, r.nbns_names, r.kerberos_cnames] == [mine[k][:preview] for k in fl.NAME_KINDS]
             assert r.best_hostname.name == mine["nbns"][0] and r.web_domain == next(n for n in mine["domain"] if "microsoft" not in n)
         assert facts["resolver"].first_user == "zed" and facts["small"].first_user is None
+
+
+def test_facts_of_hot_keys(spark, a):
+    """One destination with half of all flows: as the plain join, and no exchange of flows by a hot key."""
+    from netloom.operators.facts import beside
+    from netloom.operators.flows import rarity_context, rarity_counts
+
+    flows = a.flows.withColumn("responder_ip", F.when(F.pmod(F.xxhash64("flow_id"), F.lit(2)) == 0, F.lit("10.9.9.9")).otherwise(F.col("responder_ip"))).select("capture_id", "flow_id", "responder_ip", "application_protocol")
+    by_destination, by_protocol = rarity_counts(flows)
+    want = flows.join(by_destination, ["capture_id", "responder_ip"]).join(by_protocol, ["capture_id", "application_protocol"])
+    assert same(rarity_context(flows).select(want.columns), want)
+    rows = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = beside(rows, facts, ["k"], "n", 50_000)
+    assert same(got.select("k", "id", "n"), rows.join(facts, "k").select("k", "id", "n"))
+    assert got.where("k IS NULL").count() == 0 and beside(rows.where("false"), facts.where("false"), ["k"], "n", 0).count() == 0
+
+
+def test_state_of_few_nodes(a):
+    """A capture without edges and one with a single node have a state; scans and exchanges stay few."""
+
+    none = gr.graph_state(a.scored_nodes, a.graph_edges.where("false")).first()
+    assert none.edge_count == 0 and none.relationship_risk_part == 0.0 and none.snapshot_id and none.external_dependency_score == 0.0
+    first = a.scored_nodes.orderBy("ip_address").limit(1)
+    one = gr.graph_state(first, a.graph_edges.where("false")).first()
+    assert one.node_count == one.classified_nodes == 1 and one.graph_risk_score == first.first().risk_score
+    plan = gr.graph_state(a.scored_nodes, a.graph_edges)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") <= 7 and plan.count("Exchange hashpartitioning") <= 16
+
+
+def test_host_rows(a):
+    """Places of events of a host by chunks; a host without a profile has the facts of its node."""
+    tl = ti
+
+    events = a.indexed_events
+    old = tl.EVENTS_AT_ONCE
+    tl.EVENTS_AT_ONCE = 3
+    try:
+        got = [(r.host, r.place, r.event_index) for r in tl.host_timeline_events(events).collect()]
+    finally:
+        tl.EVENTS_AT_ONCE = old
+    by_host = {}
+    for r in events.where("host <> ''").orderBy("event_index").collect():
+        by_host.setdefault(r.host, []).append(r.event_index)
+    assert sorted(got) == sorted((h, i + 1, e) for h, es in by_host.items() for i, e in enumerate(es))
+    shown = tl.host_timelines(a.host_timeline_events, a.host_timeline_chapters, 2).collect()
+    assert {r.host: r.event_count for r in shown} == {h: len(es) for h, es in by_host.items()} and max(len(r.events) for r in shown) <= 2
+    host = next(r.ip_address for r in a.scored_nodes.collect() if r.ip_address in by_host)
+    node = a.scored_nodes.where(F.col("ip_address") == host).first()
+    row = ca.host_detail(a.host_profiles.where(F.col("ip_address") != host), a.scored_nodes, a.host_timelines).where(F.col("host") == host).first()
+    assert (row.risk, row.role, row.hostname, row.mac_address) == (node.risk_score, node.role, node.hostname, None)
+
+
+def test_search_beyond_a_window(a):
+    """Places counted by chunks are those of a window."""
+    whole = ca.event_search(a.indexed_events, latest=None)
+    few = ca.event_search(a.indexed_events, latest=9)
+    assert same(whole.where("recent <= 9").select(few.columns), few)
+    assert whole.count() == a.indexed_events.count() and same(ca.event_search(a.indexed_events, latest=5_000).select(few.columns), whole.where("recent <= 5000").select(few.columns))
