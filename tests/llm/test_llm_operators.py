@@ -185,6 +185,29 @@ def test_quality(spark, odd, empty):
 # 5
 
 
+def test_the_index_carries_the_groups(spark):
+    """Directories double; what a bucket holds is what its documents are found by; owners group ranges without a further shuffle."""
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), (F.col("id") % 1_900).cast("string"))).alias("text"))
+    index = exact.build_index(docs, capacity=64)
+    held = index.chains.groupBy("bucket").count().collect()
+    assert index.bits >= 4 and len(held) > 16 and (index.bits == exact.MOST_BITS or max(r["count"] for r in held) <= 64 or index.cells.agg(F.max("local_depth")).first()[0] == index.bits)
+    whole = exact.found_in(index, docs)
+    assert plain(whole) == plain(exact.exact_duplicates(docs))
+    gone = held[0].bucket
+    less = exact.Index(index.entries, index.cells, index.chains.where(F.col("bucket") != gone), index.bits)
+    lost = {r.doc_id for r in index.bucket_of(index.entries).where(F.col("bucket") == gone).collect()}
+    found = {r.doc_id for r in exact.found_in(less, docs).collect()}
+    assert lost and found == set(range(3_000)) - lost
+
+
+def test_texts_beyond_the_broadcast(spark, monkeypatch):
+    """With too many keys to broadcast, hot ones still are; the result is the same."""
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").when(F.col("id") % 3 == 1, F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).alias("text"))
+    want = plain(exact.exact_duplicates(docs))
+    monkeypatch.setattr(exact, "BROADCAST_KEYS", 3)
+    assert plain(exact.exact_duplicates(docs, capacity=100)) == want
+
+
 def test_nearest_against_all(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 24)).astype(np.float32) * rng.uniform(0.2, 2, (1500, 1)).astype(np.float32)
