@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 TREES = 80
 BITS = 32  # length of a hash string
-SHARD_ROWS = 32_768
+SHARD_ROWS = 8_192  # rows of one forest; a task has one shard
 # Expected share of the nearest that a search may miss, by the collision law of the hash.
 MISS = 0.07
 
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     place = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     index = good.select("dimension", place.alias("shard"), F.lit(0).alias("asking"), "vec_id", "vector")
     asked = good.where("asks").dropDuplicates(["vec_id"]).select("dimension", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asking"), "vec_id", "vector")
-    rows = index.unionByName(asked).repartition(shards, "dimension", "shard").sortWithinPartitions("dimension", "shard", "asking")
+    rows = index.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("dimension", "shard", "asking")
     found = rows.mapInArrow(lambda b: _searched(b, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
