@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 TREES = 80
 BITS = 32  # length of a hash string
-SHARD_ROWS = 8_192  # rows of one forest; a task has one shard
+SHARD_ROWS = 32_768  # rows of one forest
+BLOCK_QUERIES = 1_024  # queries that one building of a forest serves
+MOST_TASKS = 20_000  # beyond so many pairs of shard and block a task has several, one after the other
 # Expected share of the nearest that a search may miss, by the collision law of the hash.
 MISS = 0.07
 
@@ -98,7 +100,7 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by (dimension, shard, is_query): the vectors of a shard are indexed, then its queries stream by."""
+    """Rows come ordered by (dimension, pair, is_query): the vectors of a shard are indexed, then a block of queries streams by."""
     current, held, forest = None, [], None
     for batch in batches:
         if not len(batch):
@@ -130,7 +132,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     sorted array of hash strings. A query descends to its longest matching prefixes in all trees, then ascends in all trees
     together, one bit at a time, until the expected share of the k nearest that no tree shares a prefix with is at most
     MISS, given the similarities found so far. So searches in clustered data end early, and in unclustered data they
-    go on as far as the recall asks. The stated queries visit all shards in blocks; the best k of all shards are ranked.
+    go on as far as the recall asks. The stated queries visit all shards in blocks, a task for each shard and block; the
+    best k of all shards are ranked.
 
     Scores are inner products of the given components in double precision, ties go to the smaller vec_id; with fewer than k
     others, all are returned. Vectors null, empty, zero or with null or non-finite components take no part, neither do rows
@@ -141,11 +144,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     good = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     good = good.withColumn("dimension", F.size("vector"))
-    shards = max(1, math.ceil(good.count() / SHARD_ROWS))
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    index = good.select("dimension", place.alias("shard"), F.lit(0).alias("asking"), "vec_id", "vector")
-    asked = good.where("asks").dropDuplicates(["vec_id"]).select("dimension", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asking"), "vec_id", "vector")
-    rows = index.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("dimension", "shard", "asking")
+    asking = good.where("asks").dropDuplicates(["vec_id"])
+    shards, blocks = max(1, math.ceil(good.count() / SHARD_ROWS)), max(1, math.ceil(asking.count() / BLOCK_QUERIES))
+    tasks = min(shards * blocks, MOST_TASKS)
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    def pair(shard: Column, block: Column):
+        return (shard * F.lit(blocks) + block).cast("bigint").alias("pair")
+
+    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))
+    index = good.select("dimension", "vec_id", "vector", shard.alias("shard"), every(blocks).alias("block"), F.lit(0).alias("asking"))
+    asked = asking.select("dimension", "vec_id", "vector", every(shards).alias("shard"), block.alias("block"), F.lit(1).alias("asking"))
+    rows = index.unionByName(asked).select("dimension", pair(F.col("shard"), F.col("block")), "asking", "vec_id", "vector")
+    rows = rows.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("dimension", "pair", "asking")
     found = rows.mapInArrow(lambda b: _searched(b, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -237,6 +237,8 @@ def test_shards_give_the_same_ranks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = spark.createDataFrame([(i, [float(v) for v in rng.standard_normal(8)]) for i in range(600)], "vec_id bigint, embedding array<float>")
     monkeypatch.setattr(forest, "SHARD_ROWS", 100)
+    monkeypatch.setattr(forest, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(forest, "MOST_TASKS", 7)
     monkeypatch.setattr(forest, "MISS", 0.0)  # to the root of every tree
     rows = {r.vec_id: np.array(r.embedding, np.float64) for r in vectors.collect()}
     got = defaultdict(list)
