@@ -40,7 +40,7 @@ class Forest:
         self.order, self.strings = [], []
         for tree in range(TREES):
             strings = self._hash(lifted, tree)
-            order = np.argsort(strings, kind="stable").astype(np.int32)
+            order = np.argsort(strings, kind="stable")
             self.order.append(order)
             self.strings.append(strings[order])
 
@@ -70,11 +70,15 @@ class Forest:
         found, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
         small, length = query.astype(np.float32), math.sqrt((query**2).sum())
         new = np.zeros(len(self.ids), bool)
+        spans = ranges.tolist()
+        past = [(a, a) for a, _ in spans[level]]  # what the level before has marked lies inside; only both sides are new
         while True:
-            for tree in range(TREES):
-                a, b = ranges[level, tree]
-                if a < b:
-                    new[self.order[tree][a:b]] = True
+            for order, (a, b), (low, high) in zip(self.order, spans[level], past, strict=True):
+                if a < low:
+                    new[order[a:low]] = True
+                if high < b:
+                    new[order[high:b]] = True
+            past = spans[level]
             fresh = np.flatnonzero(new & ~seen)
             seen |= new
             found = np.concatenate([found, fresh])
