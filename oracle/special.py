@@ -87,7 +87,7 @@ SQL = {
         "host_baseline_snapshot": "baseline_snapshot", "layer5_deltas": "(SELECT 1 FROM host_profiles UNION ALL SELECT 1 FROM relationships)", "layer5_hypotheses": "hypotheses",
         "layer5_investigation_candidates": "candidates", "investigation_narratives": "narratives", "graph_nodes": "scored_nodes", "graph_edges": "graph_edges", "graph_snapshots": "snapshots",
         "graph_state": "graph_state", "timeline_events": "timeline_events", "activity_phases": "activity_phases", "replay_frames": "frames", "replay_index": "indexed_events",
-        "host_timelines": "host_timelines", "major_chapters": "chapters",
+        "host_timelines": "host_timelines", "host_timeline_events": "host_timeline_events", "host_timeline_chapters": "host_timeline_chapters", "major_chapters": "chapters",
     }),
     "write_csv": _counted({x: x if x != "normalized_packets" else "packets" for x in ("normalized_packets", "flows", "enriched_flows", "host_profiles", "relationships")}),
     "read_artifacts": "SELECT format, ip_address, risk_score, role, coalesce(array_to_string(protocols, ','), '') AS protocols FROM host_profiles, (VALUES ('csv'), ('ndjson')) f(format)",
