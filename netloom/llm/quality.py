@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ FEATURES = (
     "log_words", "word_length", "log_line_words", "upper", "digit", "stop", "mark", "symbol", "other_letters",
     "distinct_words", "distinct_lines", "short_lines", "marked_words", "distinct_pairs",
 )
+# Tried across folds; a pooled share of 1 would leave no quadratic term.
+SHARES = tuple((pooled, shrink) for pooled in (0.1, 0.25, 0.5, 0.75) for shrink in (0.01, 0.05, 0.2, 0.5))
 EDGE = 0.002  # shares are seen through log(share + EDGE)
 
 # Classes of bytes; fixed values.
@@ -102,27 +105,50 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def fit(features: DataFrame, labels: DataFrame, pooled: float = 0.5, shrink: float = 0.05) -> Discriminant:
-    """From (doc_id, x) and (doc_id, quality): means and covariances by class in one aggregate over all labelled rows.
+@dataclass
+class Sums:
+    """Rows, sums and sums of products of the statistics, by class."""
 
-    The covariance of a class is drawn by `pooled` to that of both and by `shrink` to a multiple of the identity.
-    Repeated label rows count once; a document with both labels counts in both classes; null labels and ids do not count.
-    """
+    n: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+
+    def __sub__(self, other: "Sums") -> "Sums":
+        return Sums(self.n - other.n, self.first - other.first, self.second - other.second)
+
+    def __add__(self, other: "Sums") -> "Sums":
+        return Sums(self.n + other.n, self.first + other.first, self.second + other.second)
+
+
+def fold_of(doc_id: Column) -> Column:
+    """The fold of a training row: what is left of crc32 of the id modulo 5; held-out rows would have 0."""
+    return (F.crc32(doc_id.cast("string").cast("binary")) % 5).cast("int")
+
+
+def sums_by_fold(known: DataFrame) -> dict[int, Sums]:
+    """From (doc_id, x, quality), in one aggregate of at most ten rows."""
     d = len(FEATURES)
-    marked = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
-    known = features.join(marked, "doc_id")
     sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    found = {r["quality"]: r for r in known.groupBy("quality").agg(F.count("*").alias("n"), *sums).collect()}  # two rows
-    n = [found[c]["n"] if c in found else 0 for c in (0, 1)]
-    if min(n) < 2:
-        return Discriminant(n[1] / sum(n) if sum(n) else 0.5)
-    first = np.array([[found[c][f"s{i}"] for i in range(d)] for c in (0, 1)])
-    second = np.array([[[found[c][f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)] for c in (0, 1)])
-    shift = first.sum(axis=0) / sum(n)
-    scale = np.sqrt(np.maximum(np.diagonal(second.sum(axis=0)) / sum(n) - shift**2, 1e-6))
-    mean = [first[c] / n[c] for c in (0, 1)]
-    cov = [(second[c] / n[c] - np.outer(mean[c], mean[c])) / np.outer(scale, scale) for c in (0, 1)]
-    both = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    out: dict[int, Sums] = {}
+    for r in known.groupBy("quality", fold_of(F.col("doc_id")).alias("fold")).agg(F.count("*").alias("n"), *sums).orderBy("fold", "quality").collect():
+        held = out.setdefault(r["fold"], Sums(np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))))
+        c = r["quality"]
+        held.n[c] = r["n"]
+        held.first[c] = [r[f"s{i}"] for i in range(d)]
+        held.second[c] = [[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]
+    return out
+
+
+def discriminant(sums: Sums, pooled: float, shrink: float) -> Discriminant:
+    """The covariance of a class is drawn by `pooled` to that of both and by `shrink` to a multiple of the identity."""
+    d, n = len(FEATURES), sums.n
+    if n.min() < 2:
+        return Discriminant(float(n[1] / n.sum()) if n.sum() else 0.5)
+    shift = sums.first.sum(axis=0) / n.sum()
+    scale = np.sqrt(np.maximum(np.diagonal(sums.second.sum(axis=0)) / n.sum() - shift**2, 1e-6))
+    mean = [sums.first[c] / n[c] for c in (0, 1)]
+    cov = [(sums.second[c] / n[c] - np.outer(mean[c], mean[c])) / np.outer(scale, scale) for c in (0, 1)]
+    both = (n[0] * cov[0] + n[1] * cov[1]) / n.sum()
     centres, factors, offsets = [], [], []
     for c in (0, 1):
         s = (1 - pooled) * cov[c] + pooled * both
@@ -130,15 +156,55 @@ def fit(features: DataFrame, labels: DataFrame, pooled: float = 0.5, shrink: flo
         lower = np.linalg.cholesky(s)
         centres.append((mean[c] - shift) / scale)
         factors.append(np.linalg.inv(lower))
-        offsets.append(float(np.log(n[c] / sum(n)) - np.log(np.diagonal(lower)).sum()))
-    return Discriminant(n[1] / sum(n), shift, scale, tuple(centres), tuple(factors), tuple(offsets))
+        offsets.append(float(np.log(n[c] / n.sum()) - np.log(np.diagonal(lower)).sum()))
+    return Discriminant(float(n[1] / n.sum()), shift, scale, tuple(centres), tuple(factors), tuple(offsets))
+
+
+def _chosen(known: DataFrame, folds: dict[int, Sums], whole: Sums) -> tuple[float, float]:
+    """The pair of shares with the least log loss on folds that its model has not seen; losses are summed as whole numbers."""
+    models = {f: [discriminant(whole - s, *shares) for shares in SHARES] for f, s in folds.items()}
+    if len(models) < 2:
+        return SHARES[0]
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(SHARES), np.int64)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            quality, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for f in np.unique(fold):
+                some = fold == f
+                for k, model in enumerate(models[f]):
+                    score = np.clip(model.scores(x[some]), 1e-9, 1 - 1e-9)
+                    total[k] += np.rint(-1e6 * np.log(np.where(quality[some] == 1, score, 1 - score))).astype(np.int64).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(SHARES))), pa.array(total)], ["shares", "loss"])
+
+    rows = known.select("x", F.col("quality").cast("int").alias("quality"), fold_of(F.col("doc_id")).alias("fold")).mapInArrow(losses, "shares bigint, loss bigint")
+    loss = {r["shares"]: r["loss"] for r in rows.groupBy("shares").agg(F.sum("loss").alias("loss")).collect()}
+    return SHARES[min(loss, key=lambda k: (loss[k], k))] if loss else SHARES[0]
+
+
+def fit(features: DataFrame, labels: DataFrame, shares: tuple[float, float] | None = None) -> Discriminant:
+    """From (doc_id, x) and (doc_id, quality): means and covariances by class in one aggregate over all labelled rows.
+
+    shares: `pooled` and `shrink` of `discriminant`. Without them the pair of SHARES is taken that does best across four folds
+    of these rows: the sums of a fold are taken from those of all, so a model costs no further pass, and one pass scores each
+    row by the models that have not seen it. Repeated label rows count once; a document with both labels counts in both
+    classes; null labels and ids do not count.
+    """
+    marked = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
+    known = written(features.join(marked, "doc_id"), "quality-labelled")
+    folds = sums_by_fold(known)
+    if not folds:
+        return Discriminant(0.5)
+    whole = reduce(Sums.__add__, folds.values())
+    return discriminant(whole, *(shares or _chosen(known, folds, whole)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of `docs`.
 
     Statistics of whole texts (bytes by class, words, pairs of words, lines), transformed by logs and roots, are written
-    once; the model sees labelled rows that are not held out, and nothing but the statistics. The score is the posterior of
+    once; the model, its shares of shrinkage included, sees labelled rows that are not held out, and nothing but the statistics. The score is the posterior of
     label 1: the difference of the two Mahalanobis log densities, with inverse Cholesky factors computed once.
 
     Null text counts as empty and gets a score like any other. A null id is not held out and has no label. Repeated rows get
