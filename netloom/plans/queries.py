@@ -204,9 +204,9 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "persistence_delta", "flows", "@new_protocols", "@removed_protocols",
     ]),
     "historical_host_baseline": ("w.host_history", [
-        "ip_address", "risk_score_mean", "risk_score_std", "average_persistence", "unique_port_mean", "sample_count",
+        "ip_address", "risk_score_mean", "risk_score_std", "average_persistence", "unique_port_mean", "sample_count", "observed_protocols",
     ]),
-    "historical_relationship_baseline": ("w.edge_history", ["edge_id", "persistence_mean", "persistence_std", "average_flow_count", "sample_count"]),
+    "historical_relationship_baseline": ("w.edge_history", ["edge_id", "persistence_mean", "persistence_std", "average_flow_count", "sample_count", "observed_protocols"]),
     "historical_comparison": ("w.host_deltas", ["delta_id", "entity_id", "delta_type", "risk_score_mean"]),
     "hyp_port_scan": ("w.port_scan", FINDING_COLUMNS),
     "hyp_host_sweep": ("w.host_sweep", FINDING_COLUMNS),

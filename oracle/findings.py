@@ -31,19 +31,26 @@ def _h(kind, conf, sev, text, test, **m):
   'Host ' || ip || {text} AS summary, {cols}, rmean AS risk_score_mean FROM w_pair WHERE {test}"""
 
 
+
+
+def _observed(key: str, current: str, previous: str) -> str:
+    """Protocols of a key with the snapshots that show them, counts times 10,000 as maps are compared."""
+    return f"""SELECT {key}, array_to_string(list(p || '=' || (n * 10000) ORDER BY p || '=' || (n * 10000)), ',') AS observed_protocols FROM (SELECT {key}, p, count(*) AS n FROM
+ (SELECT {key}, unnest(protocols) AS p FROM {current} UNION ALL SELECT {key}, unnest(protocols) FROM {previous}) GROUP BY ALL) GROUP BY 1"""
+
+
 cte("w_host_history", f"""
-SELECT ip_address, sum(cast(round(risk_score * 100) AS bigint)) / count(*) / 1e2 AS risk_score_mean,
+SELECT h.*, o.observed_protocols FROM (SELECT ip_address, sum(cast(round(risk_score * 100) AS bigint)) / count(*) / 1e2 AS risk_score_mean,
   sqrt(greatest((sum(cast(round(risk_score * 100) AS bigint) * cast(round(risk_score * 100) AS bigint)) * count(*) - sum(cast(round(risk_score * 100) AS bigint)) * sum(cast(round(risk_score * 100) AS bigint))) / count(*) / count(*), 0)) / 1e2 AS risk_score_std,
   sum(cast(round(persistent_connection_ratio * 10000) AS bigint)) / count(*) / 1e4 AS average_persistence, sum(unique_ports) / count(*) AS unique_port_mean, count(*) AS sample_count
-FROM (SELECT * FROM host_profiles_cur UNION ALL BY NAME SELECT * FROM host_profiles_prev) GROUP BY 1""")
-cte("w_host_history_protocols", """
-SELECT ip_address, list(p || '=' || n ORDER BY p) AS observed FROM (SELECT ip_address, p, count(*) AS n FROM
- (SELECT ip_address, unnest(protocols) AS p FROM host_profiles_cur UNION ALL SELECT ip_address, unnest(protocols) FROM host_profiles_prev) GROUP BY ALL) GROUP BY 1""")
-cte("w_edge_history", """
-SELECT edge_id, sum(cast(round(persistence * 10000) AS bigint)) / count(*) / 1e4 AS persistence_mean,
+FROM (SELECT * FROM host_profiles_cur UNION ALL BY NAME SELECT * FROM host_profiles_prev) GROUP BY 1) h
+LEFT JOIN ({_observed("ip_address", "host_profiles_cur", "host_profiles_prev")}) o USING (ip_address)""")
+cte("w_edge_history", f"""
+SELECT h.*, o.observed_protocols FROM (SELECT edge_id, sum(cast(round(persistence * 10000) AS bigint)) / count(*) / 1e4 AS persistence_mean,
   sqrt(greatest((sum(cast(round(persistence * 10000) AS bigint) * cast(round(persistence * 10000) AS bigint)) * count(*) - sum(cast(round(persistence * 10000) AS bigint)) * sum(cast(round(persistence * 10000) AS bigint))) / count(*) / count(*), 0)) / 1e4 AS persistence_std,
   sum(flows) / count(*) AS average_flow_count, count(*) AS sample_count
-FROM (SELECT * FROM relationships_cur UNION ALL BY NAME SELECT * FROM relationships_prev) GROUP BY 1""")
+FROM (SELECT * FROM relationships_cur UNION ALL BY NAME SELECT * FROM relationships_prev) GROUP BY 1) h
+LEFT JOIN ({_observed("edge_id", "relationships_cur", "relationships_prev")}) o USING (edge_id)""")
 
 cte("w_pair", f"""
 SELECT *, CASE WHEN peer_d >= 3 AND ports_d <= 2 THEN 1e0 ELSE 0e0 END AS same,
