@@ -176,14 +176,18 @@ def q_entropy(a):
     return fl.value_entropy(a.packets, ["capture_id", "flow_id"], "total_bytes", "entropy").select("flow_id", "entropy")
 
 
+def changed_rows(before, after):
+    """(row, n): digests of rows with how many more there are of them before than after, over all columns. Only digests are shuffled."""
+    text = F.to_json(F.struct(*sorted(after.columns)), {"ignoreNullFields": "false"})
+    row = F.unhex(F.sha2(text, 256)).alias("row")
+    return before.select(row, F.lit(1).alias("n")).unionByName(after.select(row, F.lit(-1).alias("n"))).groupBy("row").agg(F.sum("n").alias("n"))
+
+
 def _round_trip(a, fmt):
     """(artifact, rows, changed): all artifacts of a format, written and read again; `changed` counts rows that differ in any column."""
     out = []
     for name, back in a.read_back(fmt).items():
-        columns = sorted(back.columns)
-        text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row")
-        both = a.artifact(name).select(text, F.lit(1).alias("n")).unionByName(back.select(text, F.lit(-1).alias("n"))).groupBy("row").agg(F.sum("n").alias("n"))
-        changed = both.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("changed"))
+        changed = changed_rows(a.artifact(name), back).agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("changed"))
         out.append(back.agg(F.count(F.lit(1)).alias("rows")).crossJoin(changed).select(F.lit(name).alias("artifact"), "rows", "changed"))
     return reduce(DataFrame.unionByName, out)
 
