@@ -15,6 +15,8 @@ from netloom.operators import packets as pk
 from netloom.operators import replay as rp
 from netloom.operators import snapshots as sn
 from netloom.operators import timeline as ti
+from netloom.operators.ordered import global_rank, with_chunks
+from netloom.plans import queries
 from netloom.plans.pipeline import Analysis, shared_folder
 from netloom.plans.queries import analysis
 from netloom.plans.special import changed_rows
@@ -304,3 +306,23 @@ def test_round_trip_moves_digests(a, spark, tmp_path):
     files = list(tmp_path.glob("out/packets.ndjson/*/part-*"))
     assert files and all(f.name.endswith(".json.gz") for f in files)
     assert same(read_artifacts(spark, f"{tmp_path}/out")["packets"].drop("tcp_flags"), packets.drop("tcp_flags"))
+
+
+def test_events_are_dealt_evenly(spark, data, tmp_path, monkeypatch):
+    """A file of one row group is dealt over tasks of so many rows, and the packets of every event are there once."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "EVENTS_A_PART", 50)
+    raw = analysis(spark, str(tmp_path)).raw_packets
+    a_file = [r["count"] for r in raw.groupBy(F.input_file_name()).count().collect()]
+    assert len(a_file) > 8 and max(a_file) <= 100
+    assert raw.count() == raw.select("packet_index").distinct().count() == events.count()
+
+
+def test_chunks_of_events_hold_a_second(spark):
+    """A chunk of the order holds the events of a second, so what a task sorts does not grow with the minute."""
+    events = spark.range(200).selectExpr("'c' AS capture_id", "1704067200000000 + id * 300000 AS us", "concat('evt_', lpad(hex(id * 7919 % 65536), 12, '0')) AS event_id", "id % 3 AS label")
+    cut = with_chunks(events, ["capture_id"], ti.EVENT_LEVELS)
+    assert cut.groupBy("chunk0").agg((F.max("us") - F.min("us")).alias("span")).agg(F.max("span")).first()[0] < 1_000_000
+    placed = global_rank(events, ["capture_id"], ti.EVENT_LEVELS, ti.EVENT_ORDER, "place")
+    assert [r.place for r in placed.orderBy("us").collect()] == list(range(200))
