@@ -1,7 +1,9 @@
 """Operators on small tables: hot paths, invariants, artifacts, joins in time."""
 
+import gzip
 import random
 import statistics
+import zlib
 from itertools import pairwise
 
 import pytest
@@ -309,6 +311,18 @@ def test_round_trip_moves_digests(a, spark, tmp_path):
     assert same(read_artifacts(spark, f"{tmp_path}/out")["packets"].drop("tcp_flags"), packets.drop("tcp_flags"))
 
 
+@pytest.mark.parametrize("fmt", ["csv", "ndjson"])
+def test_artifacts_are_packed_fast(spark, tmp_path, fmt):
+    """Files of artifacts are packed at the fastest level, as packing took most of the time of a written file, and hold the same rows."""
+    table = spark.range(20_000).selectExpr("id", "sha2(cast(id % 500 AS string), 256) AS t", "array(concat('10.2.', id % 250), 'tcp') AS list").coalesce(1)
+    write_artifacts({"table": table}, f"{tmp_path}/out", fmt)
+    (file,) = tmp_path.glob(f"out/table.{fmt}/part-*.gz")
+    fast, usual = (len(zlib.compress(gzip.decompress(file.read_bytes()), level)) for level in (1, 6))
+    size = file.stat().st_size
+    assert usual < fast and abs(size - fast) < abs(size - usual)
+    assert same(read_artifacts(spark, f"{tmp_path}/out")["table"], table)
+
+
 def test_events_are_dealt_evenly(spark, data, tmp_path, monkeypatch):
     """A file of one row group is dealt over tasks of so many rows, and the packets of every event are there once."""
     events = spark.read.parquet(f"{data}/events.parquet")
