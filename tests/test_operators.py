@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.operators import catalog as ca
+from netloom.operators import findings as fi
 from netloom.operators import flows as fl
 from netloom.operators import graph as gr
 from netloom.operators import hosts as hs
+from netloom.operators import narratives as na
 from netloom.operators import packets as pk
 from netloom.operators import replay as rp
 from netloom.operators import snapshots as sn
@@ -371,3 +373,33 @@ def test_findings_do_not_shuffle_relationships(a, spark):
     assert [r.us for r in ti.timed_hypotheses(findings, links).orderBy("place").collect()] == [5, 9, 2, 5]
     plan = ti.timed_hypotheses(a.hypotheses, a.relationships)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2
+
+
+def test_replay_index_has_every_event(spark):
+    """An event for each flow, relationship, host, hypothesis and candidate, however many there are."""
+    folder = "/root/testdata/sf0.01"
+    a = analysis(spark, folder)
+    found = a.ranked_whole.select("hypothesis_type", "host").collect()
+    assert a.flows.count() > 300 and a.relationships.count() > 300 and len(found) > 10
+    beacons, hosts = sum(r.hypothesis_type == "beaconing" for r in found), {r.host for r in found}
+    want = a.flows.count() + a.relationships.count() + 2 * a.scored_nodes.count() + len(found) + beacons + 2 * len(hosts)
+    rows = queries.run("replay_index")(spark, folder).collect()
+    assert len(rows) == want and sorted(r.event_index for r in rows) == list(range(want))
+    place = {r.event_id: r.event_index for r in rows}
+    shown = [r.event_id for r in a.indexed_events.orderBy("event_index").collect()]
+    assert [place[x] for x in shown] == sorted(place[x] for x in shown)
+
+
+def test_places_of_all_findings(spark):
+    """Without a limit, places counted by chunks are those of a window, whatever a chunk holds."""
+    a = analysis(spark, "/root/testdata/sf0.01")
+    many = 10**6
+    window = fi.hypotheses(a.found, a.host_profiles, a.capture_end, many, many)
+    summaries = fi.host_summaries(a.ranked_whole)
+    risks = sorted((-r.risk_score, r.ip_address) for r in a.scored_nodes.collect())
+    hosts = a.scored_nodes.select("capture_id", F.col("ip_address").alias("host"))
+    for hot in (many, 1):
+        assert same(fi.hypotheses(a.found, a.host_profiles, a.capture_end, None, None, hot=hot), window)
+        assert same(fi.investigation_candidates(summaries, None, hot=hot), fi.investigation_candidates(summaries, many))
+        ranks = na.environment_rank(hosts, a.scored_nodes, hot=hot).collect()
+        assert sorted((r.environment_rank, r.host, r.environment_size) for r in ranks) == [(i + 1, ip, len(risks)) for i, (_, ip) in enumerate(risks)]
