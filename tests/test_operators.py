@@ -394,12 +394,13 @@ def test_places_of_all_findings(spark):
     """Without a limit, places counted by chunks are those of a window, whatever a chunk holds."""
     a = analysis(spark, "/root/testdata/sf0.01")
     many = 10**6
-    window = fi.hypotheses(a.found, a.host_profiles, a.capture_end, many, many)
+    scored = fi.scored_hypotheses(a.found, a.host_profiles, None)
+    window = fi.hypotheses(fi.scored_hypotheses(a.found, a.host_profiles, many), a.capture_end, many)
     summaries = fi.host_summaries(a.ranked_whole)
     risks = sorted((-r.risk_score, r.ip_address) for r in a.scored_nodes.collect())
     hosts = a.scored_nodes.select("capture_id", F.col("ip_address").alias("host"))
     for hot in (many, 1):
-        assert same(fi.hypotheses(a.found, a.host_profiles, a.capture_end, None, None, hot=hot), window)
+        assert same(fi.hypotheses(scored, a.capture_end, None, hot=hot), window)
         assert same(fi.investigation_candidates(summaries, None, hot=hot), fi.investigation_candidates(summaries, many))
         ranks = na.environment_rank(hosts, a.scored_nodes, hot=hot).collect()
         assert sorted((r.environment_rank, r.host, r.environment_size) for r in ranks) == [(i + 1, ip, len(risks)) for i, (_, ip) in enumerate(risks)]
